@@ -130,3 +130,284 @@ ORDER BY risk_score DESC, award_id LIMIT 20""")
 def q_top20(spark, sf_dir):
     s = scoring.with_band(scoring.heuristic_score(features_df(spark, sf_dir)))
     return scoring.top_risk(s, 20).select("award_id", "supplier_id", "risk_score", "risk_band")
+
+
+# --------------------------------------------------------------- model / labels
+
+from bidlens.operators import evaluate as ev  # noqa: E402
+from bidlens.operators import model as mdl  # noqa: E402
+
+PROXY_SQL = ("CAST((COALESCE(amount_zscore_by_category, 0) > 1.5 OR COALESCE(repeat_winner_ratio, 0) > 0.8"
+             " OR COALESCE(near_threshold_flag, 0) = 1 OR COALESCE(award_concentration_by_buyer, 0) > 0.7)"
+             " AS INTEGER)")
+
+# A fixed coefficient set for the linear-scoring checks (the
+# cross-check needs numbers both engines share; ``fit`` is checked apart).
+FIXED_MODEL = scoring.LinearModel(
+    feature_cols=list(feat.FEATURE_COLS),
+    coef=[0.8, 1.2, 0.5, 1.5, -0.002],
+    intercept=-2.0,
+    thresholds={"low_max": 0.2, "medium_max": 0.5})
+
+
+def linear_sql(m: scoring.LinearModel) -> str:
+    terms = " + ".join(f"({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0)"
+                       for c, w in zip(m.feature_cols, m.coef))
+    return f"(1.0 / (1.0 + exp(-(({m.intercept!r}) + {terms}))))"
+
+
+def fixed_scores(spark, sf_dir, explain=True, top_k=None):
+    return scoring.linear_score(features_df(spark, sf_dir), FIXED_MODEL, top_k=top_k,
+                                explain=explain)
+
+
+@register("proxy_label", "WITH " + O.FEATURE_ROWS_CTE + f"""
+SELECT award_id, {PROXY_SQL} AS label FROM features_x""")
+def q_proxy_label(spark, sf_dir):
+    return mdl.proxy_label(features_df(spark, sf_dir)).select("award_id", "label")
+
+
+@register("band_thresholds", "WITH " + O.FEATURE_ROWS_CTE + f""",
+s AS (SELECT {HEUR_SQL} AS risk_score FROM features_x)
+SELECT ROUND(quantile_cont(risk_score, 0.33), 6) AS low_max,
+       ROUND(quantile_cont(risk_score, 0.66), 6) AS medium_max FROM s""")
+def q_band_thresholds(spark, sf_dir):
+    s = scoring.heuristic_score(features_df(spark, sf_dir))
+    th = mdl.band_thresholds(s, "risk_score")
+    return rounded(spark.createDataFrame([(th["low_max"], th["medium_max"])],
+                                         "low_max double, medium_max double"))
+
+
+@register("risk_band", "WITH " + O.FEATURE_ROWS_CTE + f""",
+s AS (SELECT award_id, {HEUR_SQL} AS risk_score FROM features_x),
+q AS (SELECT quantile_cont(risk_score, 0.33) AS lo, quantile_cont(risk_score, 0.66) AS md FROM s)
+SELECT award_id, risk_score,
+       CASE WHEN risk_score <= lo THEN 'low' WHEN risk_score <= md THEN 'medium' ELSE 'high' END
+       AS risk_band
+FROM s, q""")
+def q_risk_band(spark, sf_dir):
+    s = scoring.heuristic_score(features_df(spark, sf_dir))
+    th = mdl.band_thresholds(s, "risk_score")
+    return scoring.with_band(s, th).select("award_id", "risk_score", "risk_band")
+
+
+@register("linear_score_fixed", "WITH " + O.FEATURE_ROWS_CTE + f""",
+s AS (SELECT award_id, supplier_id, GREATEST(0.0, LEAST(1.0, {linear_sql(FIXED_MODEL)})) AS p
+      FROM features_x)
+SELECT award_id, supplier_id, ROUND(p, 6) AS risk_score,
+       {O.band_sql('p', 0.2, 0.5)} AS risk_band FROM s""")
+def q_linear_score_fixed(spark, sf_dir):
+    s = fixed_scores(spark, sf_dir, explain=False)
+    return rounded(s.select("award_id", "supplier_id", "risk_score", "risk_band"))
+
+
+def _factor_rows_sql(m: scoring.LinearModel, k: int) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT award_id, '{c}' AS name, COALESCE(CAST({c} AS DOUBLE), 0.0) AS value, "
+        f"({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0) AS contribution, {i} AS pos FROM features_x"
+        for i, (c, w) in enumerate(zip(m.feature_cols, m.coef)))
+    return f"""
+SELECT award_id, CAST(rk AS INTEGER) AS factor_rank, name, ROUND(value, 6) AS value,
+       ROUND(contribution, 6) AS contribution
+FROM (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY award_id ORDER BY abs(contribution) DESC, pos) AS rk
+      FROM ({parts}) f)
+WHERE rk <= {k}"""
+
+
+@register("top_factors", "WITH " + O.FEATURE_ROWS_CTE + _factor_rows_sql(FIXED_MODEL, 3))
+def q_top_factors(spark, sf_dir):
+    s = fixed_scores(spark, sf_dir, explain=True, top_k=3)
+    e = s.select("award_id", F.posexplode("top_factors").alias("pos", "f"))
+    return rounded(e.select("award_id", (F.col("pos") + 1).cast("int").alias("factor_rank"),
+                            F.col("f.name").alias("name"), F.col("f.value").alias("value"),
+                            F.col("f.contribution").alias("contribution")))
+
+
+EVAL_SQL = "WITH " + O.FEATURE_ROWS_CTE + f""",
+s AS (SELECT {PROXY_SQL} AS y, {linear_sql(FIXED_MODEL)} AS p FROM features_x),
+g AS (SELECT p, SUM(y) AS pos, SUM(1 - y) AS neg FROM s GROUP BY p),
+c AS (SELECT p, pos, neg,
+        COALESCE(SUM(pos) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_below,
+        COALESCE(SUM(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below
+      FROM g),
+t AS (SELECT CAST(SUM(pos) AS DOUBLE) AS tot_pos, CAST(SUM(neg) AS DOUBLE) AS tot_neg FROM g),
+r AS (SELECT SUM(pos * (neg_below + neg / 2.0)) / (tot_pos * tot_neg) AS auc_roc,
+             SUM(CASE WHEN pos > 0 THEN pos / tot_pos * (tot_pos - pos_below)
+                      / ((tot_pos - pos_below) + (tot_neg - neg_below)) ELSE 0 END) AS avg_precision
+      FROM c, t GROUP BY tot_pos, tot_neg),
+m AS (SELECT AVG((p - y) * (p - y)) AS brier,
+             AVG(-(y * ln(LEAST(GREATEST(p, 1e-6), 1 - 1e-6))
+                   + (1 - y) * ln(1 - LEAST(GREATEST(p, 1e-6), 1 - 1e-6)))) AS log_loss,
+             AVG(y) AS pos_rate, COUNT(*) AS n FROM s)
+SELECT ROUND(auc_roc, 6) AS auc_roc, ROUND(avg_precision, 6) AS avg_precision,
+       ROUND(brier, 6) AS brier, ROUND(log_loss, 6) AS log_loss, ROUND(pos_rate, 6) AS pos_rate,
+       n FROM r, m"""
+
+
+@register("eval_metrics", EVAL_SQL)
+def q_eval_metrics(spark, sf_dir):
+    s = mdl.proxy_label(fixed_scores(spark, sf_dir, explain=False))
+    s = s.withColumn("p", FIXED_MODEL.probability())
+    return rounded(ev.metrics(s, "label", "p", order="award_id"))
+
+
+@register("fit_logreg")
+def q_fit_logreg(spark, sf_dir):
+    """Fit on the whole feature table; the coefficient table (rows-only
+    check; coefficients are compared with a Newton solve in the tests)."""
+    lm, _ = mdl.fit(features_df(spark, sf_dir))
+    return mdl.top_weights(spark, lm)
+
+
+@register("calibrated_score")
+def q_calibrated_score(spark, sf_dir):
+    f = features_df(spark, sf_dir).cache()
+    lm, _ = mdl.fit(f)
+    cal = mdl.calibrate(f, lm)
+    return scoring.linear_score(f, cal, top_k=3).select(
+        "award_id", "supplier_id", "risk_score", "risk_band", "top_factors")
+
+
+# --------------------------------------------------------------- sanctions + graph
+
+from bidlens.operators import graph as gr  # noqa: E402
+from bidlens.sources import sanctions as sanc  # noqa: E402
+
+SANCTIONS_URL = "https://example.org/debarred-firms.csv"
+STAMP = "2024-01-01T00:00:00Z"
+
+
+def sanctions_df(spark, sf_dir):
+    return sanc.normalize_sanctions(ad.sanctions_sheet(spark, sf_dir), SANCTIONS_URL, STAMP)
+
+
+SANCTIONS_SQL_CTE = f"""
+sheet_x AS (
+  SELECT s.s_suppkey, s.s_name, s.s_nationkey, n.n_name,
+         DATE '2010-01-01' + CAST(s.s_suppkey % 3000 AS INTEGER) AS d0
+  FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  WHERE s.s_acctbal < 0
+),
+sanc_rows_x AS (
+  SELECT trim(s_name) AS name, lower(trim(s_name)) AS normalized_name, n_name AS country,
+         'Fraudulent Practice' AS grounds, strftime(d0, '%Y-%m-%d') AS start_date,
+         CASE WHEN s_nationkey % 5 = 0 THEN NULL
+              ELSE strftime(d0 + CAST(365 + s_nationkey * 30 AS INTEGER), '%Y-%m-%d') END AS end_date,
+         '{SANCTIONS_URL}' AS source_url, '{STAMP}' AS updated_at
+  FROM sheet_x
+),
+sanctions_x AS (
+  SELECT name, normalized_name, country, grounds, start_date, end_date, source_url, updated_at
+  FROM (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY normalized_name, start_date, end_date
+                                       ORDER BY name, country, grounds) AS rn FROM sanc_rows_x r)
+  WHERE rn = 1
+)"""
+
+
+@register("sanctions_norm", "WITH " + SANCTIONS_SQL_CTE + " SELECT * FROM sanctions_x")
+def q_sanctions_norm(spark, sf_dir):
+    return sanctions_df(spark, sf_dir)
+
+
+def graph_parts(spark, sf_dir):
+    return gr.bipartite_graph(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir, keep_order=False))
+
+
+def name_key_sql(x: str) -> str:
+    return (f"NULLIF(trim(regexp_replace(regexp_replace(lower({x}), '[\\W_]+', ' ', 'g'),"
+            f" '\\s+', ' ', 'g')), '')")
+
+
+GRAPH_CTE = "WITH " + O.TENDERS_CTE + "," + O.AWARDS_CTE + "," + SANCTIONS_SQL_CTE + """,
+gj AS (SELECT a.award_id, a.supplier_id, a.supplier_name, a.amount, t.buyer_id, t.buyer_name
+       FROM awards_x a LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id),
+ge AS (SELECT 'buyer:' || buyer_id AS src, supplier_id AS dst, COUNT(award_id) AS awards_count,
+              COALESCE(SUM(amount), 0.0) AS total_amount FROM gj GROUP BY 1, 2),
+gadj AS (SELECT src AS node, dst AS nbr FROM ge UNION SELECT dst AS node, src AS nbr FROM ge),
+gsup AS (SELECT supplier_id AS id, max(supplier_name) AS supplier_name FROM gj GROUP BY 1),
+gkeys AS (SELECT DISTINCT """ + name_key_sql("name") + """ AS k FROM sanctions_x),
+gsan AS (SELECT s.id, s.supplier_name,
+                (""" + name_key_sql("s.supplier_name") + """ IN (SELECT k FROM gkeys WHERE k IS NOT NULL))
+                IS TRUE AS is_sanctioned
+         FROM gsup s)"""
+
+
+def bfs_sql(seed_sql: str, levels: int) -> str:
+    """Unrolled BFS: l0 = seed, l{i} = new neighbours of l{i-1}."""
+    parts = [f"l0 AS (SELECT DISTINCT node FROM ({seed_sql}))"]
+    for i in range(1, levels + 1):
+        seen = " UNION ".join(f"SELECT node FROM l{j}" for j in range(i))
+        parts.append(f"l{i} AS (SELECT DISTINCT a.nbr AS node FROM gadj a JOIN l{i-1} p ON a.node = p.node"
+                     f" WHERE a.nbr NOT IN ({seen}))")
+    dist = " UNION ALL ".join(f"SELECT node, {i} AS d FROM l{i}" for i in range(levels + 1))
+    return ",\n".join(parts) + f",\ngdist AS ({dist})"
+
+
+@register("edges", GRAPH_CTE + """
+SELECT src, dst, awards_count, ROUND(total_amount, 6) AS total_amount FROM ge""")
+def q_edges(spark, sf_dir):
+    _, e = graph_parts(spark, sf_dir)
+    return rounded(e)
+
+
+@register("degree", GRAPH_CTE + """
+SELECT node, COUNT(*) AS degree FROM gadj GROUP BY node""")
+def q_degree(spark, sf_dir):
+    _, e = graph_parts(spark, sf_dir)
+    return gr.degree(e)
+
+
+@register("sanction_match", GRAPH_CTE + """
+SELECT id, supplier_name, is_sanctioned FROM gsan""")
+def q_sanction_match(spark, sf_dir):
+    v, _ = graph_parts(spark, sf_dir)
+    return gr.sanctioned_suppliers(v, sanctions_df(spark, sf_dir)).select(
+        "id", "supplier_name", "is_sanctioned")
+
+
+BFS_LEVELS = 12
+
+
+@register("distance_to_sanctioned", GRAPH_CTE + ",\n" + bfs_sql(
+    "SELECT id AS node FROM gsan WHERE is_sanctioned", BFS_LEVELS) + """
+SELECT s.id AS supplier_id, CAST(d.d AS BIGINT) AS distance_to_sanctioned
+FROM gsan s LEFT JOIN gdist d ON s.id = d.node""")
+def q_distance_to_sanctioned(spark, sf_dir):
+    v, e = graph_parts(spark, sf_dir)
+    sup = gr.sanctioned_suppliers(v, sanctions_df(spark, sf_dir))
+    dist = gr.distance_to(e, sup.filter("is_sanctioned").select(F.col("id").alias("node")))
+    return sup.join(dist.withColumnRenamed("node", "id"), "id", "left").select(
+        F.col("id").alias("supplier_id"), F.col("dist").cast("long").alias("distance_to_sanctioned"))
+
+
+@register("graph_metrics", GRAPH_CTE + ",\n" + bfs_sql(
+    "SELECT id AS node FROM gsan WHERE is_sanctioned", BFS_LEVELS) + """,
+gdeg AS (SELECT node, COUNT(*) AS degree FROM gadj GROUP BY node)
+SELECT s.id AS supplier_id, s.supplier_name, CAST(g.degree AS BIGINT) AS degree, 0.0 AS betweenness,
+       CAST(d.d AS BIGINT) AS distance_to_sanctioned
+FROM gsan s LEFT JOIN gdeg g ON s.id = g.node LEFT JOIN gdist d ON s.id = d.node""")
+def q_graph_metrics(spark, sf_dir):
+    m = gr.graph_metrics(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir, keep_order=False),
+                         sanctions_df(spark, sf_dir), with_betweenness=False)
+    return m.drop("node")
+
+
+EGO_NODE = "1"
+
+
+@register("ego_edges", GRAPH_CTE + ",\n" + bfs_sql(f"SELECT '{EGO_NODE}' AS node", 2) + """
+SELECT src, dst, awards_count, ROUND(total_amount, 6) AS total_amount FROM ge
+WHERE src IN (SELECT node FROM gdist) AND dst IN (SELECT node FROM gdist)""")
+def q_ego_edges(spark, sf_dir):
+    _, e = graph_parts(spark, sf_dir)
+    return rounded(gr.ego_edges(e, EGO_NODE, 2))
+
+
+@register("betweenness")
+def q_betweenness(spark, sf_dir):
+    """Exact normalised betweenness of every supplier (rows-only check;
+    path/star/known-value cases are unit tests)."""
+    v, e = graph_parts(spark, sf_dir)
+    bt = gr.betweenness(v, e)
+    sup = v.filter(F.col("bipartite") == "supplier").select(F.col("id").alias("node"), "supplier_id")
+    return sup.join(bt, "node", "left").select("supplier_id", "betweenness")
