@@ -76,3 +76,63 @@ def sanctions_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("Fraudulent  Practice").alias("Grounds"),
                      start_txt.alias("From"),
                      end_txt.alias("To")))
+
+
+def releases_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OCDS release (as JSON text) per line item: the order is the
+    tender, the customer the buyer, the line item the award, the supplier
+    its supplier party.  Variations exercise the fallbacks: orders with
+    status 'P' carry no tender id, line 1 has no award id, return flag 'R'
+    lists no award supplier (party fallback) and 'A' lists a supplier
+    without id (hashed id).  Columns: ``value`` (JSON), ``release_order``."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    j = (li.join(o, li.l_orderkey == o.o_orderkey, "left")
+           .join(c, F.col("o_custkey") == c.c_custkey, "left")
+           .join(s, li.l_suppkey == s.s_suppkey, "left")
+           .join(n, F.col("s_nationkey") == n.n_nationkey, "left")
+           .join(p, li.l_partkey == p.p_partkey, "left"))
+    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    key = F.col("l_orderkey").cast("string")
+    ocid = F.concat(F.lit("ocds-"), key)
+    line_id = F.concat_ws("-", key, F.col("l_linenumber").cast("string"))
+    no_addr = F.struct(F.lit(None).cast("string").alias("countryName"),
+                       F.lit(None).cast("string").alias("region"),
+                       F.lit(None).cast("string").alias("addressLocality"))
+    sup_party = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"),
+                         F.array(F.lit("supplier")).alias("roles"),
+                         F.struct(F.col("n_name").alias("countryName"),
+                                  F.lit(None).cast("string").alias("region"),
+                                  F.lit(None).cast("string").alias("addressLocality")).alias("address"))
+    buyer_party = F.struct(F.concat(F.lit("B-"), F.col("c_custkey").cast("string")).alias("id"),
+                           F.col("c_name").alias("name"), F.array(F.lit("buyer")).alias("roles"),
+                           no_addr.alias("address"))
+    sup_t = "array<struct<id:string,name:string>>"
+    suppliers = (F.when(F.col("l_returnflag") == "R", F.array().cast(sup_t))
+                  .when(F.col("l_returnflag") == "A", F.array(F.struct(
+                      F.lit(None).cast("string").alias("id"), F.col("s_name").alias("name"))))
+                  .otherwise(F.array(F.struct(F.col("s_suppkey").cast("string").alias("id"),
+                                              F.col("s_name").alias("name")))))
+    release = F.struct(
+        ocid.alias("ocid"), line_id.alias("id"), F.date_format("o_orderdate", iso).alias("date"),
+        F.struct(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("T-"), key)).alias("id"),
+                 F.col("o_orderpriority").alias("mainProcurementCategory"),
+                 F.lit("open").alias("procurementMethod"), F.col("o_orderstatus").alias("status"),
+                 F.struct(F.col("o_totalprice").alias("amount"), F.lit("USD").alias("currency")).alias("value"),
+                 F.struct(F.col("p_brand").alias("id")).alias("classification"),
+                 F.array(F.struct(F.struct(F.col("p_type").alias("id")).alias("classification")),
+                         F.struct(F.struct(F.col("p_brand").alias("id")).alias("classification")))
+                 .alias("items")).alias("tender"),
+        F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")).alias("buyer"),
+        F.array(sup_party, buyer_party).alias("parties"),
+        F.array(F.struct(
+            F.when(F.col("l_linenumber") != 1, line_id).alias("id"),
+            F.date_format("l_shipdate", iso).alias("date"), F.col("l_linestatus").alias("status"),
+            F.struct(F.col("l_extendedprice").alias("amount"), F.lit("USD").alias("currency")).alias("value"),
+            suppliers.alias("suppliers"))).alias("awards"))
+    return j.select(F.to_json(release).alias("value"),
+                    F.struct(*[F.col(c) for c in AWARD_ORDER]).alias("release_order"))

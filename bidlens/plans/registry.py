@@ -411,3 +411,71 @@ def q_betweenness(spark, sf_dir):
     bt = gr.betweenness(v, e)
     sup = v.filter(F.col("bipartite") == "supplier").select(F.col("id").alias("node"), "supplier_id")
     return sup.join(bt, "node", "left").select("supplier_id", "betweenness")
+
+
+# --------------------------------------------------------------- OCDS ingestion
+
+from bidlens.sources import ocds  # noqa: E402
+
+
+def releases_df(spark, sf_dir):
+    txt = ad.releases_json(spark, sf_dir)
+    return ocds.parse_releases(txt, "value", jsonl=True, order=F.col("release_order"))
+
+
+RELEASE_ROWS_CTE = """
+rel_x AS (
+  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_extendedprice,
+         l.l_returnflag, l.l_linestatus, o.o_orderdate, o.o_orderstatus, o.o_orderpriority, o.o_totalprice,
+         c.c_custkey, c.c_name, s.s_suppkey, s.s_name, n.n_name, p.p_brand, p.p_type,
+         'ocds-' || CAST(l.l_orderkey AS VARCHAR) AS ocid
+  FROM lineitem l
+  LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
+),
+rel_tid_x AS (
+  SELECT r.*, CASE WHEN o_orderstatus <> 'P' THEN 'T-' || CAST(l_orderkey AS VARCHAR)
+                   ELSE ocid || '-tender' END AS tender_id,
+         CASE WHEN l_returnflag = 'A' THEN substr(sha1(COALESCE(NULLIF(s_name, ''), 'unknown') || '|' || ocid), 1, 16)
+              ELSE CAST(s_suppkey AS VARCHAR) END AS supplier_id
+  FROM rel_x r
+)"""
+
+
+@register("tenders", "WITH " + RELEASE_ROWS_CTE + """
+SELECT tender_id, ocid, CAST(c_custkey AS VARCHAR) AS buyer_id, c_name AS buyer_name,
+       o_orderpriority AS main_category, 'open' AS method, o_orderstatus AS status,
+       ROUND(o_totalprice, 6) AS value_amount, 'USD' AS value_currency,
+       NULLIF(array_to_string(list_sort(list_distinct(list_filter([p_brand, p_type, p_brand],
+              lambda x: x IS NOT NULL AND x <> ''))), ';'), '') AS cpv_ids,
+       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS tender_date
+FROM rel_tid_x""")
+def q_tenders(spark, sf_dir):
+    return rounded(ocds.tenders(releases_df(spark, sf_dir)))
+
+
+@register("awards", "WITH " + RELEASE_ROWS_CTE + """
+SELECT CASE WHEN l_linenumber <> 1 THEN CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)
+            ELSE ocid || '-award-0000' END AS award_id,
+       ocid, tender_id, supplier_id, s_name AS supplier_name, ROUND(l_extendedprice, 6) AS amount,
+       'USD' AS currency, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS date, l_linestatus AS status
+FROM rel_tid_x""")
+def q_awards(spark, sf_dir):
+    return rounded(ocds.awards(releases_df(spark, sf_dir)))
+
+
+@register("suppliers", "WITH " + RELEASE_ROWS_CTE + """,
+cand AS (
+  SELECT supplier_id, s_name AS name, CASE WHEN l_returnflag = 'A' THEN NULL ELSE n_name END AS country,
+         0 AS phase, """ + O.AWARD_ORDER_SQL + """ FROM rel_tid_x
+  UNION ALL
+  SELECT CAST(s_suppkey AS VARCHAR), s_name, n_name, 1, """ + O.AWARD_ORDER_SQL + """ FROM rel_tid_x
+)
+SELECT supplier_id, name, country FROM (
+  SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY supplier_id ORDER BY """ + O.AWARD_ORDER_SQL + """, phase) AS rn
+  FROM cand) WHERE rn = 1""")
+def q_suppliers(spark, sf_dir):
+    return ocds.suppliers(releases_df(spark, sf_dir))
