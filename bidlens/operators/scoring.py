@@ -153,9 +153,12 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
         graph_cols = [c for c in g.columns if c != "__g_supplier_id"]
         j = j.join(g, j["supplier_id"] == g["__g_supplier_id"], "left")
     miss = F.col("__found").isNull()
-    err = F.coalesce(F.col("error"), F.when(miss & F.lit(unmatched == "error"), F.lit(ERR_NOT_FOUND)))
-    if features.isEmpty():  # limit-1 probe, not a scan
-        err = F.coalesce(F.col("error"), F.lit(ERR_NO_FEATURES))
+    # an uncorrelated EXISTS subquery (CollectLimit 1 in the plan, no extra
+    # job over the features) tells "no features at all" from "not found"
+    has_features = features.exists()
+    err = F.coalesce(F.col("error"),
+                     F.when(~has_features, F.lit(ERR_NO_FEATURES)),
+                     F.when(miss & F.lit(unmatched == "error"), F.lit(ERR_NOT_FOUND)))
     j = j.withColumn("error", err)
     ok = F.col("error").isNull()
     if model is not None:
@@ -189,8 +192,8 @@ def validate_batch(requests: DataFrame, features: DataFrame) -> DataFrame:
                    .filter(F.col("__id").isNotNull()).distinct()
                    .withColumn("__found", F.lit(True)))
     j = req.join(ids, req["award_id"] == ids["__id"], "left")
-    missing = ERR_NO_FEATURES if features.isEmpty() else ERR_NOT_FOUND  # limit-1 probe
+    missing = F.when(features.exists(), F.lit(ERR_NOT_FOUND)).otherwise(F.lit(ERR_NO_FEATURES))
     err = (F.when(F.col("error").isNotNull(), F.col("error"))
-            .when(F.col("__found").isNull(), F.lit(missing)))
+            .when(F.col("__found").isNull(), missing))
     return j.select("input_row_id", "award_id", "supplier_id",
                     err.isNull().alias("valid"), err.alias("error"))

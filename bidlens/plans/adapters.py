@@ -136,3 +136,93 @@ def releases_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             suppliers.alias("suppliers"))).alias("awards"))
     return j.select(F.to_json(release).alias("value"),
                     F.struct(*[F.col(c) for c in AWARD_ORDER]).alias("release_order"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scoring request per line item (the whole table): the award id,
+    blank when the quantity is below 2, an unknown id when above 49; the
+    supplier id is given on line 2 only.  ``input_row_id`` is a unique
+    text key built from the line item's order columns."""
+    li = table(spark, sf_dir, "lineitem")
+    aid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rid = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber",
+                                                               "l_partkey", "l_suppkey")],
+                      F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+                      .cast("string"),
+                      F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
+    return li.select(
+        rid.alias("input_row_id"),
+        F.when(F.col("l_quantity") < 2, F.lit(""))
+         .when(F.col("l_quantity") > 49, F.concat(aid, F.lit("-x")))
+         .otherwise(aid).alias("award_id"),
+        F.when(F.col("l_linenumber") == 2, F.col("l_suppkey").cast("string")).alias("supplier_id"))
+
+
+PROJECT_PAGE_SIZE = 500
+
+
+def project_pages(spark: SparkSession, sf_dir: str, page_size: int = PROJECT_PAGE_SIZE) -> DataFrame:
+    """Search-API style project pages built from ``events`` (one project
+    record per event, ``page_size`` records per page — a bounded group):
+    columns ``offset`` and ``value`` (the page JSON)."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    country = F.when(F.col("event_type") == "error", F.array().cast("array<string>")).otherwise(F.array(k))
+    cents = F.round(F.col("value") * 100).cast("long")
+    rec = F.struct(
+        F.concat(F.lit("P"), F.lpad(F.col("event_id").cast("string"), 6, "0")).alias("id"),
+        F.concat(F.col("event_type"), F.lit(" project "), F.col("event_id").cast("string")).alias("project_name"),
+        F.upper("event_type").alias("regionname"),
+        country.alias("countryshortname"),
+        country.alias("countrycode"),
+        F.when(F.col("value") > 25, "Active").otherwise("Closed").alias("projectstatusdisplay"),
+        cents.cast("string").alias("totalcommamt"),
+        cents.alias("totalamt"),
+        F.year("ts").cast("string").alias("approvalfy"),
+        F.date_format("ts", "MMMM").alias("board_approval_month"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("p2a_updated_date"))
+    page = F.floor(F.col("event_id") / page_size).cast("long")
+    pages = (e.select(page.alias("page"), F.struct(F.col("event_id").cast("string").alias("k"),
+                                                    rec.alias("v")).alias("kv"))
+              .groupBy("page").agg(F.map_from_entries(F.collect_list("kv")).alias("projects"),
+                                   F.count(F.lit(1)).alias("total")))
+    return pages.select((F.col("page") * page_size).alias("offset"),
+                        F.to_json(F.struct("projects", "total")).alias("value"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adverse-media payloads from ``documents``: one payload per document
+    with one extracted item — the first capitalised word of the whole text
+    as entity, the source as allegation type, the language as location,
+    a confidence from the length.  German documents cite a link without
+    scheme (invalid URL); documents under 50 characters produce a broken
+    payload.  Columns ``payload_id``, ``payload``."""
+    d = table(spark, sf_dir, "documents")
+    ent = F.regexp_extract("text", "([A-Z][a-z]+)", 1)
+    item = F.struct(
+        F.when(ent != "", ent).alias("entity"),
+        F.col("source").alias("allegation_type"),
+        F.lit(None).cast("string").alias("date"),
+        F.col("lang").alias("location"),
+        F.when(F.col("lang") == "de", F.concat(F.lit("news.example.org/"), F.col("doc_id").cast("string")))
+         .otherwise(F.concat(F.lit("https://news.example.org/a/"), F.col("doc_id").cast("string")))
+         .alias("source_url"),
+        (F.col("n_chars") / F.lit(10000.0)).alias("confidence"),
+        F.lit(None).cast("string").alias("snippet"))
+    payload = F.when(F.col("n_chars") < 50, F.lit('{"items": [')).otherwise(
+        F.to_json(F.struct(F.array(item).alias("items"))))
+    return d.select(F.col("doc_id").alias("payload_id"), payload.alias("payload"))
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log from ``events``: endpoint from the event type, status
+    'error' for error events, duration from the value, items from props."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("request_id"),
+        F.concat(F.lit("/v1/"), F.col("event_type")).alias("endpoint"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_utc"),
+        F.round(F.col("value") * 10).cast("long").alias("duration_ms"),
+        F.get_json_object("props", "$.k").cast("long").alias("num_items"),
+        F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
+        F.date_format("ts", "yyyy-MM-dd").alias("date"))

@@ -479,3 +479,269 @@ SELECT supplier_id, name, country FROM (
   FROM cand) WHERE rn = 1""")
 def q_suppliers(spark, sf_dir):
     return ocds.suppliers(releases_df(spark, sf_dir))
+
+
+# --------------------------------------------------------------- batch scoring
+
+REQUESTS_CTE = """
+req_x AS (
+  SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+                   CAST(l_suppkey AS VARCHAR),
+                   CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR),
+                   CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS input_row_id,
+         CASE WHEN l_quantity < 2 THEN ''
+              WHEN l_quantity > 49 THEN CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-x'
+              ELSE CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END AS award_id,
+         CASE WHEN l_linenumber = 2 THEN CAST(l_suppkey AS VARCHAR) END AS supplier_id
+  FROM lineitem
+),
+breq_x AS (
+  SELECT r.input_row_id, r.award_id, COALESCE(r.supplier_id, f.supplier_id) AS supplier_id,
+         f.award_concentration_by_buyer, f.repeat_winner_ratio, f.amount_zscore_by_category,
+         f.near_threshold_flag, f.time_to_award_days,
+         CASE WHEN r.award_id IS NULL OR trim(r.award_id) = '' THEN '""" + scoring.ERR_BLANK + """'
+              WHEN f.award_id IS NULL THEN '""" + scoring.ERR_NOT_FOUND + """' END AS error
+  FROM req_x r LEFT JOIN features_x f ON r.award_id = f.award_id
+)"""
+
+
+from bidlens.functions.scoring import HEURISTIC_FACTORS  # noqa: E402
+
+
+def requests_df(spark, sf_dir):
+    return ad.requests(spark, sf_dir)
+
+
+def factor_names(col="top_factors"):
+    return F.array_join(F.transform(col, lambda f: f["name"]), ",")
+
+
+@register("score_batch", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
+SELECT input_row_id, award_id, supplier_id,
+       CASE WHEN error IS NULL THEN """ + HEUR_SQL + """ END AS risk_score,
+       CASE WHEN error IS NULL THEN """ + O.band_sql(HEUR_SQL) + """ END AS risk_band,
+       CASE WHEN error IS NULL THEN '""" + ",".join(HEURISTIC_FACTORS) + """' ELSE '' END AS factor_names,
+       error
+FROM breq_x""")
+def q_score_batch(spark, sf_dir):
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
+    return out.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
+                      factor_names().alias("factor_names"), "error")
+
+
+@register("score_batch_model", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """,
+fx AS (
+  SELECT input_row_id, f.name, abs(f.contribution) AS ac, f.pos FROM (
+    SELECT input_row_id, unnest([""" + ", ".join(
+        f"{{'name': '{c}', 'contribution': ({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0), 'pos': {i}}}"
+        for i, (c, w) in enumerate(zip(FIXED_MODEL.feature_cols, FIXED_MODEL.coef))) + """]) AS f
+    FROM breq_x WHERE error IS NULL)
+),
+fr AS (SELECT input_row_id, name, ROW_NUMBER() OVER (PARTITION BY input_row_id ORDER BY ac DESC, pos) AS rk FROM fx),
+fn AS (SELECT input_row_id, string_agg(name, ',' ORDER BY rk) AS names FROM fr WHERE rk <= 3 GROUP BY input_row_id)
+SELECT b.input_row_id, b.award_id, b.supplier_id,
+       CASE WHEN error IS NULL THEN ROUND(GREATEST(0.0, LEAST(1.0, """ + linear_sql(FIXED_MODEL) + """)), 6) END
+       AS risk_score,
+       CASE WHEN error IS NULL THEN """ + O.band_sql("GREATEST(0.0, LEAST(1.0, " + linear_sql(FIXED_MODEL) + "))",
+                                                     0.2, 0.5) + """ END AS risk_band,
+       COALESCE(fn.names, '') AS factor_names, error
+FROM breq_x b LEFT JOIN fn ON b.input_row_id = fn.input_row_id""")
+def q_score_batch_model(spark, sf_dir):
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir),
+                              model=FIXED_MODEL, explain=True, top_k=3)
+    return rounded(out.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
+                              factor_names().alias("factor_names"), "error"))
+
+
+@register("validate_batch", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
+SELECT input_row_id, award_id, supplier_id, error IS NULL AS valid, error FROM (
+  SELECT r.input_row_id, r.award_id, r.supplier_id,
+         CASE WHEN r.award_id IS NULL OR trim(r.award_id) = '' THEN '""" + scoring.ERR_BLANK + """'
+              WHEN r.award_id NOT IN (SELECT award_id FROM features_x WHERE award_id IS NOT NULL)
+              THEN '""" + scoring.ERR_NOT_FOUND + """' END AS error
+  FROM req_x r)""")
+def q_validate_batch(spark, sf_dir):
+    return scoring.validate_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
+
+
+# --------------------------------------------------------------- projects, pages, media
+
+from bidlens.operators import record_score as rec  # noqa: E402
+from bidlens.operators import report as rep  # noqa: E402
+from bidlens.operators import runlog as rl  # noqa: E402
+from bidlens.sources import media as med  # noqa: E402
+from bidlens.sources import pages as pg  # noqa: E402
+from bidlens.sources import projects as prj  # noqa: E402
+
+
+@register("projects", """
+SELECT 'P' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS id,
+       event_type || ' project ' || CAST(event_id AS VARCHAR) AS project_name,
+       upper(event_type) AS regionname,
+       CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS countryshortname,
+       CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS countrycode,
+       CASE WHEN value > 25 THEN 'Active' ELSE 'Closed' END AS projectstatusdisplay,
+       CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS totalcommamt,
+       CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS totalamt,
+       CAST(year(ts) AS VARCHAR) AS approvalfy,
+       strftime(ts, '%B') AS board_approval_month,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS p2a_updated_date
+FROM events""")
+def q_projects(spark, sf_dir):
+    recs = prj.page_records(ad.project_pages(spark, sf_dir), "value", "offset")
+    return prj.normalize_projects(recs)
+
+
+# Suffixes and keywords for the link-ranking check (the test
+# pages hold no spreadsheet links, so the check ranks word links instead).
+LINK_SUFFIXES = ("en", "er", "es", "in")
+LINK_KEYWORDS = ("the", "de", "en", "ie")
+
+
+def _link_sql() -> str:
+    score = " + ".join(f"(CASE WHEN contains(lower(href), '{k}') THEN 1 ELSE 0 END)" for k in LINK_KEYWORDS)
+    ends = " OR ".join(f"lower(href) LIKE '%{s}'" for s in LINK_SUFFIXES)
+    origin = "regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
+    return f"""
+WITH h AS (SELECT page_id, url AS base,
+                  unnest(regexp_extract_all(html, '(?i)href=["\\\\'']([^"\\\\'']+)["\\\\'']', 1)) AS href
+           FROM pages),
+c AS (SELECT page_id, {score} AS score,
+             CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN href
+                  WHEN href LIKE '/%' THEN {origin} || href
+                  ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '/[^/]*$', '/') || href END AS url
+      FROM h WHERE {ends})
+SELECT page_id, url, CAST(score AS INTEGER) AS score FROM (
+  SELECT c.*, ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY score DESC, url) AS rn FROM c)
+WHERE rn = 1"""
+
+
+@register("page_links", _link_sql())
+def q_page_links(spark, sf_dir):
+    return pg.page_links(ad.table(spark, sf_dir, "pages"), LINK_SUFFIXES, LINK_KEYWORDS)
+
+
+MEDIA_CTE = """
+mi_x AS (
+  SELECT doc_id AS payload_id, 0 AS item_no, n_chars,
+         NULLIF(regexp_extract(text, '([A-Z][a-z]+)', 1), '') AS entity, source AS allegation_type,
+         CAST(NULL AS VARCHAR) AS date, lang AS location,
+         CASE WHEN lang = 'de' THEN 'news.example.org/' || CAST(doc_id AS VARCHAR)
+              ELSE 'https://news.example.org/a/' || CAST(doc_id AS VARCHAR) END AS source_url,
+         n_chars / 10000.0 AS confidence, CAST(NULL AS VARCHAR) AS snippet
+  FROM documents
+),
+mv_x AS (
+  SELECT * FROM mi_x WHERE n_chars >= 50 AND entity IS NOT NULL AND allegation_type IS NOT NULL
+    AND (confidence BETWEEN 0 AND 1) AND regexp_matches(source_url, '^https?://[^\\s/?#]+[^\\s]*$')
+)"""
+
+
+@register("media_valid", "WITH " + MEDIA_CTE + """
+SELECT payload_id, CAST(item_no AS INTEGER) AS item_no, entity, allegation_type, date, location,
+       source_url, ROUND(confidence, 6) AS confidence, snippet FROM mv_x""")
+def q_media_valid(spark, sf_dir):
+    valid, _ = med.validate_media(ad.media_payloads(spark, sf_dir))
+    return rounded(valid)
+
+
+@register("media_rejects", "WITH " + MEDIA_CTE + """
+SELECT payload_id, CAST(CASE WHEN n_chars < 50 THEN NULL ELSE 0 END AS INTEGER) AS item_no,
+       CAST(CASE WHEN n_chars < 50 THEN 1 ELSE
+         (entity IS NULL)::INT + (confidence > 1)::INT
+         + (NOT regexp_matches(source_url, '^https?://[^\\s/?#]+[^\\s]*$'))::INT END AS INTEGER) AS n_errors
+FROM mi_x
+WHERE n_chars < 50 OR entity IS NULL OR confidence > 1
+   OR NOT regexp_matches(source_url, '^https?://[^\\s/?#]+[^\\s]*$')""")
+def q_media_rejects(spark, sf_dir):
+    _, rej = med.validate_media(ad.media_payloads(spark, sf_dir))
+    return rej.select("payload_id", "item_no", F.size("errors").cast("int").alias("n_errors"))
+
+
+@register("media_hits", "WITH " + MEDIA_CTE + """
+SELECT """ + name_key_sql("entity") + """ AS name_key, COUNT(*) AS adverse_media_count
+FROM mv_x WHERE """ + name_key_sql("entity") + """ IS NOT NULL GROUP BY 1""")
+def q_media_hits(spark, sf_dir):
+    valid, _ = med.validate_media(ad.media_payloads(spark, sf_dir))
+    return med.media_hits(valid)
+
+
+@register("demo_score", "WITH " + O.AWARDS_CTE + "," + SANCTIONS_SQL_CTE + "," + MEDIA_CTE + """,
+keys AS (SELECT DISTINCT """ + name_key_sql("name") + """ AS k FROM sanctions_x),
+hits AS (SELECT """ + name_key_sql("entity") + """ AS k, COUNT(*) AS n FROM mv_x GROUP BY 1),
+sig AS (SELECT supplier_id, COUNT(award_id) AS past, min(""" + name_key_sql("supplier_name") + """) AS k
+        FROM awards_x GROUP BY supplier_id),
+sig2 AS (SELECT s.supplier_id, s.past, (s.k IN (SELECT k FROM keys WHERE k IS NOT NULL)) IS TRUE AS sanctioned,
+                COALESCE(h.n, 0) AS media
+         FROM sig s LEFT JOIN hits h ON s.k = h.k)
+SELECT a.award_id, a.supplier_id,
+       ROUND(0.45 * (CASE WHEN sanctioned THEN 1.0 ELSE 0.0 END) + 0.25 * LEAST(1.0, media / 5.0)
+             + 0.2 * LEAST(1.0, past / 10.0) + 0.1 * LEAST(1.0, COALESCE(a.amount, 0.0) / 1000000.0), 4)
+       AS risk_score
+FROM awards_x a LEFT JOIN sig2 ON a.supplier_id = sig2.supplier_id""")
+def q_demo_score(spark, sf_dir):
+    aw = ad.awards(spark, sf_dir, keep_order=False)
+    valid, _ = med.validate_media(ad.media_payloads(spark, sf_dir))
+    sig = rec.supplier_signals(aw, sanctions_df(spark, sf_dir), med.media_hits(valid))
+    return rec.score_awards(aw, sig).select("award_id", "supplier_id", "risk_score")
+
+
+# --------------------------------------------------------------- reports, run log
+
+@register("flat_factors", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """,
+fx AS (
+  SELECT input_row_id, f.name, abs(f.contribution) AS ac, f.pos FROM (
+    SELECT input_row_id, unnest([""" + ", ".join(
+        f"{{'name': '{c}', 'contribution': ({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0), 'pos': {i}}}"
+        for i, (c, w) in enumerate(zip(FIXED_MODEL.feature_cols, FIXED_MODEL.coef))) + """]) AS f
+    FROM breq_x WHERE error IS NULL)
+),
+fr AS (SELECT input_row_id, name, ROW_NUMBER() OVER (PARTITION BY input_row_id ORDER BY ac DESC, pos) AS rk FROM fx)
+SELECT b.input_row_id,
+       COALESCE(max(CASE WHEN rk = 1 THEN name END), '') AS top_factor_1_name,
+       COALESCE(max(CASE WHEN rk = 2 THEN name END), '') AS top_factor_2_name
+FROM breq_x b LEFT JOIN fr ON b.input_row_id = fr.input_row_id
+GROUP BY b.input_row_id""")
+def q_flat_factors(spark, sf_dir):
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir),
+                              model=FIXED_MODEL, explain=True, top_k=2)
+    flat = rep.flatten_factors(out.select("input_row_id", "top_factors"))
+    return flat.select("input_row_id", "top_factor_1_name", "top_factor_2_name")
+
+
+@register("band_filter", "WITH " + O.FEATURE_ROWS_CTE + """
+SELECT award_id, risk_band FROM (SELECT award_id, """ + O.band_sql(HEUR_SQL) + """ AS risk_band FROM features_x)
+WHERE risk_band IN ('high', 'medium')""")
+def q_band_filter(spark, sf_dir):
+    s = scoring.with_band(scoring.heuristic_score(features_df(spark, sf_dir)))
+    return rep.band_filter(s, ["high", "medium"]).select("award_id", "risk_band")
+
+
+@register("error_rows", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
+SELECT input_row_id, award_id, error FROM breq_x WHERE error IS NOT NULL AND error <> ''""")
+def q_error_rows(spark, sf_dir):
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
+    _, bad = rep.split_errors(out)
+    return bad.select("input_row_id", "award_id", "error")
+
+
+@register("runlog_rollup", """
+SELECT '/v1/' || event_type AS endpoint, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+       COUNT(*) AS requests, CAST(COALESCE(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS items,
+       ROUND(AVG(CAST(round(value * 10) AS BIGINT)), 6) AS avg_ms, MAX(CAST(round(value * 10) AS BIGINT)) AS max_ms
+FROM events GROUP BY 1, 2""")
+def q_runlog_rollup(spark, sf_dir):
+    return rounded(rl.run_rollup(ad.run_log(spark, sf_dir)).drop("p50_p90_p99_ms"))
+
+
+DATASETS = {"ocds_tenders": "orders", "ocds_awards": "lineitem", "wb_ineligible": "supplier",
+            "features": "customer", "graph_metrics": "graph_metrics_missing"}
+
+
+@register("dataset_status", " UNION ALL ".join(
+    f"SELECT '{k}' AS dataset, (SELECT COUNT(*) FROM {v}) AS rows, true AS available" if not v.endswith("_missing")
+    else f"SELECT '{k}' AS dataset, CAST(NULL AS BIGINT) AS rows, false AS available"
+    for k, v in DATASETS.items()))
+def q_dataset_status(spark, sf_dir):
+    paths = {k: f"{sf_dir.rstrip('/')}/{v}.parquet" for k, v in DATASETS.items()}
+    return rl.dataset_status(spark, paths).select("dataset", "rows", "available")
