@@ -51,7 +51,11 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         offsets.append((r["__bucket"], *[run[c] for c in sum_cols]))
         for c in sum_cols:
             run[c] += r[c] or 0
-    off = spark.createDataFrame(offsets, ["__bucket"] + [f"__off_{c}" for c in sum_cols])
+    from pyspark.sql.types import DecimalType, FractionalType
+    kinds = {c: ("double" if isinstance(df.schema[c].dataType, (FractionalType, DecimalType)) else "long")
+             for c in sum_cols}
+    off = spark.createDataFrame(offsets, "__bucket int, " + ", ".join(
+        f"__off_{c} {kinds[c]}" for c in sum_cols))
     # ``off`` has exactly one row per bucket (``nb`` rows): a proven bound.
     j = bucketed.join(F.broadcast(off), "__bucket")
     w = (Window.partitionBy("__bucket").orderBy(order_col)
