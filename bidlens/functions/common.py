@@ -58,3 +58,14 @@ def first_non_null(df: DataFrame, key: str, order: str | None = None) -> DataFra
         aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
                 for c in rest]
     return df.groupBy(key).agg(*aggs)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition before CPU-heavy narrow work (JSON parsing,
+    regex over whole texts) when the input has fewer partitions than the
+    cluster has cores — e.g. one gzip file or one parquet row group.  With
+    many input splits (the normal case at scale) this is a no-op."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

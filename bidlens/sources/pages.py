@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import spread
 from bidlens.functions.text import keyword_score
 
 # Link suffixes and ranking keywords of a debarment page.
@@ -59,7 +60,7 @@ def link_candidates(pages: DataFrame, suffixes: Sequence[str] = XL_EXTS,
                     keywords: Sequence[str] = KEYWORDS) -> DataFrame:
     """Every href of every page whose lower-case text ends with one of the
     suffixes: (page_id, href, score, url)."""
-    hrefs = pages.select("page_id", F.col("url").alias("__base"),
+    hrefs = spread(pages).select("page_id", F.col("url").alias("__base"),
                          F.explode(F.regexp_extract_all("html", F.lit(HREF_RE), 1)).alias("href"))
     low = F.lower(F.col("href"))
     ok = F.lit(False)
@@ -96,7 +97,7 @@ def _strip_tags(c: Column) -> Column:
 
 def html_cells(pages: DataFrame) -> DataFrame:
     """Every table cell: (page_id, table_no, row_no, col_no, text)."""
-    t = pages.select("page_id", F.posexplode(
+    t = spread(pages).select("page_id", F.posexplode(
         F.regexp_extract_all("html", F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "t"))
     r = t.select("page_id", "table_no", F.posexplode(
         F.regexp_extract_all("t", F.lit(r"(?is)<tr\b.*?</tr>"), 0)).alias("row_no", "r"))
