@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from bidlens.functions.common import ensure_columns, keep_first, null_safe_on
 from bidlens.functions.dates import elapsed_days, parse_timestamp
 from bidlens.functions.text import strip
+from bidlens.session import cut_lineage
 
 # Procurement thresholds and the ±window around them.
 GENERIC_THRESHOLDS = [10_000, 50_000, 250_000, 1_000_000]
@@ -135,9 +136,21 @@ def category_moments(rows: DataFrame) -> DataFrame:
 
 
 def award_feature_rows(tenders: DataFrame, awards: DataFrame, thresholds=GENERIC_THRESHOLDS,
-                       pct: float = NEAR_PCT, dedupe_tenders: bool = False) -> DataFrame:
-    """Feature values for every joined award row (before the keep-first)."""
+                       pct: float = NEAR_PCT, dedupe_tenders: bool = False,
+                       keep: Sequence[str] = (), materialize: bool = True) -> DataFrame:
+    """Feature values for every joined award row (before the keep-first).
+
+    The joined rows feed four consumers (pair counts, buyer totals, category
+    moments and the row output).  With ``materialize`` the narrow projection
+    of the join is checkpointed once to the shared checkpoint folder, so the
+    awards ⋈ tenders shuffle runs once instead of once per consumer, and the
+    lineage of the later joins starts there."""
     rows = joined_awards(tenders, awards, dedupe_tenders)
+    cols = ["award_id", *keep, "__supplier_id", "__buyer_name", "__category", "__amount",
+            "__award_ts", "__tender_ts"] + (["__tender_pos"] if "__tender_pos" in rows.columns else [])
+    rows = rows.select(*dict.fromkeys(cols))
+    if materialize:
+        rows = cut_lineage(rows)
     conc = concentration(rows).select(
         F.col("__buyer_name").alias("__cb"), F.col("__supplier_id").alias("__cs"), "share")
     cat = category_moments(rows).withColumnRenamed("__category", "__cc")
@@ -166,7 +179,7 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
     When duplicate tenders fan out an award row, the tender order
     (``__tender_pos`` if present) breaks the tie.
     """
-    rows = award_feature_rows(tenders, awards, thresholds, pct, dedupe_tenders)
+    rows = award_feature_rows(tenders, awards, thresholds, pct, dedupe_tenders, keep=list(order_key))
     order = list(order_key) + (["__tender_pos"] if "__tender_pos" in rows.columns else [])
     out = rows.select(
         "award_id", *order,

@@ -383,7 +383,7 @@ def q_distance_to_sanctioned(spark, sf_dir):
 @register("graph_metrics", GRAPH_CTE + ",\n" + bfs_sql(
     "SELECT id AS node FROM gsan WHERE is_sanctioned", BFS_LEVELS) + """,
 gdeg AS (SELECT node, COUNT(*) AS degree FROM gadj GROUP BY node)
-SELECT s.id AS supplier_id, s.supplier_name, CAST(g.degree AS BIGINT) AS degree, 0.0 AS betweenness,
+SELECT s.id AS supplier_id, s.supplier_name, CAST(g.degree AS BIGINT) AS degree, CAST(0.0 AS DOUBLE) AS betweenness,
        CAST(d.d AS BIGINT) AS distance_to_sanctioned
 FROM gsan s LEFT JOIN gdeg g ON s.id = g.node LEFT JOIN gdist d ON s.id = d.node""")
 def q_graph_metrics(spark, sf_dir):
