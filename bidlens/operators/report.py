@@ -64,6 +64,11 @@ def top_risk(scored: DataFrame, n: int = 20, score: str = "risk_score") -> DataF
     return scored.filter(F.col(score).isNotNull()).orderBy(F.col(score).desc(), "award_id").limit(n)
 
 
+def preview(df: DataFrame, n: int = 5) -> tuple[list, int]:
+    """SNK-11 / SRT-07: the first ``n`` rows and the row count."""
+    return df.limit(n).collect(), df.count()
+
+
 def write_csv_bom(df: DataFrame, path: str) -> None:
     """SNK-10: header CSV whose first header name carries a UTF-8 BOM, so
     spreadsheet tools detect the encoding.  Nested columns must be

@@ -70,6 +70,18 @@ def record_level_score(df: DataFrame) -> DataFrame:
         num("adverse_media_count")))
 
 
+def record_input_errors(df: DataFrame) -> DataFrame:
+    """FLT-07: ``error`` for record-level inputs out of range (amount and
+    counts must be ≥ 0); rows are kept."""
+    d = ensure_columns(df, {"amount": "double", "past_awards_count": "long",
+                            "adverse_media_count": "long"})
+    msgs = F.array_compact(F.array(
+        F.when(F.col("amount") < 0, F.lit("amount must be >= 0")),
+        F.when(F.col("past_awards_count") < 0, F.lit("past_awards_count must be >= 0")),
+        F.when(F.col("adverse_media_count") < 0, F.lit("adverse_media_count must be >= 0"))))
+    return d.withColumn("error", F.when(F.size(msgs) > 0, F.array_join(msgs, "; ")))
+
+
 def with_band(df: DataFrame, thresholds: dict | None = None, score: str = "risk_score") -> DataFrame:
     return df.withColumn("risk_band", risk_band(F.col(score), thresholds))
 

@@ -147,13 +147,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     text key built from the line item's order columns."""
     li = table(spark, sf_dir, "lineitem")
     aid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    rid = F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber",
-                                                               "l_partkey", "l_suppkey")],
-                      F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
-                      .cast("string"),
-                      F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
     return li.select(
-        rid.alias("input_row_id"),
+        row_key().alias("input_row_id"),
         F.when(F.col("l_quantity") < 2, F.lit(""))
          .when(F.col("l_quantity") > 49, F.concat(aid, F.lit("-x")))
          .otherwise(aid).alias("award_id"),
@@ -228,3 +223,30 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("long").alias("num_items"),
         F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"),
         F.date_format("ts", "yyyy-MM-dd").alias("date"))
+
+
+def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request payload texts, one per line item: a bare list on odd line
+    numbers, an ``items`` envelope on even ones; orders with status 'P'
+    add a non-object item; quantities above 48 send an object without
+    ``items``.  ``payload_id`` is the line item's unique text key."""
+    li = table(spark, sf_dir, "lineitem")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    j = li.join(o, li.l_orderkey == o.o_orderkey, "left")
+    aid = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    item = F.to_json(F.struct(aid.alias("award_id"), F.col("l_suppkey").cast("string").alias("supplier_id")))
+    items = F.when(F.col("o_orderstatus") == "P", F.concat(item, F.lit(", 42"))).otherwise(item)
+    body = F.concat(F.lit("["), items, F.lit("]"))
+    payload = (F.when(F.col("l_quantity") > 48, F.lit('{"note": "no items"}'))
+                .when(F.col("l_linenumber") % 2 == 1, body)
+                .otherwise(F.concat(F.lit('{"items": '), body, F.lit("}"))))
+    return j.select(row_key().alias("payload_id"), payload.alias("payload"))
+
+
+def row_key():
+    """Unique text key of a line item from its order columns."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber",
+                                                                "l_partkey", "l_suppkey")],
+                      F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+                      .cast("string"),
+                      F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))

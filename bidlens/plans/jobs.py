@@ -181,3 +181,22 @@ def batch_job(spark: SparkSession, requests: DataFrame, features_path: str, out_
                             used_model=model is not None, join_graph=graph is not None, explain=explain)
         rl.append_run_log(rec, run_log_path)
     return written
+
+
+def model_info(spark: SparkSession, model_dir: str, metrics_dir: str | None = None, n: int = 10) -> dict:
+    """MOD-06: availability, meta, top weights by |coefficient| and the
+    latest evaluation artifact (small driver-side dict)."""
+    lm = mdl.load_model(spark, model_dir)
+    info: dict = {"available": lm is not None}
+    if lm is None:
+        return info
+    info["feature_cols"] = lm.feature_cols
+    info["risk_band_thresholds"] = lm.thresholds
+    info["calibrated"] = lm.calibration is not None
+    info["top_weights"] = [r.asDict() for r in mdl.top_weights(spark, lm, n=n).collect()]
+    if metrics_dir:
+        try:
+            info["latest_evaluation"] = latest_metrics(spark, metrics_dir).first().asDict(recursive=True)
+        except Exception:  # noqa: BLE001 - no artifact yet
+            info["latest_evaluation"] = None
+    return info

@@ -483,12 +483,14 @@ def q_suppliers(spark, sf_dir):
 
 # --------------------------------------------------------------- batch scoring
 
-REQUESTS_CTE = """
-req_x AS (
-  SELECT concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+ROW_KEY_SQL = """concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
                    CAST(l_suppkey AS VARCHAR),
                    CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS VARCHAR),
-                   CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) AS input_row_id,
+                   CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR))"""
+
+REQUESTS_CTE = """
+req_x AS (
+  SELECT """ + ROW_KEY_SQL + """ AS input_row_id,
          CASE WHEN l_quantity < 2 THEN ''
               WHEN l_quantity > 49 THEN CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-x'
               ELSE CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) END AS award_id,
@@ -745,3 +747,24 @@ DATASETS = {"ocds_tenders": "orders", "ocds_awards": "lineitem", "wb_ineligible"
 def q_dataset_status(spark, sf_dir):
     paths = {k: f"{sf_dir.rstrip('/')}/{v}.parquet" for k, v in DATASETS.items()}
     return rl.dataset_status(spark, paths).select("dataset", "rows", "available")
+
+
+# --------------------------------------------------------------- request payloads
+
+from bidlens.sources import requests as rq  # noqa: E402
+
+
+@register("request_items", """
+WITH p AS (
+  SELECT """ + ROW_KEY_SQL.replace("l_", "l.l_") + """ AS payload_id,
+         l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, o.o_orderstatus
+  FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+)
+SELECT payload_id, CAST(0 AS BIGINT) AS input_row_id,
+       CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS award_id,
+       CAST(l_suppkey AS VARCHAR) AS supplier_id
+FROM p WHERE l_quantity <= 48
+UNION ALL
+SELECT payload_id, CAST(1 AS BIGINT), NULL, NULL FROM p WHERE l_quantity <= 48 AND o_orderstatus = 'P'""")
+def q_request_items(spark, sf_dir):
+    return rq.parse_request_payloads(ad.request_payloads(spark, sf_dir))
