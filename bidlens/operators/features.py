@@ -5,8 +5,8 @@ the joined rows feed three partial aggregations (pair counts, buyer totals,
 category moments) whose small results are joined back; AQE turns those
 joins into broadcast joins at run time when the measured aggregate is under
 the broadcast threshold and keeps a shuffle join (with skew splitting)
-otherwise.  The shared join subtree is planned once and its exchanges are
-reused by every branch.  Group statistics are *not* windows: a window over
+otherwise.  The narrow projection of the join is checkpointed once, so the
+join runs once for its four consumers.  Group statistics are *not* windows: a window over
 ``main_category`` would put all rows of a category (there are a handful)
 into one task.
 """
