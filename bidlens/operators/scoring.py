@@ -121,26 +121,44 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool) -> DataFrame:
+def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool,
+            wanted: DataFrame | None = None) -> DataFrame:
+    """Feature rows for the requested award ids, one per id.
+
+    The feature table is first semi-joined to the distinct requested ids —
+    a broadcast semi join when the batch is small (AQE measures it), so a
+    batch of a thousand requests never shuffles a large feature table —
+    and only the surviving rows are deduplicated (first non-null per
+    column, a partial aggregation)."""
     f = ensure_columns(features, {c: "double" for c in feature_cols})
     f = f.select(F.col("award_id").alias("__f_award_id"),
                  F.col("supplier_id").cast("string").alias("__f_supplier_id"),
                  *[F.col(c) for c in feature_cols], F.lit(True).alias("__found"))
+    if wanted is not None:
+        f = f.join(wanted, f["__f_award_id"] == wanted["__w"], "left_semi")
     if dedupe:
-        # one row per award_id; first non-null per column (AGG-06 on the
-        # feature side: partial aggregation, so duplicated ids stay cheap)
         f = first_non_null(f, "__f_award_id")
     return f
 
 
-def _graph_lookup(graph: DataFrame) -> DataFrame:
+def _graph_lookup(graph: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     g = graph.filter(F.col("supplier_id").isNotNull())
+    if wanted is not None:
+        g = g.join(wanted, g["supplier_id"] == wanted["__w"], "left_semi")
     g = first_non_null(g, "supplier_id")
     return g.select(F.col("supplier_id").alias("__g_supplier_id"),
                     *[F.col(c).alias(c if c not in ("supplier_name",) else "supplier_name_graph")
                       for c in g.columns if c != "supplier_id"])
 
 
+def _wanted(df: DataFrame, col: str) -> DataFrame | None:
+    """Distinct non-null keys of a batch (None for a stream: a static side
+    cannot be semi-joined to a streaming one)."""
+    if df.isStreaming:
+        return None
+    return df.select(F.col(col).alias("__w")).filter(F.col("__w").isNotNull()).distinct()
+
+
 def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | None = None,
                 model: LinearModel | None = None, explain: bool = True,
                 top_k: int = DEFAULT_TOP_K, unmatched: str = "error",
@@ -156,12 +174,13 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     k = 0 if not explain else max(0, min(int(top_k), MAX_TOP_K))
     cols = model.feature_cols if model is not None else FEATURE_COLS
     req = normalize_requests(requests)
-    f = _lookup(features, list(dict.fromkeys(list(FEATURE_COLS) + list(cols))), dedupe_features)
+    f = _lookup(features, list(dict.fromkeys(list(FEATURE_COLS) + list(cols))), dedupe_features,
+                _wanted(req, "award_id"))
     j = req.join(f, req["award_id"] == f["__f_award_id"], "left")
     j = j.withColumn("supplier_id", F.coalesce(F.col("supplier_id"), F.col("__f_supplier_id")))
     graph_cols: list[str] = []
     if graph is not None:
-        g = _graph_lookup(graph)
+        g = _graph_lookup(graph, _wanted(j, "supplier_id"))
         graph_cols = [c for c in g.columns if c != "__g_supplier_id"]
         j = j.join(g, j["supplier_id"] == g["__g_supplier_id"], "left")
     miss = F.col("__found").isNull()
@@ -200,9 +219,11 @@ def validate_batch(requests: DataFrame, features: DataFrame) -> DataFrame:
     valid, error.  Existence is a left join to the distinct feature ids
     (partial aggregation before the shuffle)."""
     req = normalize_requests(requests)
-    ids = (features.select(F.col("award_id").cast("string").alias("__id"))
-                   .filter(F.col("__id").isNotNull()).distinct()
-                   .withColumn("__found", F.lit(True)))
+    ids = features.select(F.col("award_id").cast("string").alias("__id")).filter(F.col("__id").isNotNull())
+    wanted = _wanted(req, "award_id")
+    if wanted is not None:  # only the requested ids survive before the distinct
+        ids = ids.join(wanted, ids["__id"] == wanted["__w"], "left_semi")
+    ids = ids.distinct().withColumn("__found", F.lit(True))
     j = req.join(ids, req["award_id"] == ids["__id"], "left")
     missing = F.when(features.exists(), F.lit(ERR_NOT_FOUND)).otherwise(F.lit(ERR_NO_FEATURES))
     err = (F.when(F.col("error").isNotNull(), F.col("error"))
