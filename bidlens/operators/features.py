@@ -171,15 +171,21 @@ def award_feature_rows(tenders: DataFrame, awards: DataFrame, thresholds=GENERIC
 
 def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[str],
                    thresholds=GENERIC_THRESHOLDS, pct: float = NEAR_PCT,
-                   dedupe_tenders: bool = False) -> DataFrame:
+                   dedupe_tenders: bool = False, materialize: bool = True) -> DataFrame:
     """Feature table keyed by award_id (FEA-01).
 
     ``order_key`` names award columns that give the input order; the first
     joined row per award_id in that order is kept (``drop_duplicates``).
     When duplicate tenders fan out an award row, the tender order
     (``__tender_pos`` if present) breaks the tie.
+
+    With ``materialize`` (default) the feature table is computed once and
+    checkpointed — it is the artifact every later job reads (labels,
+    fit, thresholds, evaluation, batch scoring), so none of them re-runs
+    the joins; with ``False`` it stays a lazy plan.
     """
-    rows = award_feature_rows(tenders, awards, thresholds, pct, dedupe_tenders, keep=list(order_key))
+    rows = award_feature_rows(tenders, awards, thresholds, pct, dedupe_tenders, keep=list(order_key),
+                              materialize=materialize)
     order = list(order_key) + (["__tender_pos"] if "__tender_pos" in rows.columns else [])
     out = rows.select(
         "award_id", *order,
@@ -192,4 +198,5 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
                      "supplier_id", *FEATURE_COLS)
     first = keep_first(out, "award_id", [f"__ord{i}" for i in range(len(ordered))]
                        or ["award_id"])
-    return first.select([F.col(n).cast(t).alias(n) for n, t in FEATURES_SCHEMA])
+    out = first.select([F.col(n).cast(t).alias(n) for n, t in FEATURES_SCHEMA])
+    return cut_lineage(out) if materialize else out
