@@ -141,13 +141,16 @@ def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool,
     return f
 
 
-def _graph_lookup(graph: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def _graph_lookup(graph: DataFrame, taken: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
+    """Graph metrics, one row per supplier_id (first non-null per column);
+    columns whose names are already taken get the ``_graph`` suffix."""
     g = graph.filter(F.col("supplier_id").isNotNull())
     if wanted is not None:
         g = g.join(wanted, g["supplier_id"] == wanted["__w"], "left_semi")
     g = first_non_null(g, "supplier_id")
+    reserved = set(taken) | {"risk_score", "risk_band", "top_factors"}
     return g.select(F.col("supplier_id").alias("__g_supplier_id"),
-                    *[F.col(c).alias(c if c not in ("supplier_name",) else "supplier_name_graph")
+                    *[F.col(c).alias(f"{c}_graph" if c in reserved else c)
                       for c in g.columns if c != "supplier_id"])
 
 
@@ -180,7 +183,7 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     j = j.withColumn("supplier_id", F.coalesce(F.col("supplier_id"), F.col("__f_supplier_id")))
     graph_cols: list[str] = []
     if graph is not None:
-        g = _graph_lookup(graph, _wanted(j, "supplier_id"))
+        g = _graph_lookup(graph, j.columns, _wanted(j, "supplier_id"))
         graph_cols = [c for c in g.columns if c != "__g_supplier_id"]
         j = j.join(g, j["supplier_id"] == g["__g_supplier_id"], "left")
     miss = F.col("__found").isNull()
