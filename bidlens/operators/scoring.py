@@ -165,7 +165,7 @@ def _wanted(df: DataFrame, col: str) -> DataFrame | None:
 def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | None = None,
                 model: LinearModel | None = None, explain: bool = True,
                 top_k: int = DEFAULT_TOP_K, unmatched: str = "error",
-                dedupe_features: bool = True) -> DataFrame:
+                dedupe_features: bool = True, thresholds: dict | None = None) -> DataFrame:
     """Batch scoring job (SCR-08): one output row per request row.
 
     Output: input_row_id, award_id, supplier_id, risk_score, risk_band,
@@ -173,7 +173,9 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     Request ⟕ features on award_id (dedupe of feature rows first, so the
     join cannot fan out), optional ⟕ graph metrics on supplier_id.  Rows
     with an error keep a null score.  ``unmatched='score'`` scores awards
-    missing from the features with null features (reference behaviour)."""
+    missing from the features with null features (reference behaviour).
+    ``thresholds`` (the saved model's band cut points) also band heuristic
+    scores; the model's own thresholds win when a model is given."""
     k = 0 if not explain else max(0, min(int(top_k), MAX_TOP_K))
     cols = model.feature_cols if model is not None else FEATURE_COLS
     req = normalize_requests(requests)
@@ -202,7 +204,6 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
         thresholds = model.thresholds
     else:
         scored = heuristic_score(j).withColumn("top_factors", heuristic_factors(k).cast(FACTOR_TYPE))
-        thresholds = None
     scored = (scored
               .withColumn("risk_score", F.when(ok & ~F.isnan("risk_score"), F.col("risk_score")))
               .withColumn("risk_band", F.when(ok, risk_band(F.col("risk_score"), thresholds)))
