@@ -65,6 +65,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     regex over whole texts) when the input has fewer partitions than the
     cluster has cores — e.g. one gzip file or one parquet row group.  With
     many input splits (the normal case at scale) this is a no-op."""
+    if df.isStreaming:
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)

@@ -33,6 +33,8 @@ def get_spark(master: str | None = None, app: str = "bidlens",
     if master:
         b = b.master(master)
     b = b.config("spark.ui.enabled", "false")
+    # per-level graph checkpoints are removed once no DataFrame references them
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
