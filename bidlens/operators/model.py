@@ -64,7 +64,7 @@ def fit(df: DataFrame, cols: Sequence[str] | None = None, max_iter: int = MAX_IT
     d = _design(df, cols).cache()
     n = d.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, tol=1e-8)
+                            standardization=False, fitIntercept=True, tol=1e-6)
     m = lr.fit(d)
     coef = [float(x) for x in m.coefficients.toArray()]
     lm = LinearModel(cols, coef, float(m.intercept), dict(DEFAULT_BANDS))
