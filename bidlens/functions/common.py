@@ -15,6 +15,12 @@ def ensure_columns(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     return df.select("*", *missing) if missing else df
 
 
+def first_or(xs: Column, default: Column | None = None) -> Column:
+    """PRJ-11: first element of an array, else ``default`` (null-safe)."""
+    d = default if default is not None else F.lit(None)
+    return F.coalesce(F.get(xs, 0), d)
+
+
 def present(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns of ``cols`` that ``df`` has, in the order of ``cols``."""
     return [c for c in cols if c in df.columns]
