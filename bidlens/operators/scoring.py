@@ -101,8 +101,9 @@ def linear_score(df: DataFrame, model: LinearModel, top_k: int | None = None,
 
 
 def top_risk(scored: DataFrame, n: int = 20, score: str = "risk_score") -> DataFrame:
-    """Top-n rows by score, null scores dropped (TakeOrderedAndProject)."""
-    return scored.filter(F.col(score).isNotNull()).orderBy(F.col(score).desc(), "award_id").limit(n)
+    """Top-n rows by score (see ``report.top_risk``)."""
+    from bidlens.operators.report import top_risk as _top
+    return _top(scored, n, score)
 
 
 def normalize_requests(requests: DataFrame) -> DataFrame:
