@@ -93,15 +93,22 @@ def items_rollup(log: DataFrame) -> DataFrame:
 def dataset_status(spark: SparkSession, paths: Mapping[str, str | None]) -> DataFrame:
     """SRC-15: (dataset, path, rows, available) per named parquet path.
 
-    ``count()`` on a parquet scan is answered from footers (aggregate
-    push-down on the v2 reader), so no data pages are read."""
+    The counts run on the v2 parquet reader with aggregate push-down, so
+    ``count()`` is answered from the file footers and no data pages are
+    read; the session's reader setting is restored afterwards."""
+    key = "spark.sql.sources.useV1SourceList"
+    old = spark.conf.get(key)
+    spark.conf.set(key, ",".join(x for x in old.split(",") if x.strip().lower() != "parquet"))
     rows = []
-    for name, p in paths.items():
-        n = None
-        if p:
-            try:
-                n = spark.read.parquet(p).count()
-            except Exception:  # noqa: BLE001 - missing/unreadable → not available
-                n = None
-        rows.append((name, p, n, n is not None))
+    try:
+        for name, p in paths.items():
+            n = None
+            if p:
+                try:
+                    n = spark.read.parquet(p).count()
+                except Exception:  # noqa: BLE001 - missing/unreadable → not available
+                    n = None
+            rows.append((name, p, n, n is not None))
+    finally:
+        spark.conf.set(key, old)
     return spark.createDataFrame(rows, "dataset string, path string, rows long, available boolean")
