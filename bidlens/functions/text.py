@@ -35,9 +35,15 @@ def sanction_name_key(x: ColumnOrName) -> Column:
 
 
 def casefold(x: ColumnOrName) -> Column:
-    """Close to Python ``str.casefold``: ``lower(upper(x))`` folds ß → ss and
-    similar expansions; the final sigma is folded to σ as casefold does."""
-    return F.translate(F.lower(F.upper(_c(x))), "ς", "σ")
+    """Close to Python ``str.casefold``: upper-casing first expands ß → SS,
+    ﬁ → FI and the like, lower-casing then folds; the final sigma becomes σ
+    and a remaining ß (from capital ẞ) becomes ss, as casefold does.
+
+    The no-op ``translate`` between ``upper`` and ``lower`` matters: the
+    optimizer rewrites a bare ``lower(upper(x))`` to ``lower(x)``, which
+    would lose the expansions."""
+    up = F.translate(F.upper(_c(x)), "ς", "σ")
+    return F.replace(F.translate(F.lower(up), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def graph_name_key(x: ColumnOrName) -> Column:
