@@ -67,4 +67,6 @@ def test_run_log_append_and_rollup(spark, tmp_dir):
     assert len(json.loads(rec.payload_preview)["items"]) == 3
     roll = {(r.endpoint, r.status): r for r in rl.run_rollup(log).collect()}
     assert roll[("/v1/score/batch", "ok")].items == 10 and roll[("/v1/score/validate", "error")].requests == 1
+    items = {(r.used_model, r.join_graph, r.explain): r.items for r in rl.items_rollup(log).collect()}
+    assert items[(False, False, True)] == 10 and items[(None, None, None)] == 2
     assert rl.append_run_log(r1, "/proc/forbidden/log") is False
