@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.session import cut_lineage
 
-# The word rule and the A-Z lower-casing of the contracts.
+# Fixed value: the word rule of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SPACES = " \t\n\x0b\x0c\r"
-ASCII_LOWER = {ord(u): l for u, l in zip(UPPER, LOWER)}
-# Words are split on these six characters only; str.split() without an
-# argument would also split on other Unicode spaces.
-TO_SPACE = {ord(c): " " for c in SPACES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def share(spark: SparkSession, thing):
+    """Broadcast an object of this package (pickled by value, see __init__)."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def shared(broadcast):
+    return pickle.loads(broadcast.value)
+
+
 def id_crc(id_col: str | Column = "doc_id") -> Column:
     """crc32 of the id written as text (unsigned); a null id reads as ''."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -31,23 +38,6 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return id_crc(id_col) % F.lit(modulus) == F.lit(remainder)
 
 
-def split_words(text: str) -> list[str]:
-    """Words of an already lower-cased text, by the WORD rule."""
-    return [w for w in text.translate(TO_SPACE).split(" ") if w]
-
-
-def lower_az(text: str) -> str:
-    """Lower-case A-Z only."""
-    return text.translate(ASCII_LOWER)
-
-
-def ascii_words(text: str) -> list[bytes]:
-    """UTF-8 words of a text, A-Z lower-cased.  bytes.lower() and
-    bytes.split() treat exactly A-Z and the six ASCII spaces, and no UTF-8
-    continuation byte is one of them."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """Connected components of an undirected edge table: (node, root), root
     being the smallest node reachable, one row per node that has an edge.
@@ -91,3 +81,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     if mapping is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return mapping
+
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: str | None, size: int = 1 << 20, delete: bytes = b""):
+    """Lists of the UTF-8 words of a text, A-Z lower-cased, a block of about ``size`` bytes at
+    a time, so that a very long text never becomes one list.  The bytes in
+    ``delete`` are left out first.  (bytes.lower() and bytes.split() treat
+    exactly A-Z and the six ASCII spaces, and no byte of a longer UTF-8
+    sequence is one of them.)"""
+    data = (text or "").encode("utf-8", "surrogatepass").lower().translate(None, delete)
+    start = 0
+    while start < len(data):
+        end = start + size
+        m = _SPACE.search(data, end) if end < len(data) else None
+        end = m.start() if m else len(data)
+        yield data[start:end].split()
+        start = end

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import mixing, sharding
-from bidlens.llm.common import table
+from bidlens.llm import decontam, langid, mixing, sharding, simhash
+from bidlens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,18 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_simhash_vp_tree")
+def op1(spark, sf_dir):
+    return (simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+            .select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id"))
+
+
+@register("op3_ppm_language_id")
+def op3(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents")).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 @register("op6_sampled_splitters")
 def op6(spark, sf_dir):
     return (sharding.shard(table(spark, sf_dir, "documents"), 24)
@@ -57,3 +69,8 @@ FROM q LEFT JOIN n ON q.doc_id = n.doc_id"""
 def op9(spark, sf_dir):
     return (mixing.mix_report(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@register("op10_spaced_seed_decontamination")
+def op10(spark, sf_dir):
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
