@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import capfilters, decontam, langid, linededup, mixing, sharding, simhash
+from bidlens.llm import capfilters, decontam, katz, langid, linededup, mixing, quality, sharding, simhash
 from bidlens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1(spark, sf_dir):
             .select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id"))
 
 
+@register("op2_katz_backoff")
+def op2(spark, sf_dir):
+    return katz.katz_scores(table(spark, sf_dir, "documents"), held=held_out("doc_id", 7, 2))
+
+
 @register("op3_ppm_language_id")
 def op3(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents")).select(
@@ -65,6 +70,13 @@ def op7(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@register("op8_random_indexing_quality")
+def op8(spark, sf_dir):
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source,
              len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
