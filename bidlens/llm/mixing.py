@@ -129,7 +129,8 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def _on_plan(plan: DataFrame) -> tuple[DataFrame, Column]:
     p = plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"),
-                    F.col("size").alias("__z"), "source_size", "target", "copies")
+                    F.col("size").alias("__z"), F.col("source_size").alias("__source_size"),
+                    F.col("target").alias("__target"), F.col("copies").alias("__copies"))
     return p, (F.col("__id").eqNullSafe(F.col("__d")) & F.col("__source").eqNullSafe(F.col("__s"))
                & (F.col("__size") == F.col("__z")))
 
@@ -141,8 +142,10 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
     return (rows.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
                         F.col("size").alias("__size"))
             .join(p, on, "left")
-            .select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target",
-                    (F.col("__size") * F.col("copies")).cast("long").alias("taken"), "copies"))
+            .select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"),
+                    F.col("__source_size").alias("source_size"), F.col("__target").alias("target"),
+                    (F.col("__size") * F.col("__copies")).cast("long").alias("taken"),
+                    F.col("__copies").alias("copies")))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -154,5 +157,5 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     cols = list(docs.columns)
     out = docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).alias("__source"),
                       word_count(text_col).alias("__size")).join(p, on)
-    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return (out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
             .select(*[F.col(f"`{c}`") for c in cols]))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import capfilters, decontam, katz, langid, linededup, mixing, quality, sharding, simhash
+from bidlens.llm import capfilters, decontam, katz, langid, linededup, mixing, pii, quality, sharding, simhash
 from bidlens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3(spark, sf_dir):
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+@register("op4_weak_supervision_pii")
+def op4(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 @register("op5_spherical_cap_filters")
 def op5(spark, sf_dir):
     return capfilters.near_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.93)
