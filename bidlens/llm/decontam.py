@@ -102,19 +102,15 @@ class Index:
         if last - first < need:
             return None
         s = np.concatenate([[0.0], np.cumsum(same - self.min_share + 1e-9)])
-        low = np.minimum.accumulate(s)                 # falling: first start that is as low
-        high = np.maximum.accumulate(s[::-1])[::-1]
-        best, i = (0, 0), 0
-        for j in range(len(s)):                        # longest i < j with s[j] >= s[i]
+        # a stretch starts and ends with agreeing tokens: lowest start so far, highest end from here on
+        low = np.minimum.accumulate(np.where(np.append(same, False), s, np.inf))
+        high = np.maximum.accumulate(np.where(np.insert(same, 0, False), s, -np.inf)[::-1])[::-1]
+        a = b = i = 0
+        for j in range(len(s)):
             while i < j and high[j] < low[i]:
                 i += 1
-            if high[j] >= low[i] and j - i > best[1] - best[0]:
-                best = i, j
-        a, b = best
-        while a < b and not same[a]:
-            a += 1
-        while b > a and not same[b - 1]:
-            b -= 1
+            if high[j] >= low[i] and j - i > b - a:
+                a, b = i, j
         agree = int(same[a:b].sum())
         if b - a < need or agree < self.min_share * (b - a):
             return None

@@ -59,7 +59,7 @@ def pack(x: np.ndarray) -> bytes:
     """Non-negative integers, bytes of equal weight together, compressed."""
     top = int(x.max()) if len(x) else 0
     kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
-    planes = x.astype(kind).view(np.uint8).reshape(len(x), -1).T
+    planes = x.astype(kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T
     return kind[1:].encode() + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
