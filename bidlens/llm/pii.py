@@ -160,7 +160,8 @@ def votes(text: str, kind: int, s: int, e: int, base: bool) -> str:
     else:
         check = "1" if 9 <= len(d) <= 15 else "2" if 7 <= len(d) < 9 else "0"
         known = _yes(any(d.startswith(c) for c in CALLING)) if body[0] == "+" else "2"
-    cues = [k for k in KINDS if CUE[k].search(before)]
+    near = re.split("[0-9]", before)[-1]  # cues in front of another number speak of that one
+    cues = [k for k in KINDS if CUE[k].search(near)]
     cue = "1" if KINDS[kind] in cues else "0" if cues else "2"
     return ("1" if base else "2") + check + known + cue + _yes(edges)
 
