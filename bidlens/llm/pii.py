@@ -192,7 +192,8 @@ def reliabilities(patterns: dict[str, float], rounds: int = 60) -> dict[str, flo
     probability that a candidate with these votes is true."""
     names = sorted(patterns)
     n = np.array([patterns[v] for v in names])
-    one_hot = np.array([[[c == x for x in "012"] for c in v] for v in names], float)  # pattern, labeler, vote
+    # pattern, labeler, vote; an abstention says nothing about the candidate
+    one_hot = np.array([[[c == x for x in "01"] for c in v] for v in names], float)
     yes, no = one_hot[:, :, 1].sum(axis=1), one_hot[:, :, 0].sum(axis=1)
     p = (yes + 0.5) / (yes + no + 1)  # the majority, not counting abstentions
     for _ in range(rounds):
