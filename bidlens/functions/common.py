@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,19 @@ def ensure_columns(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     return df.select("*", *missing) if missing else df
 
 
+def num_or_null(c: Column) -> Column:
+    """Double value; text that is no number, NaN and infinities read as null
+    (missing), so they neither reach a score nor spoil an aggregate."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def missing_path(e: Exception) -> bool:
+    """True for Spark's path-not-found error only; storage and permission
+    errors are not an empty input."""
+    return isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND"
+
+
 def first_or(xs: Column, default: Column | None = None) -> Column:
     """PRJ-11: first element of an array, else ``default`` (null-safe)."""
     d = default if default is not None else F.lit(None)
@@ -55,25 +69,17 @@ def keep_first(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) ->
 
 def first_non_null(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Per ``key``, every other column's first non-null value (pandas
-    ``groupby().first()``).  With ``order`` the pick is deterministic:
-    ``min_by(value, order)`` over the non-null values of each column."""
+    ``groupby().first()``) in the order of column ``order``; without one, in
+    the order of the rows' own values, so that reruns agree."""
     rest = [c for c in df.columns if c != key and c != order]
-    if order is None:
-        aggs = [F.first(c, ignorenulls=True).alias(c) for c in rest]
-    else:
-        aggs = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-                for c in rest]
-    return df.groupBy(key).agg(*aggs)
+    rank = F.col(order) if order else F.struct(*[F.col(c) for c in rest])
+    return df.groupBy(key).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c)
+                                 for c in rest])
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Round-robin repartition before CPU-heavy narrow work (JSON parsing,
-    regex over whole texts) when the input has fewer partitions than the
-    cluster has cores — e.g. one gzip file or one parquet row group.  With
-    many input splits (the normal case at scale) this is a no-op."""
-    if df.isStreaming:
-        return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    regex over whole texts), where the caller knows that the input has few
+    splits (a gzip file, one large row group) and names the number.  Without
+    a number it is a no-op: counting partitions would run the query."""
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)

@@ -7,14 +7,36 @@ from pyspark.sql import functions as F
 
 from bidlens.functions.text import graph_name_key
 
+# The item's fields and their types.
 ITEM_DDL = ("entity string, allegation_type string, date string, location string, "
             "source_url string, confidence double, snippet string")
-PAYLOAD_DDL = f"items array<struct<{ITEM_DDL}>>, _corrupt_record string"
+TEXT_FIELDS = [f.split()[0] for f in ITEM_DDL.split(", ") if f.endswith(" string")]
+# Items stay JSON text here: one mistyped item must not cost its siblings.
+PAYLOAD_DDL = "items array<string>, _corrupt_record string"
 
 # An absolute http(s) URL with a host.
 URL_RE = r"^https?://[^\s/?#]+[^\s]*$"
 
 
+def _type_of(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.variant_get(v, path, "variant"))
+
+
+def read_item(text: Column) -> tuple[Column, Column]:
+    """(item struct, its type violations) of one item's JSON text.  Text
+    fields must hold text; the confidence a number, or text that is one."""
+    v = F.try_parse_json(text)
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    v = F.when(is_object, v)
+    item = F.struct(*[F.try_variant_get(v, f"$.{n}", t).alias(n)
+                      for n, t in (f.split() for f in ITEM_DDL.split(", "))])
+    wrong = [F.when(~_type_of(v, f"$.{n}").isin("STRING", "VOID"), F.lit(f"{n}: must be text")) for n in TEXT_FIELDS]
+    wrong.append(F.when((_type_of(v, "$.confidence") != "VOID") & item["confidence"].isNull(),
+                        F.lit("confidence: must be a number")))
+    bad = F.when(~is_object, F.array(F.lit("item: must be an object"))).otherwise(F.array_compact(F.array(*wrong)))
+    return item, bad
+
+
 def item_violations(it: Column) -> Column:
     """FLT-08: array of rule violations of one item (empty = valid)."""
     return F.array_compact(F.array(
@@ -44,8 +66,10 @@ def validate_media(payloads: DataFrame, text_col: str = "payload",
                 .when(F.col("p.items").isNull(), F.array(F.lit("items: field required"))))
     payload_rejects = p.filter(doc_err.isNotNull()).select(
         "payload_id", F.lit(None).cast("int").alias("item_no"), doc_err.alias("errors"))
-    items = p.filter(doc_err.isNull()).select("payload_id", F.posexplode("p.items").alias("item_no", "it"))
-    items = items.withColumn("errors", item_violations(F.col("it")))
+    items = p.filter(doc_err.isNull()).select("payload_id", F.posexplode("p.items").alias("item_no", "txt"))
+    item, bad = read_item(F.col("txt"))
+    items = items.select("payload_id", "item_no", item.alias("it"), bad.alias("bad"))
+    items = items.withColumn("errors", F.when(F.size("bad") > 0, F.col("bad")).otherwise(item_violations(F.col("it"))))
     valid = items.filter(F.size("errors") == 0).select(
         "payload_id", "item_no", *[F.col(f"it.{f.split()[0]}").alias(f.split()[0])
                                    for f in ITEM_DDL.split(", ")])

@@ -21,9 +21,19 @@ KEYWORDS = ("debar", "ineligible", "firms", "sanction")
 # Header words that mark a sanctions table.
 TABLE_HEADERS = ("Firm", "Firm Name", "Name", "Entity")
 
-HREF_RE = r"""(?i)href=["\\']([^"\\']+)["\\']"""
+HREF_RE = r"""(?i)href=["']([^"']+)["']"""
 ORIGIN_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
-DOT_PASSES = 8
+
+
+def _without_dots(path: Column) -> Column:
+    """Resolve '.' and '..' segments of an absolute path with a stack."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), lambda acc, s: (
+        F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+         .when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))))
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
 def absolutize(href: Column, base: Column) -> Column:
@@ -31,8 +41,8 @@ def absolutize(href: Column, base: Column) -> Column:
 
     '//' → base scheme; '/' → base origin; '?'/'#' → base without
     query/fragment; relative → base directory.  In the path, '.' segments
-    are removed and '<seg>/..' pairs resolved (``DOT_PASSES`` nested
-    levels), '..' above the root is dropped."""
+    are removed and '..' takes back the segment before it, at any depth;
+    above the root it is dropped."""
     origin = F.regexp_extract(base, ORIGIN_RE, 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     no_frag = F.regexp_replace(base, "#.*$", "")
@@ -46,21 +56,20 @@ def absolutize(href: Column, base: Column) -> Column:
                .when(href.startswith("#"), F.concat(no_frag, href))
                .otherwise(F.concat(base_dir, href)))
     j_origin = F.regexp_extract(joined, ORIGIN_RE, 1)
-    path = F.substring(joined, F.length(j_origin) + 1, 1 << 30)
-    path = F.regexp_replace(path, r"/\.(?=/|$)", "")
-    for _ in range(DOT_PASSES):
-        path = F.regexp_replace(path, r"/(?!\.\.(?:/|$))[^/?#]+/\.\.(?=/|$)", "")
-    path = F.regexp_replace(path, r"^(/\.\.(?=/|$))+", "")
-    fixed = F.concat(j_origin, F.when((path == "") & (j_origin != ""), F.lit("/")).otherwise(path))
+    rest = F.substring(joined, F.length(j_origin) + 1, 1 << 30)
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    tail = F.substring(rest, F.length(path) + 1, 1 << 30)
+    path = F.when(path.contains("/."), _without_dots(path)).otherwise(path)
+    fixed = F.concat(j_origin, F.when((path == "") & (j_origin != ""), F.lit("/")).otherwise(path), tail)
     has_host = F.regexp_extract(href, ORIGIN_RE, 1) != ""
-    return F.when(has_host, href).otherwise(fixed)
+    return F.when(has_host, href).when(href.startswith("//"), joined).otherwise(fixed)
 
 
 def link_candidates(pages: DataFrame, suffixes: Sequence[str] = XL_EXTS,
-                    keywords: Sequence[str] = KEYWORDS) -> DataFrame:
+                    keywords: Sequence[str] = KEYWORDS, partitions: int | None = None) -> DataFrame:
     """Every href of every page whose lower-case text ends with one of the
     suffixes: (page_id, href, score, url)."""
-    hrefs = spread(pages).select("page_id", F.col("url").alias("__base"),
+    hrefs = spread(pages, partitions).select("page_id", F.col("url").alias("__base"),
                          F.explode(F.regexp_extract_all("html", F.lit(HREF_RE), 1)).alias("href"))
     low = F.lower(F.col("href"))
     ok = F.lit(False)
@@ -95,24 +104,43 @@ def _strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
 
 
-def html_cells(pages: DataFrame) -> DataFrame:
-    """Every table cell: (page_id, table_no, row_no, col_no, text)."""
-    t = spread(pages).select("page_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(r"(?is)<table\b.*?</table>"), 0)).alias("table_no", "t"))
+def html_cells(pages: DataFrame, tags: Sequence[str] = ("table", "tr", "t[hd]")) -> DataFrame:
+    """Every table cell: (page_id, table_no, row_no, col_no, text).  ``tags``
+    names the table, row and cell elements, so that other nested lists (ul,
+    li, a) can be read as tables too."""
+    table, row, cell = tags
+    t = pages.select("page_id", F.posexplode(
+        F.regexp_extract_all("html", F.lit(rf"(?is)<{table}\b.*?</{table}>"), 0)).alias("table_no", "t"))
     r = t.select("page_id", "table_no", F.posexplode(
-        F.regexp_extract_all("t", F.lit(r"(?is)<tr\b.*?</tr>"), 0)).alias("row_no", "r"))
+        F.regexp_extract_all("t", F.lit(rf"(?is)<{row}\b.*?</{row}>"), 0)).alias("row_no", "r"))
     c = r.select("page_id", "table_no", "row_no", F.posexplode(
-        F.regexp_extract_all("r", F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), 1)).alias("col_no", "raw"))
+        F.regexp_extract_all("r", F.lit(rf"(?is)<{cell}\b[^>]*>(.*?)</{cell}>"), 1)).alias("col_no", "raw"))
     return c.select("page_id", "table_no", "row_no", "col_no", _strip_tags(F.col("raw")).alias("text"))
 
 
-def html_tables(pages: DataFrame, headers: Sequence[str] = TABLE_HEADERS) -> DataFrame:
+def html_tables(pages: DataFrame, headers: Sequence[str] = TABLE_HEADERS,
+                tags: Sequence[str] = ("table", "tr", "t[hd]")) -> DataFrame:
     """SRC-10: cells of the first table per page whose header row has a
     cell containing any of ``headers``."""
-    cells = html_cells(pages)
+    cells = html_cells(pages, tags)
     hit = F.lit(False)
     for h in headers:
         hit = hit | F.col("text").contains(h)
     first = (cells.filter((F.col("row_no") == 0) & hit).groupBy("page_id")
                   .agg(F.min("table_no").alias("table_no")))
     return cells.join(first, ["page_id", "table_no"])
+
+
+def table_sheet(cells: DataFrame, columns: int = 24) -> DataFrame:
+    """The cells of ``html_tables`` as a sheet for ``normalize_sanctions``:
+    one row per table row, columns named by the table's header row.  Tables
+    differ in their headers, so the distinct header names (at most
+    ``columns``, else an error) become the sheet's columns."""
+    head = cells.filter("row_no = 0").select("page_id", "table_no", "col_no", F.col("text").alias("__name"))
+    names = [r[0] for r in head.select("__name").distinct().orderBy("__name").limit(columns + 1).collect()]
+    if len(names) > columns:
+        raise ValueError(f"the tables have more than {columns} different headers")
+    body = cells.filter("row_no > 0").join(head, ["page_id", "table_no", "col_no"])
+    rows = body.groupBy("page_id", "table_no", "row_no").agg(
+        *[F.min(F.when(F.col("__name") == n, F.col("text"))).alias(n) for n in names])
+    return rows.withColumn("__row_order", F.struct("page_id", "table_no", "row_no")).drop("page_id", "table_no", "row_no")

@@ -31,27 +31,33 @@ LIST_FIELDS = ["countryshortname", "countrycode", "source"]
 PAGE_DDL = "projects map<string,string>, total long"
 
 
-def page_records(pages: DataFrame, text_col: str = "value", offset_col: str | None = "offset") -> DataFrame:
+def page_records(pages: DataFrame, text_col: str = "value", offset_col: str | None = "offset",
+                 stop_at_empty: bool = False, run_col: str | None = None) -> DataFrame:
     """SRC-14: one row per project record (``record`` = JSON text).
 
-    Pagination stops at the first empty page: with an ``offset`` column,
-    pages at or after the smallest empty offset are dropped (a scalar
-    subquery, not a driver loop)."""
+    All landed pages count.  ``stop_at_empty`` reproduces a pull that stops
+    at its first empty page: per run (``run_col``; all pages are one run
+    without it), pages at or after the smallest empty offset are dropped.
+    Pages without an offset are always kept."""
     p = pages.select("*", F.from_json(F.col(text_col), PAGE_DDL).alias("__page"))
-    p = p.withColumn("__n", F.coalesce(F.size("__page.projects"), F.lit(0)))
-    if offset_col and offset_col in pages.columns:
-        stop = p.filter(F.col("__n") <= 0).select(F.min(offset_col)).scalar()
-        p = p.filter(stop.isNull() | (F.col(offset_col) < stop))
+    if stop_at_empty and offset_col and offset_col in pages.columns:
+        run = F.col(run_col) if run_col else F.lit(0)
+        empty = F.get_json_object(text_col, "$.projects").isin("{}", "[]") | F.get_json_object(
+            text_col, "$.projects").isNull()
+        stops = (pages.filter(empty & F.col(offset_col).isNotNull()).groupBy(run.alias("__run"))
+                 .agg(F.min(offset_col).alias("__stop")))
+        p = (p.join(stops, run.eqNullSafe(F.col("__run")), "left")
+             .filter(F.col("__stop").isNull() | F.col(offset_col).isNull() | (F.col(offset_col) < F.col("__stop"))))
     return p.select(*([F.col(offset_col)] if offset_col and offset_col in pages.columns else []),
                     F.explode("__page.projects").alias("project_key", "record"))
 
 
 def read_project_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed page files (one JSON document each); the page offset is taken
-    from a trailing number in the file name when there is one."""
+    """Landed page files (one JSON document each); the page offset is the
+    number after "offset" or "os" in the file name, when there is one."""
     t = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_name").alias("file_name"))
-    t = t.withColumn("offset", F.regexp_extract("file_name", r"(\d+)\D*$", 1).try_cast("long"))
+    t = t.withColumn("offset", F.regexp_extract("file_name", r"(?i)(?:^|[^a-z])(?:offset|os)[=_-]?(\d+)", 1).try_cast("long"))
     return page_records(t, "value", "offset")
 
 
