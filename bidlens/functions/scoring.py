@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import num_or_null
+
 # Default band cut points when no thresholds are known.
 DEFAULT_BANDS = {"low_max": 0.33, "medium_max": 0.66}
 
@@ -25,9 +27,10 @@ def clamp01(x: Column) -> Column:
 
 
 def num(c: str | Column, default: float = 0.0) -> Column:
-    """Numeric coerce with a default for null (non-numeric text → default)."""
+    """Numeric coerce with a default for missing values (null, NaN,
+    infinities, non-numeric text)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(col.try_cast("double"), F.lit(default))
+    return F.coalesce(num_or_null(col), F.lit(default))
 
 
 def heuristic(near: Column, repeat: Column, z: Column, conc: Column) -> Column:
@@ -62,11 +65,16 @@ def risk_band(score: Column, thresholds: dict | None = None) -> Column:
              .otherwise("high"))
 
 
+def _same_length(cols: Sequence[str], coef: Sequence[float]) -> None:
+    if len(cols) != len(coef):
+        raise ValueError(f"{len(cols)} feature columns but {len(coef)} coefficients")
+
+
 def linear_logit(cols: Sequence[str], coef: Sequence[float], intercept: float) -> Column:
-    """b + Σ wᵢ·xᵢ with nulls as 0; lengths are aligned to the shorter list."""
-    n = min(len(cols), len(coef))
+    """b + Σ wᵢ·xᵢ with nulls as 0; as many coefficients as columns."""
+    _same_length(cols, coef)
     z = F.lit(float(intercept))
-    for c, w in zip(cols[:n], coef[:n]):
+    for c, w in zip(cols, coef):
         z = z + F.lit(float(w)) * num(c)
     return z
 
@@ -77,11 +85,11 @@ def sigmoid(z: Column) -> Column:
 
 def contributions(cols: Sequence[str], coef: Sequence[float]) -> Column:
     """array<struct<name, value, contribution, pos>> of wᵢ·xᵢ, unsorted."""
-    n = min(len(cols), len(coef))
+    _same_length(cols, coef)
     return F.array(*[
         F.struct(F.lit(c).alias("name"), num(c).alias("value"),
                  (F.lit(float(w)) * num(c)).alias("contribution"), F.lit(i).alias("pos"))
-        for i, (c, w) in enumerate(zip(cols[:n], coef[:n]))])
+        for i, (c, w) in enumerate(zip(cols, coef))])
 
 
 def sort_factors(arr: Column, top_k: int | None = None) -> Column:
@@ -99,7 +107,7 @@ def sort_factors(arr: Column, top_k: int | None = None) -> Column:
 def heuristic_factors(top_k: int) -> Column:
     """Heuristic explanation: fixed factor list prefix, value only."""
     k = max(0, min(int(top_k), len(HEURISTIC_FACTORS)))
-    items = [F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"),
+    items = [F.struct(F.lit(n).alias("name"), num_or_null(F.col(n)).alias("value"),
                       F.lit(None).cast("double").alias("contribution"))
              for n in HEURISTIC_FACTORS[:k]]
     if not items:

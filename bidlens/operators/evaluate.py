@@ -8,19 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.operators.ranking import prefix_sums
+from bidlens.session import cut_lineage
 
 EPS = 1e-6
 
 
 def flip_if_degenerate(df: DataFrame, label: str, order: str) -> DataFrame:
-    """When every label is equal, flip the label of the first row (by
-    ``order``) so both classes exist — the reference's guard."""
-    st = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi"),
-                F.min(order).alias("first")).first()
+    """When every label is equal, flip the label of one row, the first by
+    ``order``, so both classes exist — the reference's guard.  Of rows that
+    share the smallest order key one is flipped."""
+    st = df.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
     if st["lo"] is None or st["lo"] != st["hi"]:
         return df
-    return df.withColumn(label, F.when(F.col(order) == F.lit(st["first"]), 1 - F.col(label))
-                         .otherwise(F.col(label)))
+    numbered = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    first = numbered.agg(F.min_by("__row", F.struct(F.col(order).isNull(), F.col(order), F.col("__row")))).first()[0]
+    return numbered.withColumn(label, F.when(F.col("__row") == F.lit(first), 1 - F.col(label))
+                               .otherwise(F.col(label))).drop("__row")
 
 
 def metrics(scored: DataFrame, label: str = "label", prob: str = "p",

@@ -5,8 +5,7 @@ the joined rows feed three partial aggregations (pair counts, buyer totals,
 category moments) whose small results are joined back; AQE turns those
 joins into broadcast joins at run time when the measured aggregate is under
 the broadcast threshold and keeps a shuffle join (with skew splitting)
-otherwise.  The narrow projection of the join is checkpointed once, so the
-join runs once for its four consumers.  Group statistics are *not* windows: a window over
+otherwise.  Group statistics are *not* windows: a window over
 ``main_category`` would put all rows of a category (there are a handful)
 into one task.
 """
@@ -18,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.common import ensure_columns, keep_first, null_safe_on
+from bidlens.functions.common import ensure_columns, keep_first, null_safe_on, num_or_null
 from bidlens.functions.dates import elapsed_days, parse_timestamp
 from bidlens.functions.text import strip
 from bidlens.session import cut_lineage
@@ -76,7 +75,7 @@ def clean_awards(awards: DataFrame) -> DataFrame:
     return a.select(
         "*",
         strip(F.col("supplier_id").cast("string")).alias("__supplier_id"),
-        F.expr("try_cast(amount AS double)").alias("__amount"),
+        num_or_null(F.col("amount")).alias("__amount"),
         parse_timestamp(a, "date").alias("__award_ts"),
     )
 
@@ -137,7 +136,7 @@ def category_moments(rows: DataFrame) -> DataFrame:
 
 def award_feature_rows(tenders: DataFrame, awards: DataFrame, thresholds=GENERIC_THRESHOLDS,
                        pct: float = NEAR_PCT, dedupe_tenders: bool = False,
-                       keep: Sequence[str] = (), materialize: bool = True) -> DataFrame:
+                       keep: Sequence[str] = (), materialize: bool = False) -> DataFrame:
     """Feature values for every joined award row (before the keep-first).
 
     The joined rows feed four consumers (pair counts, buyer totals, category
@@ -171,7 +170,7 @@ def award_feature_rows(tenders: DataFrame, awards: DataFrame, thresholds=GENERIC
 
 def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[str],
                    thresholds=GENERIC_THRESHOLDS, pct: float = NEAR_PCT,
-                   dedupe_tenders: bool = False, materialize: bool = True) -> DataFrame:
+                   dedupe_tenders: bool = False, materialize: bool = False) -> DataFrame:
     """Feature table keyed by award_id (FEA-01).
 
     ``order_key`` names award columns that give the input order; the first
@@ -179,10 +178,10 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
     When duplicate tenders fan out an award row, the tender order
     (``__tender_pos`` if present) breaks the tie.
 
-    With ``materialize`` (default) the feature table is computed once and
-    checkpointed — it is the artifact every later job reads (labels,
-    fit, thresholds, evaluation, batch scoring), so none of them re-runs
-    the joins; with ``False`` it stays a lazy plan.
+    The default is a lazy plan; the feature job writes it once as Parquet and
+    every later job (labels, fit, evaluation, batch scoring) reads that
+    table.  With ``materialize`` the joined rows and the table are
+    checkpointed, for callers that use the frame several times.
     """
     rows = award_feature_rows(tenders, awards, thresholds, pct, dedupe_tenders, keep=list(order_key),
                               materialize=materialize)

@@ -11,11 +11,13 @@ import json
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import missing_path
 from bidlens.functions.scoring import DEFAULT_BANDS, num
 from bidlens.operators.features import FEATURE_COLS
 from bidlens.operators.ranking import exact_quantiles
@@ -150,10 +152,13 @@ def save_model(spark: SparkSession, model: LinearModel, path: str,
 
 
 def load_model(spark: SparkSession, path: str) -> LinearModel | None:
-    """Model from ``save_model``'s meta; None when missing or unreadable."""
+    """Model from ``save_model``'s meta; None when there is none or its text
+    isn't a model.  Other storage errors are raised."""
     try:
         txt = spark.read.text(f"{path.rstrip('/')}/meta").first()
-    except Exception:  # noqa: BLE001 - missing path → no model
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
         return None
     if txt is None:
         return None

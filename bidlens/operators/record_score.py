@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import num_or_null
 from bidlens.functions.text import graph_name_key
 from bidlens.operators.scoring import record_level_score
 
@@ -44,6 +45,6 @@ def supplier_signals(awards: DataFrame, sanctions: DataFrame | None = None,
 def score_awards(awards: DataFrame, signals: DataFrame) -> DataFrame:
     """Every award with its supplier's signals and the record-level score."""
     a = awards.select("award_id", F.col("supplier_id").cast("string").alias("supplier_id"),
-                      F.expr("try_cast(amount AS double)").alias("amount"))
+                      num_or_null(F.col("amount")).alias("amount"))
     j = a.join(signals, "supplier_id", "left")
     return record_level_score(j)

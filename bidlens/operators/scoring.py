@@ -76,9 +76,8 @@ def record_input_errors(df: DataFrame) -> DataFrame:
     d = ensure_columns(df, {"amount": "double", "past_awards_count": "long",
                             "adverse_media_count": "long"})
     msgs = F.array_compact(F.array(
-        F.when(F.col("amount") < 0, F.lit("amount must be >= 0")),
-        F.when(F.col("past_awards_count") < 0, F.lit("past_awards_count must be >= 0")),
-        F.when(F.col("adverse_media_count") < 0, F.lit("adverse_media_count must be >= 0"))))
+        *[F.when(F.col(c).try_cast("double") < 0, F.lit(f"{c} must be >= 0"))
+          for c in ("amount", "past_awards_count", "adverse_media_count")]))
     return d.withColumn("error", F.when(F.size(msgs) > 0, F.array_join(msgs, "; ")))
 
 
@@ -122,73 +121,68 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool,
-            wanted: DataFrame | None = None) -> DataFrame:
-    """Feature rows for the requested award ids, one per id.
+def _request_key(error: Column, value: Column) -> Column:
+    """Join key of a request: its value, or a key of its own that matches
+    nothing where the row has an error, so that blank ids neither meet in one
+    task nor take part in the join."""
+    return F.when(error.isNull() & value.isNotNull(), value).otherwise(
+        F.concat(F.lit("\0"), F.col("input_row_id").cast("string")))
 
-    The feature table is first semi-joined to the distinct requested ids —
-    a broadcast semi join when the batch is small (AQE measures it), so a
-    batch of a thousand requests never shuffles a large feature table —
-    and only the surviving rows are deduplicated (first non-null per
-    column, a partial aggregation)."""
+
+def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool, order: str | None) -> DataFrame:
+    """Feature rows by award id: as they are when ids are unique, else the
+    first non-null value per column (in the order of column ``order``)."""
     f = ensure_columns(features, {c: "double" for c in feature_cols})
     f = f.select(F.col("award_id").alias("__f_award_id"),
                  F.col("supplier_id").cast("string").alias("__f_supplier_id"),
-                 *[F.col(c) for c in feature_cols], F.lit(True).alias("__found"))
-    if wanted is not None:
-        f = f.join(wanted, f["__f_award_id"] == wanted["__w"], "left_semi")
+                 *[F.col(c) for c in feature_cols], F.lit(True).alias("__found"),
+                 *([F.col(order).alias("__f_order")] if order else []))
     if dedupe:
-        f = first_non_null(f, "__f_award_id")
-    return f
+        f = first_non_null(f, "__f_award_id", "__f_order" if order else None)
+    return f.drop("__f_order")
 
 
-def _graph_lookup(graph: DataFrame, taken: Sequence[str], wanted: DataFrame | None = None) -> DataFrame:
-    """Graph metrics, one row per supplier_id (first non-null per column);
-    columns whose names are already taken get the ``_graph`` suffix."""
+def _graph_lookup(graph: DataFrame, taken: Sequence[str], dedupe: bool) -> DataFrame:
+    """Graph metrics by supplier_id (first non-null per column unless ids are
+    unique); columns whose names are already taken get the ``_graph`` suffix."""
     g = graph.filter(F.col("supplier_id").isNotNull())
-    if wanted is not None:
-        g = g.join(wanted, g["supplier_id"] == wanted["__w"], "left_semi")
-    g = first_non_null(g, "supplier_id")
+    if dedupe:
+        g = first_non_null(g, "supplier_id")
     reserved = set(taken) | {"risk_score", "risk_band", "top_factors"}
     return g.select(F.col("supplier_id").alias("__g_supplier_id"),
                     *[F.col(c).alias(f"{c}_graph" if c in reserved else c)
                       for c in g.columns if c != "supplier_id"])
 
 
-def _wanted(df: DataFrame, col: str) -> DataFrame | None:
-    """Distinct non-null keys of a batch (None for a stream: a static side
-    cannot be semi-joined to a streaming one)."""
-    if df.isStreaming:
-        return None
-    return df.select(F.col(col).alias("__w")).filter(F.col("__w").isNotNull()).distinct()
-
-
 def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | None = None,
                 model: LinearModel | None = None, explain: bool = True,
                 top_k: int = DEFAULT_TOP_K, unmatched: str = "error",
-                dedupe_features: bool = True, thresholds: dict | None = None) -> DataFrame:
+                dedupe_features: bool = True, thresholds: dict | None = None,
+                feature_order: str | None = None) -> DataFrame:
     """Batch scoring job (SCR-08): one output row per request row.
 
     Output: input_row_id, award_id, supplier_id, risk_score, risk_band,
     top_factors, error [+ graph columns when ``graph`` is given].
-    Request ⟕ features on award_id (dedupe of feature rows first, so the
-    join cannot fan out), optional ⟕ graph metrics on supplier_id.  Rows
-    with an error keep a null score.  ``unmatched='score'`` scores awards
-    missing from the features with null features (reference behaviour).
-    ``thresholds`` (the saved model's band cut points) also band heuristic
-    scores; the model's own thresholds win when a model is given."""
-    k = 0 if not explain else max(0, min(int(top_k), MAX_TOP_K))
+    Request ⟕ features on award_id, optional ⟕ graph metrics on supplier_id:
+    one pass over each table.  Rows with an error don't take part in the
+    joins and keep a null score.  ``dedupe_features=False`` says that the
+    award ids (and the graph's supplier ids) are unique, as the feature and
+    graph jobs write them: both sides of the join are then plain shuffles,
+    whose skewed partitions AQE splits.  Otherwise the first non-null value
+    per id and column counts, in the order of ``feature_order``.
+    ``unmatched='score'`` scores awards missing from the features with null
+    features (reference behaviour).  ``thresholds`` (the saved model's band
+    cut points) also band heuristic scores; the model's own thresholds win
+    when a model is given.  ``top_k`` must be 1 to 20."""
+    if explain and not 1 <= int(top_k) <= MAX_TOP_K:
+        raise ValueError(f"top_k must be between 1 and {MAX_TOP_K}")
+    k = int(top_k) if explain else 0
     cols = model.feature_cols if model is not None else FEATURE_COLS
     req = normalize_requests(requests)
-    f = _lookup(features, list(dict.fromkeys(list(FEATURE_COLS) + list(cols))), dedupe_features,
-                _wanted(req, "award_id"))
-    j = req.join(f, req["award_id"] == f["__f_award_id"], "left")
+    f = _lookup(features, list(dict.fromkeys(list(FEATURE_COLS) + list(cols))), dedupe_features, feature_order)
+    j = req.withColumn("__key", _request_key(F.col("error"), F.col("award_id")))
+    j = j.join(f, F.col("__key") == F.col("__f_award_id"), "left")
     j = j.withColumn("supplier_id", F.coalesce(F.col("supplier_id"), F.col("__f_supplier_id")))
-    graph_cols: list[str] = []
-    if graph is not None:
-        g = _graph_lookup(graph, j.columns, _wanted(j, "supplier_id"))
-        graph_cols = [c for c in g.columns if c != "__g_supplier_id"]
-        j = j.join(g, j["supplier_id"] == g["__g_supplier_id"], "left")
     miss = F.col("__found").isNull()
     # an uncorrelated EXISTS subquery (CollectLimit 1 in the plan, no extra
     # job over the features) tells "no features at all" from "not found"
@@ -196,6 +190,12 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     err = F.coalesce(F.col("error"),
                      F.when(~has_features, F.lit(ERR_NO_FEATURES)),
                      F.when(miss & F.lit(unmatched == "error"), F.lit(ERR_NOT_FOUND)))
+    graph_cols: list[str] = []
+    if graph is not None:
+        g = _graph_lookup(graph, [c for c in j.columns if c != "__key"], dedupe_features)
+        graph_cols = [c for c in g.columns if c != "__g_supplier_id"]
+        j = j.withColumn("__key", _request_key(F.lit(None), F.col("supplier_id")))
+        j = j.join(g, F.col("__key") == F.col("__g_supplier_id"), "left")
     j = j.withColumn("error", err)
     ok = F.col("error").isNull()
     if model is not None:
@@ -206,30 +206,25 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     else:
         scored = heuristic_score(j).withColumn("top_factors", heuristic_factors(k).cast(FACTOR_TYPE))
     scored = (scored
-              .withColumn("risk_score", F.when(ok & ~F.isnan("risk_score"), F.col("risk_score")))
+              .withColumn("risk_score", F.when(ok, F.col("risk_score")))
               .withColumn("risk_band", F.when(ok, risk_band(F.col("risk_score"), thresholds)))
               .withColumn("top_factors", F.when(ok, F.col("top_factors"))
                           .otherwise(F.array().cast(FACTOR_TYPE))))
-    # NaN → null inside the factor structs as well
-    scored = scored.withColumn("top_factors", F.transform("top_factors", lambda s: F.struct(
-        s["name"].alias("name"),
-        F.when(~F.isnan(s["value"]), s["value"]).alias("value"),
-        F.when(~F.isnan(s["contribution"]), s["contribution"]).alias("contribution"))))
     return scored.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
                          "top_factors", "error", *graph_cols)
 
 
-def validate_batch(requests: DataFrame, features: DataFrame) -> DataFrame:
+def validate_batch(requests: DataFrame, features: DataFrame, unique_ids: bool = False) -> DataFrame:
     """Validate-only job (FLT-05/09): input_row_id, award_id, supplier_id,
-    valid, error.  Existence is a left join to the distinct feature ids
-    (partial aggregation before the shuffle)."""
+    valid, error.  Existence is a left join to the feature ids (distinct
+    first, unless ``unique_ids`` says they are); blank requests stay out."""
     req = normalize_requests(requests)
     ids = features.select(F.col("award_id").cast("string").alias("__id")).filter(F.col("__id").isNotNull())
-    wanted = _wanted(req, "award_id")
-    if wanted is not None:  # only the requested ids survive before the distinct
-        ids = ids.join(wanted, ids["__id"] == wanted["__w"], "left_semi")
-    ids = ids.distinct().withColumn("__found", F.lit(True))
-    j = req.join(ids, req["award_id"] == ids["__id"], "left")
+    if not unique_ids:
+        ids = ids.distinct()
+    ids = ids.withColumn("__found", F.lit(True))
+    j = req.withColumn("__key", _request_key(F.col("error"), F.col("award_id")))
+    j = j.join(ids, F.col("__key") == F.col("__id"), "left")
     missing = F.when(features.exists(), F.lit(ERR_NOT_FOUND)).otherwise(F.lit(ERR_NO_FEATURES))
     err = (F.when(F.col("error").isNotNull(), F.col("error"))
             .when(F.col("__found").isNull(), missing))

@@ -16,8 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.functions.common import spread
-
 # Columns that give the awards their input order (unique per line item).
 AWARD_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                "l_extendedprice"]
@@ -80,6 +78,31 @@ def sanctions_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
                      end_txt.alias("To")))
 
 
+def period_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet of all suppliers with one "period" column: every eleventh name
+    is blank, every seventh supplier is listed again further down in capitals
+    with another country; row order in ``__row_order``."""
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    start = F.date_add(F.lit("2010-01-01").cast("date"), F.col("s_suppkey").cast("int") % 3000)
+    end = F.date_add(start, 365 + F.col("s_nationkey") * 30)
+    fmt = F.col("s_suppkey") % 3
+    start_txt = (F.when(fmt == 0, F.upper(F.date_format(start, "dd-MMM-yyyy")))
+                  .when(fmt == 1, F.date_format(start, "MMMM d, yyyy"))
+                  .otherwise(F.date_format(start, "yyyy-MM-dd")))
+    end_txt = F.when(F.col("s_nationkey") % 5 == 0, F.lit("Ongoing")).otherwise(F.date_format(end, "yyyy-MM-dd"))
+    period = F.concat(start_txt, F.when(F.col("s_suppkey") % 2 == 0, F.lit(" to ")).otherwise(F.lit(" - ")), end_txt)
+    j = s.join(n, s.s_nationkey == n.n_nationkey, "left")
+    copies = F.when((F.col("s_suppkey") % 7 == 0) & (F.col("s_suppkey") % 11 != 0), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.lit(0)))
+    j = j.select("*", F.explode(copies).alias("copy"))
+    name = F.when(F.col("copy") == 1, F.upper("s_name")).otherwise(F.col("s_name"))
+    return j.select(F.when(F.col("s_suppkey") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), name)).alias("Name of Firm"),
+                    F.when(F.col("copy") == 1, F.lit("AAA")).otherwise(F.col("n_name")).alias("Country"),
+                    F.lit("Fraudulent  Practice").alias("Grounds"), period.alias("Ineligibility  Period"),
+                    F.struct(F.col("s_suppkey").alias("pos"), "copy").alias("__row_order"))
+
+
 def releases_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One OCDS release (as JSON text) per line item: the order is the
     tender, the customer the buyer, the line item the award, the supplier
@@ -87,7 +110,7 @@ def releases_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     status 'P' carry no tender id, line 1 has no award id, return flag 'R'
     lists no award supplier (party fallback) and 'A' lists a supplier
     without id (hashed id).  Columns: ``value`` (JSON), ``release_order``."""
-    li = spread(table(spark, sf_dir, "lineitem"))
+    li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -194,7 +217,7 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     a confidence from the length.  German documents cite a link without
     scheme (invalid URL); documents under 50 characters produce a broken
     payload.  Columns ``payload_id``, ``payload``."""
-    d = spread(table(spark, sf_dir, "documents"))
+    d = table(spark, sf_dir, "documents")
     ent = F.regexp_extract("text", "([A-Z][a-z]+)", 1)
     item = F.struct(
         F.when(ent != "", ent).alias("entity"),

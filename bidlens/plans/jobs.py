@@ -6,11 +6,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import missing_path
 from bidlens.operators import evaluate as ev
 from bidlens.operators import features as feat
 from bidlens.operators import graph as gr
@@ -19,6 +22,7 @@ from bidlens.operators import runlog as rl
 from bidlens.operators import scoring
 from bidlens.sources import ocds
 from bidlens.sources import projects as prj
+from bidlens.sources import requests as rq
 from bidlens.sources import sanctions as sanc
 
 
@@ -31,8 +35,9 @@ def read_parquet_or_empty(spark: SparkSession, path: str | None, ddl: str) -> Da
     if path:
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - path not found → empty
-            pass
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
     return spark.createDataFrame([], ddl)
 
 
@@ -76,7 +81,7 @@ def ingest_sanctions(spark: SparkSession, sheet_path: str, out_dir: str, source_
     sheet = sanc.read_sheet(spark, sheet_path, fmt, sep)
     out = out_dir.rstrip("/")
     ts = _stamp()
-    sheet.write.mode("overwrite").json(f"{out}/raw/ineligible_{ts}")
+    sheet.drop(sanc.ROW_ORDER).write.mode("overwrite").json(f"{out}/raw/ineligible_{ts}")
     norm = sanc.normalize_sanctions(sheet, source_url)
     norm.write.mode("overwrite").parquet(f"{out}/ineligible.parquet")
     return f"{out}/ineligible.parquet"
@@ -103,9 +108,11 @@ def features_job(spark: SparkSession, tenders_path: str, awards_path: str, out_p
 
 
 def graph_job(spark: SparkSession, tenders_path: str, awards_path: str, sanctions_path: str | None,
-              out_dir: str, ego_supplier_id: str | None = None, with_betweenness: bool = True,
+              out_dir: str, ego_supplier_id: str | None = None, with_betweenness: bool = False,
               pivots: int | None = None) -> str:
-    """Graph metrics parquet without ``node`` (SNK-03); optional ego edges."""
+    """Graph metrics parquet without ``node`` (SNK-03); optional ego edges.
+    Betweenness is asked for by the caller: exact it costs vertices x edges,
+    with ``pivots`` it is an estimate."""
     t, a = spark.read.parquet(tenders_path), spark.read.parquet(awards_path)
     s = read_parquet_or_empty(spark, sanctions_path, "name string, normalized_name string") \
         if sanctions_path else None
@@ -161,25 +168,93 @@ def latest_metrics(spark: SparkSession, metrics_dir: str) -> DataFrame:
     return m.agg(F.max_by(F.struct(*[c for c in m.columns if c != "__f"]), "__f").alias("m")).select("m.*")
 
 
-def batch_job(spark: SparkSession, requests: DataFrame, features_path: str, out_path: str,
-              graph_path: str | None = None, model_dir: str | None = None, explain: bool = True,
-              top_k: int = scoring.DEFAULT_TOP_K, run_log_path: str | None = None) -> DataFrame:
-    """Batch scoring (SCR-08) over a request table → parquet, ordered by
-    input row; one run-log record appended (never failing the job)."""
-    started = time.time()
-    features = read_parquet_or_empty(spark, features_path,
-                                     ", ".join(f"{n} {t}" for n, t in feat.FEATURES_SCHEMA))
-    graph = read_parquet_or_empty(spark, graph_path, "supplier_id string") if graph_path else None
-    model = mdl.load_model(spark, model_dir) if model_dir else None
-    out = scoring.score_batch(requests, features, graph=graph, model=model, explain=explain, top_k=top_k)
-    out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
-    written = spark.read.parquet(out_path)
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-08/19: request files → (input_row_id, award_id, supplier_id).
+    CSV tables by suffix; anything else is JSON payloads, one per file (a
+    list or an ``items`` envelope).  Row ids follow the files' order."""
+    if path.lower().split("?")[0].endswith((".csv", ".csv.gz", ".tsv")):
+        sep = "\t" if path.lower().endswith(".tsv") else ","
+        return rq.coerce_award_rows(spark.read.option("header", True).option("inferSchema", False)
+                                    .option("sep", sep).csv(path))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    items = rq.parse_request_payloads(text, "value", "file")
+    # one payload keeps its positions; more are told apart by a hash of their path
+    several = len(text.inputFiles()) > 1
+    rid = F.xxhash64("payload_id", "input_row_id") if several else F.col("input_row_id")
+    return items.select(rid.alias("input_row_id"), "award_id", "supplier_id")
+
+
+def _requests(spark: SparkSession, requests: DataFrame | str) -> DataFrame:
+    return read_requests(spark, requests) if isinstance(requests, str) else requests
+
+
+@contextmanager
+def _logged(spark: SparkSession, run_log_path: str | None, endpoint: str, **fields):
+    """One run-log record per job run: the caller fills in what it learns;
+    a failure is logged with status ``error`` and raised again."""
+    started, learned = time.time(), {}
+    try:
+        yield learned
+    except Exception as e:
+        if run_log_path:
+            rl.append_run_log(rl.run_record(spark, endpoint, started, status="error",
+                                            error=f"{type(e).__name__}: {str(e)[:500]}", **{**fields, **learned}), run_log_path)
+        raise
     if run_log_path:
-        n = written.count()
-        rec = rl.run_record(spark, "/v1/score/batch", started, num_items=n,
-                            paths={"features_path": features_path, "graph_metrics_path": graph_path},
-                            used_model=model is not None, join_graph=graph is not None, explain=explain)
-        rl.append_run_log(rec, run_log_path)
+        rl.append_run_log(rl.run_record(spark, endpoint, started, **{**fields, **learned}), run_log_path)
+
+
+def _features_or_empty(spark: SparkSession, path: str) -> DataFrame:
+    return read_parquet_or_empty(spark, path, ", ".join(f"{n} {t}" for n, t in feat.FEATURES_SCHEMA))
+
+
+def batch_job(spark: SparkSession, requests: DataFrame | str, features_path: str, out_path: str,
+              graph_path: str | None = None, model_dir: str | None = None, explain: bool = True,
+              top_k: int = scoring.DEFAULT_TOP_K, run_log_path: str | None = None,
+              unique_features: bool = False) -> DataFrame:
+    """Batch scoring (SCR-08) over a request table or request files →
+    parquet, ordered by input row; one run-log record, also of a failure.
+    ``unique_features``: the tables are the feature and graph jobs' own."""
+    paths = {"features_path": features_path, "graph_metrics_path": graph_path}
+    with _logged(spark, run_log_path, "/v1/score/batch", paths=paths, join_graph=graph_path is not None,
+                 explain=explain) as log:
+        model = mdl.load_model(spark, model_dir) if model_dir else None
+        log["used_model"] = model is not None
+        graph = read_parquet_or_empty(spark, graph_path, "supplier_id string") if graph_path else None
+        out = scoring.score_batch(_requests(spark, requests), _features_or_empty(spark, features_path), graph=graph,
+                                  model=model, explain=explain, top_k=top_k, dedupe_features=not unique_features)
+        out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
+        written = spark.read.parquet(out_path)
+        if run_log_path:
+            log["num_items"] = written.count()
+    return written
+
+
+def validate_job(spark: SparkSession, requests: DataFrame | str, features_path: str, out_path: str,
+                 run_log_path: str | None = None) -> DataFrame:
+    """Validate-only run (FLT-05/09): input_row_id, award_id, supplier_id,
+    valid, error → parquet, ordered by input row, with a run-log record."""
+    with _logged(spark, run_log_path, "/v1/validate/batch", paths={"features_path": features_path}) as log:
+        out = scoring.validate_batch(_requests(spark, requests), _features_or_empty(spark, features_path))
+        out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
+        written = spark.read.parquet(out_path)
+        if run_log_path:
+            log["num_items"] = written.count()
+    return written
+
+
+def record_score_job(spark: SparkSession, records: DataFrame, out_path: str,
+                     run_log_path: str | None = None) -> DataFrame:
+    """Record-level scores (SCR-07) of a table with amount,
+    past_awards_count, is_sanctioned and adverse_media_count → parquet.
+    Rows whose inputs are out of range (FLT-07) carry the error and no score."""
+    with _logged(spark, run_log_path, "/v1/score") as log:
+        out = scoring.record_level_score(scoring.record_input_errors(records))
+        out = out.withColumn("risk_score", F.when(F.col("error").isNull(), F.col("risk_score")))
+        out.write.mode("overwrite").parquet(out_path)
+        written = spark.read.parquet(out_path)
+        if run_log_path:
+            log["num_items"] = written.count()
     return written
 
 
@@ -197,6 +272,8 @@ def model_info(spark: SparkSession, model_dir: str, metrics_dir: str | None = No
     if metrics_dir:
         try:
             info["latest_evaluation"] = latest_metrics(spark, metrics_dir).first().asDict(recursive=True)
-        except Exception:  # noqa: BLE001 - no artifact yet
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
             info["latest_evaluation"] = None
     return info

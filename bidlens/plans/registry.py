@@ -304,13 +304,30 @@ sanctions_x AS (
 )"""
 
 
-@register("sanctions_norm", "WITH " + SANCTIONS_SQL_CTE + " SELECT * FROM sanctions_x")
+@register("sanctions_norm", f"""
+WITH s AS (
+  SELECT s_suppkey, s_name, s_nationkey, n_name, DATE '2010-01-01' + CAST(s_suppkey % 3000 AS INTEGER) AS d0
+  FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+r AS (
+  SELECT s_suppkey AS pos, 0 AS copy, CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE trim(s_name) END AS name, n_name AS country,
+         d0, s_nationkey FROM s
+  UNION ALL
+  SELECT s_suppkey, 1, upper(trim(s_name)), 'AAA', d0, s_nationkey FROM s WHERE s_suppkey % 7 = 0 AND s_suppkey % 11 <> 0),
+o AS (
+  SELECT pos, copy, name, lower(name) AS normalized_name, country, 'Fraudulent Practice' AS grounds,
+         strftime(d0, '%Y-%m-%d') AS start_date,
+         CASE WHEN s_nationkey % 5 = 0 THEN NULL
+              ELSE strftime(d0 + CAST(365 + s_nationkey * 30 AS INTEGER), '%Y-%m-%d') END AS end_date
+  FROM r WHERE name <> '')
+SELECT name, normalized_name, country, grounds, start_date, end_date, '{SANCTIONS_URL}' AS source_url, '{STAMP}' AS updated_at
+FROM (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY normalized_name, start_date, end_date ORDER BY pos, copy) AS rn FROM o)
+WHERE rn = 1""")
 def q_sanctions_norm(spark, sf_dir):
-    return sanctions_df(spark, sf_dir)
+    return sanc.normalize_sanctions(ad.period_sheet(spark, sf_dir), SANCTIONS_URL, STAMP)
 
 
-def graph_parts(spark, sf_dir):
-    return gr.bipartite_graph(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir, keep_order=False))
+def graph_parts(spark, sf_dir, materialize=False):
+    return gr.bipartite_graph(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir, keep_order=False), materialize)
 
 
 def name_key_sql(x: str) -> str:
@@ -318,7 +335,7 @@ def name_key_sql(x: str) -> str:
             f" '\\s+', ' ', 'g')), '')")
 
 
-GRAPH_CTE = "WITH " + O.TENDERS_CTE + "," + O.AWARDS_CTE + "," + SANCTIONS_SQL_CTE + """,
+GRAPH_CTE = "WITH RECURSIVE " + O.TENDERS_CTE + "," + O.AWARDS_CTE + "," + SANCTIONS_SQL_CTE + """,
 gj AS (SELECT a.award_id, a.supplier_id, a.supplier_name, a.amount, t.buyer_id, t.buyer_name
        FROM awards_x a LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id),
 ge AS (SELECT 'buyer:' || buyer_id AS src, supplier_id AS dst, COUNT(award_id) AS awards_count,
@@ -332,15 +349,16 @@ gsan AS (SELECT s.id, s.supplier_name,
          FROM gsup s)"""
 
 
-def bfs_sql(seed_sql: str, levels: int) -> str:
-    """Unrolled BFS: l0 = seed, l{i} = new neighbours of l{i-1}."""
-    parts = [f"l0 AS (SELECT DISTINCT node FROM ({seed_sql}))"]
-    for i in range(1, levels + 1):
-        seen = " UNION ".join(f"SELECT node FROM l{j}" for j in range(i))
-        parts.append(f"l{i} AS (SELECT DISTINCT a.nbr AS node FROM gadj a JOIN l{i-1} p ON a.node = p.node"
-                     f" WHERE a.nbr NOT IN ({seen}))")
-    dist = " UNION ALL ".join(f"SELECT node, {i} AS d FROM l{i}" for i in range(levels + 1))
-    return ",\n".join(parts) + f",\ngdist AS ({dist})"
+def bfs_sql(seed_sql: str, levels: int | None = None) -> str:
+    """Levels of a breadth-first search from the seed, to any depth: the
+    recursion keeps one row per node (its first level)."""
+    stop = f" AND b.d < {levels}" if levels is not None else ""
+    return f"""gbfs(node, d) USING KEY (node) AS (
+  SELECT DISTINCT node, 0 AS d FROM ({seed_sql})
+  UNION
+  SELECT a.nbr, min(b.d + 1) FROM gbfs b JOIN gadj a ON a.node = b.node
+  WHERE a.nbr NOT IN (SELECT node FROM recurring.gbfs){stop} GROUP BY a.nbr),
+gdist AS (SELECT node, d FROM gbfs)"""
 
 
 @register("edges", GRAPH_CTE + """
@@ -365,15 +383,12 @@ def q_sanction_match(spark, sf_dir):
         "id", "supplier_name", "is_sanctioned")
 
 
-BFS_LEVELS = 12
-
-
 @register("distance_to_sanctioned", GRAPH_CTE + ",\n" + bfs_sql(
-    "SELECT id AS node FROM gsan WHERE is_sanctioned", BFS_LEVELS) + """
+    "SELECT id AS node FROM gsan WHERE is_sanctioned") + """
 SELECT s.id AS supplier_id, CAST(d.d AS BIGINT) AS distance_to_sanctioned
 FROM gsan s LEFT JOIN gdist d ON s.id = d.node""")
 def q_distance_to_sanctioned(spark, sf_dir):
-    v, e = graph_parts(spark, sf_dir)
+    v, e = graph_parts(spark, sf_dir, materialize=True)
     sup = gr.sanctioned_suppliers(v, sanctions_df(spark, sf_dir))
     dist = gr.distance_to(e, sup.filter("is_sanctioned").select(F.col("id").alias("node")))
     return sup.join(dist.withColumnRenamed("node", "id"), "id", "left").select(
@@ -381,7 +396,7 @@ def q_distance_to_sanctioned(spark, sf_dir):
 
 
 @register("graph_metrics", GRAPH_CTE + ",\n" + bfs_sql(
-    "SELECT id AS node FROM gsan WHERE is_sanctioned", BFS_LEVELS) + """,
+    "SELECT id AS node FROM gsan WHERE is_sanctioned") + """,
 gdeg AS (SELECT node, COUNT(*) AS degree FROM gadj GROUP BY node)
 SELECT s.id AS supplier_id, s.supplier_name, CAST(g.degree AS BIGINT) AS degree, CAST(0.0 AS DOUBLE) AS betweenness,
        CAST(d.d AS BIGINT) AS distance_to_sanctioned
@@ -407,7 +422,7 @@ def q_ego_edges(spark, sf_dir):
 def q_betweenness(spark, sf_dir):
     """Exact normalised betweenness of every supplier (rows-only check;
     path/star/known-value cases are unit tests)."""
-    v, e = graph_parts(spark, sf_dir)
+    v, e = graph_parts(spark, sf_dir, materialize=True)
     bt = gr.betweenness(v, e)
     sup = v.filter(F.col("bipartite") == "supplier").select(F.col("id").alias("node"), "supplier_id")
     return sup.join(bt, "node", "left").select("supplier_id", "betweenness")
@@ -518,41 +533,57 @@ def factor_names(col="top_factors"):
     return F.array_join(F.transform(col, lambda f: f["name"]), ",")
 
 
+def factor_values(n, col="top_factors"):
+    """f1_value, f1_contribution, ... of the first n factors."""
+    return [F.get(F.col(col), i)[x].alias(f"f{i + 1}_{x}") for i in range(n) for x in ("value", "contribution")]
+
+
+FACTOR_ROWS_CTE = """
+fx AS (
+  SELECT input_row_id, f.name, f.value, f.contribution, f.pos FROM (
+    SELECT input_row_id, unnest([""" + ", ".join(
+        f"{{'name': '{c}', 'value': COALESCE(CAST({c} AS DOUBLE), 0.0), "
+        f"'contribution': ({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0), 'pos': {i}}}"
+        for i, (c, w) in enumerate(zip(FIXED_MODEL.feature_cols, FIXED_MODEL.coef))) + """]) AS f
+    FROM breq_x WHERE error IS NULL)
+),
+fr AS (SELECT input_row_id, name, value, contribution,
+              ROW_NUMBER() OVER (PARTITION BY input_row_id ORDER BY abs(contribution) DESC, pos) AS rk FROM fx)"""
+
+
 @register("score_batch", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
 SELECT input_row_id, award_id, supplier_id,
        CASE WHEN error IS NULL THEN """ + HEUR_SQL + """ END AS risk_score,
        CASE WHEN error IS NULL THEN """ + O.band_sql(HEUR_SQL) + """ END AS risk_band,
        CASE WHEN error IS NULL THEN '""" + ",".join(HEURISTIC_FACTORS) + """' ELSE '' END AS factor_names,
+       """ + ", ".join(f"CASE WHEN error IS NULL THEN ROUND(CAST({c} AS DOUBLE), 6) END AS f{i + 1}_value, "
+                       f"CAST(NULL AS DOUBLE) AS f{i + 1}_contribution" for i, c in enumerate(HEURISTIC_FACTORS)) + """,
        error
 FROM breq_x""")
 def q_score_batch(spark, sf_dir):
-    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
-    return out.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
-                      factor_names().alias("factor_names"), "error")
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir), dedupe_features=False)
+    return rounded(out.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
+                              factor_names().alias("factor_names"), *factor_values(5), "error"))
 
 
 @register("score_batch_model", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """,
-fx AS (
-  SELECT input_row_id, f.name, abs(f.contribution) AS ac, f.pos FROM (
-    SELECT input_row_id, unnest([""" + ", ".join(
-        f"{{'name': '{c}', 'contribution': ({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0), 'pos': {i}}}"
-        for i, (c, w) in enumerate(zip(FIXED_MODEL.feature_cols, FIXED_MODEL.coef))) + """]) AS f
-    FROM breq_x WHERE error IS NULL)
-),
-fr AS (SELECT input_row_id, name, ROW_NUMBER() OVER (PARTITION BY input_row_id ORDER BY ac DESC, pos) AS rk FROM fx),
-fn AS (SELECT input_row_id, string_agg(name, ',' ORDER BY rk) AS names FROM fr WHERE rk <= 3 GROUP BY input_row_id)
+""" + FACTOR_ROWS_CTE + """,
+fn AS (SELECT input_row_id, string_agg(name, ',' ORDER BY rk) AS names, """ + ", ".join(
+        f"max(CASE WHEN rk = {i} THEN ROUND({x}, 6) END) AS f{i}_{x}" for i in (1, 2, 3) for x in ("value", "contribution")) + """
+       FROM fr WHERE rk <= 3 GROUP BY input_row_id)
 SELECT b.input_row_id, b.award_id, b.supplier_id,
        CASE WHEN error IS NULL THEN ROUND(GREATEST(0.0, LEAST(1.0, """ + linear_sql(FIXED_MODEL) + """)), 6) END
        AS risk_score,
        CASE WHEN error IS NULL THEN """ + O.band_sql("GREATEST(0.0, LEAST(1.0, " + linear_sql(FIXED_MODEL) + "))",
                                                      0.2, 0.5) + """ END AS risk_band,
-       COALESCE(fn.names, '') AS factor_names, error
+       COALESCE(fn.names, '') AS factor_names, f1_value, f1_contribution, f2_value, f2_contribution,
+       f3_value, f3_contribution, error
 FROM breq_x b LEFT JOIN fn ON b.input_row_id = fn.input_row_id""")
 def q_score_batch_model(spark, sf_dir):
     out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir),
-                              model=FIXED_MODEL, explain=True, top_k=3)
+                              model=FIXED_MODEL, explain=True, top_k=3, dedupe_features=False)
     return rounded(out.select("input_row_id", "award_id", "supplier_id", "risk_score", "risk_band",
-                              factor_names().alias("factor_names"), "error"))
+                              factor_names().alias("factor_names"), *factor_values(3), "error"))
 
 
 @register("validate_batch", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
@@ -563,7 +594,7 @@ SELECT input_row_id, award_id, supplier_id, error IS NULL AS valid, error FROM (
               THEN '""" + scoring.ERR_NOT_FOUND + """' END AS error
   FROM req_x r)""")
 def q_validate_batch(spark, sf_dir):
-    return scoring.validate_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
+    return scoring.validate_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir), unique_ids=True)
 
 
 # --------------------------------------------------------------- projects, pages, media
@@ -606,7 +637,7 @@ def _link_sql() -> str:
     origin = "regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1)"
     return f"""
 WITH h AS (SELECT page_id, url AS base,
-                  unnest(regexp_extract_all(html, '(?i)href=["\\\\'']([^"\\\\'']+)["\\\\'']', 1)) AS href
+                  unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS href
            FROM pages),
 c AS (SELECT page_id, {score} AS score,
              CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*://') THEN href
@@ -691,24 +722,22 @@ def q_demo_score(spark, sf_dir):
 # --------------------------------------------------------------- reports, run log
 
 @register("flat_factors", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """,
-fx AS (
-  SELECT input_row_id, f.name, abs(f.contribution) AS ac, f.pos FROM (
-    SELECT input_row_id, unnest([""" + ", ".join(
-        f"{{'name': '{c}', 'contribution': ({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0), 'pos': {i}}}"
-        for i, (c, w) in enumerate(zip(FIXED_MODEL.feature_cols, FIXED_MODEL.coef))) + """]) AS f
-    FROM breq_x WHERE error IS NULL)
-),
-fr AS (SELECT input_row_id, name, ROW_NUMBER() OVER (PARTITION BY input_row_id ORDER BY ac DESC, pos) AS rk FROM fx)
+""" + FACTOR_ROWS_CTE + """
 SELECT b.input_row_id,
        COALESCE(max(CASE WHEN rk = 1 THEN name END), '') AS top_factor_1_name,
-       COALESCE(max(CASE WHEN rk = 2 THEN name END), '') AS top_factor_2_name
+       max(CASE WHEN rk = 1 THEN ROUND(value, 6) END) AS top_factor_1_value,
+       COALESCE(max(CASE WHEN rk = 2 THEN name END), '') AS top_factor_2_name,
+       max(CASE WHEN rk = 2 THEN ROUND(value, 6) END) AS top_factor_2_value
 FROM breq_x b LEFT JOIN fr ON b.input_row_id = fr.input_row_id
 GROUP BY b.input_row_id""")
 def q_flat_factors(spark, sf_dir):
     out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir),
-                              model=FIXED_MODEL, explain=True, top_k=2)
-    flat = rep.flatten_factors(out.select("input_row_id", "top_factors"))
-    return flat.select("input_row_id", "top_factor_1_name", "top_factor_2_name")
+                              model=FIXED_MODEL, explain=True, top_k=2, dedupe_features=False)
+    flat = rep.flatten_factors(out.select("input_row_id", "top_factors"), width=2)
+    # the export is text; the check compares the numbers in it
+    return rounded(flat.select("input_row_id", "top_factor_1_name", "top_factor_2_name",
+                               *[F.col(f"top_factor_{i}_value").try_cast("double").alias(f"top_factor_{i}_value")
+                                 for i in (1, 2)]))
 
 
 @register("band_filter", "WITH " + O.FEATURE_ROWS_CTE + """
@@ -722,7 +751,7 @@ def q_band_filter(spark, sf_dir):
 @register("error_rows", "WITH " + O.FEATURE_ROWS_CTE + "," + REQUESTS_CTE + """
 SELECT input_row_id, award_id, error FROM breq_x WHERE error IS NOT NULL AND error <> ''""")
 def q_error_rows(spark, sf_dir):
-    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir))
+    out = scoring.score_batch(requests_df(spark, sf_dir), features_df(spark, sf_dir), dedupe_features=False)
     _, bad = rep.split_errors(out)
     return bad.select("input_row_id", "award_id", "error")
 
@@ -730,10 +759,14 @@ def q_error_rows(spark, sf_dir):
 @register("runlog_rollup", """
 SELECT '/v1/' || event_type AS endpoint, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
        COUNT(*) AS requests, CAST(COALESCE(SUM(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS items,
-       ROUND(AVG(CAST(round(value * 10) AS BIGINT)), 6) AS avg_ms, MAX(CAST(round(value * 10) AS BIGINT)) AS max_ms
+       ROUND(AVG(CAST(round(value * 10) AS BIGINT)), 6) AS avg_ms, MAX(CAST(round(value * 10) AS BIGINT)) AS max_ms,
+       """ + ", ".join(f"ROUND(quantile_cont(CAST(round(value * 10) AS BIGINT), {q}), 6) AS p{round(q * 100)}_ms"
+                       for q in (0.5, 0.9, 0.99)) + """
 FROM events GROUP BY 1, 2""")
 def q_runlog_rollup(spark, sf_dir):
-    return rounded(rl.run_rollup(ad.run_log(spark, sf_dir)).drop("p50_p90_p99_ms"))
+    r = rl.run_rollup(ad.run_log(spark, sf_dir))
+    return rounded(r.select("endpoint", "status", "requests", "items", "avg_ms", "max_ms",
+                            *[F.get("p50_p90_p99_ms", i).alias(f"p{q}_ms") for i, q in enumerate((50, 90, 99))]))
 
 
 DATASETS = {"ocds_tenders": "orders", "ocds_awards": "lineitem", "wb_ineligible": "supplier",

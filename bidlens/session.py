@@ -9,6 +9,7 @@ coalescing) and a reliable checkpoint directory for the iterative graph jobs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +57,19 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher sets it to shared storage and it is used as is.
-    Only when it is unset (local tests) a scratch folder is created."""
+    On a cluster the launcher sets it to shared storage and it is used as is;
+    unset, it is an error there.  Only in local mode (tests), where all tasks
+    share one machine, a scratch folder is created.  Removing unreferenced
+    checkpoints (spark.cleaner.referenceTracking.cleanCheckpoints) is a
+    launcher setting: it can't be changed in a running session."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="bidlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
