@@ -307,7 +307,7 @@ def _buckets(rows: Iterator, width: int) -> Iterator[Bucket]:
 # -------------------------------------------------------------------- scores
 
 def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held: Column,
-                chunk_tokens: int = 4_000_000, bucket_tokens: int = 1_500_000, least: int = 64) -> DataFrame:
+                chunk_tokens: int = 2_000_000, bucket_tokens: int = 1_500_000, least: int = 64) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score (add-one unigrams) and score (Katz), both log10.
     Rows where ``held`` is true are scored but not learned from."""
