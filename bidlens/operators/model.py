@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions.common import missing_path
-from bidlens.functions.scoring import DEFAULT_BANDS, num
+from bidlens.functions.scoring import DEFAULT_BANDS, num, sigmoid
 from bidlens.operators.features import FEATURE_COLS
 from bidlens.operators.ranking import exact_quantiles
 from bidlens.operators.scoring import LinearModel
@@ -58,7 +58,7 @@ def _design(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def fit(df: DataFrame, cols: Sequence[str] | None = None, max_iter: int = MAX_ITER,
-        with_thresholds: bool = True) -> tuple[LinearModel, LogisticRegressionModel]:
+        with_thresholds: bool = True, tol: float = 1e-6) -> tuple[LinearModel, LogisticRegressionModel]:
     """L2 logistic regression equal to C = 1 on unscaled features:
     Spark's objective (1/n)·Σloss + λ/2‖w‖² matches C·Σloss + ½‖w‖² at
     λ = 1/(C·n).  Nulls are filled with 0 in fit and score alike."""
@@ -66,7 +66,7 @@ def fit(df: DataFrame, cols: Sequence[str] | None = None, max_iter: int = MAX_IT
     d = _design(df, cols).cache()
     n = d.count()
     lr = LogisticRegression(maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                            standardization=False, fitIntercept=True, tol=1e-6)
+                            standardization=False, fitIntercept=True, tol=tol)
     m = lr.fit(d)
     coef = [float(x) for x in m.coefficients.toArray()]
     lm = LinearModel(cols, coef, float(m.intercept), dict(DEFAULT_BANDS))
@@ -88,22 +88,41 @@ def band_thresholds(df: DataFrame, score: str = "risk_score",
 
 
 def calibrate(df: DataFrame, model: LinearModel) -> LinearModel:
-    """Platt scaling on the training rows: a one-feature logistic fit on the
-    logit, each row entered twice with the Platt targets as weights
-    (label 1 weight t, label 0 weight 1 − t; t = (N₊+1)/(N₊+2) for
-    positives, 1/(N₋+2) for negatives), no regularisation."""
-    d = df.select(model.logit().alias("f"), proxy_label_col(df).alias("y"))
-    counts = d.agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).first()
-    pos = int(counts["pos"] or 0)
-    neg = int(counts["n"]) - pos
+    """Platt scaling on the training rows: σ(a·logit + b) fitted to the Platt
+    targets ((N₊+1)/(N₊+2) for positives, 1/(N₋+2) for negatives), no
+    regularisation.  Two parameters need six sums per Newton step, so each
+    step is one aggregation; a step that doesn't lower the loss is halved."""
+    d = (df.select(model.logit().alias("f"), proxy_label_col(df).alias("y"))
+         .groupBy("f", "y").agg(F.count(F.lit(1)).alias("n")).persist())
+    pos = d.agg(F.sum(F.when(F.col("y") == 1, F.col("n")))).first()[0] or 0
+    neg = (d.agg(F.sum("n")).first()[0] or 0) - pos
     hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)
     t = F.when(F.col("y") == 1, F.lit(hi)).otherwise(F.lit(lo))
-    two = (d.select("f", F.lit(1.0).alias("label"), t.alias("w"))
-            .unionByName(d.select("f", F.lit(0.0).alias("label"), (1 - t).alias("w"))))
-    two = VectorAssembler(inputCols=["f"], outputCol="features").transform(two)
-    m = LogisticRegression(maxIter=MAX_ITER, regParam=0.0, weightCol="w",
-                           standardization=False, tol=1e-10).fit(two)
-    a, b = float(m.coefficients[0]), float(m.intercept)
+
+    def sums(a: float, b: float):
+        z = F.lit(a) * F.col("f") + F.lit(b)
+        p, n, f = sigmoid(z), F.col("n"), F.col("f")
+        w = n * p * (1 - p)
+        loss = n * (F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z))))
+        return d.select(*[F.sum(x) for x in (loss, n * (p - t) * f, n * (p - t), w * f * f, w * f, w)]).first()
+
+    a = b = 0.0
+    now = sums(a, b)
+    for _ in range(MAX_ITER):
+        _, ga, gb, haa, hab, hbb = now
+        det = haa * hbb - hab * hab
+        if not det:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = 1.0
+        nxt = sums(a - da, b - db)
+        while nxt[0] > now[0] + 1e-9 * abs(now[0]) and step > 1e-4:
+            step /= 2
+            nxt = sums(a - step * da, b - step * db)
+        a, b, now = a - step * da, b - step * db, nxt
+        if max(abs(da), abs(db)) < 1e-11 * (1 + abs(a) + abs(b)):
+            break
+    d.unpersist()
     return LinearModel(model.feature_cols, model.coef, model.intercept, model.thresholds, (a, b))
 
 

@@ -92,3 +92,53 @@ def heuristic_sql(near: str, repeat: str, z: str, conc: str) -> str:
 def band_sql(score: str, low: float = 0.33, med: float = 0.66) -> str:
     return (f"CASE WHEN {score} IS NULL THEN NULL WHEN {score} <= {low!r} THEN 'low' "
             f"WHEN {score} <= {med!r} THEN 'medium' ELSE 'high' END")
+
+
+def newton_sql(rows: str, k: int, steps: int, ridge: float = 0.0) -> str:
+    """CTEs that fit a logistic regression by Newton's method: ``rows`` names
+    a relation with the inputs x1..x{k-1} and the target y in [0, 1]; x0 is
+    the intercept, which the ridge leaves alone.  Every step sums gradient and
+    Hessian over all rows and solves the k x k system by elimination.  The
+    last relation is ``fit(w0, ..., w{k-1})``."""
+    x = ["1.0"] + [f"x{i}" for i in range(1, k)]
+    parts = ["n0 AS (SELECT " + ", ".join(f"CAST(0.0 AS DOUBLE) AS w{i}" for i in range(k)) + ")"]
+    for s in range(1, steps + 1):
+        z = " + ".join(f"w{i} * {x[i]}" for i in range(k))
+        cols = [f"sum((p - y) * {x[i]})" + (f" + {ridge!r} * any_value(w{i})" if ridge and i else "") + f" AS b{i}"
+                for i in range(k)]
+        cols += [f"sum(p * (1 - p) * {x[i]} * {x[j]})" + (f" + {ridge!r}" if ridge and i == j and i else "") + f" AS a{i}_{j}"
+                 for i in range(k) for j in range(k)]
+        keep = ", ".join(f"any_value(w{i}) AS w{i}" for i in range(k))
+        parts.append(f"p{s} AS (SELECT r.*, n.*, 1.0 / (1.0 + exp(-({z}))) AS p FROM {rows} r, n{s - 1} n)")
+        parts.append(f"e{s}_0 AS (SELECT {keep}, {', '.join(cols)} FROM p{s})")
+        for c in range(k):  # eliminate column c from the rows below and above
+            out = []
+            for i in range(k):
+                f = f"a{i}_{c} / a{c}_{c}"
+                out += [f"a{i}_{j}" + (f" - {f} * a{c}_{j}" if i != c else "") + f" AS a{i}_{j}" for j in range(k)]
+                out.append(f"b{i}" + (f" - {f} * b{c}" if i != c else "") + f" AS b{i}")
+            parts.append(f"e{s}_{c + 1} AS (SELECT {', '.join(f'w{i}' for i in range(k))}, {', '.join(out)} FROM e{s}_{c})")
+        parts.append(f"n{s} AS MATERIALIZED (SELECT " + ", ".join(f"w{i} - b{i} / a{i}_{i} AS w{i}" for i in range(k))
+                     + f" FROM e{s}_{k})")
+    parts.append(f"fit AS (SELECT * FROM n{steps})")
+    return ",\n".join(parts)
+
+
+def betweenness_sql(levels: int) -> str:
+    """CTEs for Brandes' sums over the adjacency ``gadj(node, nbr)``: path
+    counts level by level from every source, then the dependencies back;
+    ``gbet(node, delta)``.  ``levels`` must reach the graph's diameter."""
+    parts = ["b0 AS (SELECT DISTINCT node AS s, node AS v, CAST(1.0 AS DOUBLE) AS sigma FROM gadj)"]
+    for i in range(1, levels + 1):
+        seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM b{j} q WHERE q.s = p.s AND q.v = a.nbr)" for j in range(max(0, i - 2), i))
+        parts.append(f"b{i} AS MATERIALIZED (SELECT p.s, a.nbr AS v, sum(p.sigma) AS sigma FROM b{i - 1} p "
+                     f"JOIN gadj a ON a.node = p.v WHERE true {seen} GROUP BY p.s, a.nbr)")
+    parts.append(f"d{levels} AS (SELECT s, v, sigma, CAST(0.0 AS DOUBLE) AS delta FROM b{levels})")
+    for i in range(levels - 1, 0, -1):
+        parts.append(f"c{i} AS (SELECT w.s, a.node AS v, sum((1 + w.delta) / w.sigma) AS c FROM d{i + 1} w "
+                     f"JOIN gadj a ON a.nbr = w.v GROUP BY 1, 2)")
+        parts.append(f"d{i} AS MATERIALIZED (SELECT p.s, p.v, p.sigma, p.sigma * COALESCE(c.c, 0) AS delta FROM b{i} p "
+                     f"LEFT JOIN c{i} c ON p.s = c.s AND p.v = c.v)")
+    both = " UNION ALL ".join(f"SELECT v, delta FROM d{i}" for i in range(1, levels + 1))
+    parts.append(f"gbet AS (SELECT v AS node, sum(delta) AS delta FROM ({both}) GROUP BY v)")
+    return ",\n".join(parts)

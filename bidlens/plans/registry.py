@@ -150,10 +150,14 @@ FIXED_MODEL = scoring.LinearModel(
     thresholds={"low_max": 0.2, "medium_max": 0.5})
 
 
-def linear_sql(m: scoring.LinearModel) -> str:
+def logit_sql(m: scoring.LinearModel) -> str:
     terms = " + ".join(f"({w!r}) * COALESCE(CAST({c} AS DOUBLE), 0.0)"
                        for c, w in zip(m.feature_cols, m.coef))
-    return f"(1.0 / (1.0 + exp(-(({m.intercept!r}) + {terms}))))"
+    return f"(({m.intercept!r}) + {terms})"
+
+
+def linear_sql(m: scoring.LinearModel) -> str:
+    return f"(1.0 / (1.0 + exp(-({logit_sql(m)}))))"
 
 
 def fixed_scores(spark, sf_dir, explain=True, top_k=None):
@@ -251,21 +255,29 @@ def q_eval_metrics(spark, sf_dir):
     return rounded(ev.metrics(s, "label", "p", order="award_id"))
 
 
-@register("fit_logreg")
+@register("fit_logreg", "WITH " + O.FEATURE_ROWS_CTE + f""",
+design AS MATERIALIZED (SELECT {", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) AS x{i + 1}" for i, c in enumerate(feat.FEATURE_COLS))},
+                 {PROXY_SQL} AS y FROM features_x),
+""" + O.newton_sql("design", len(feat.FEATURE_COLS) + 1, 14, 1.0) + "\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, ROUND(w{i + 1}, 3) AS weight FROM fit" for i, c in enumerate(feat.FEATURE_COLS)))
 def q_fit_logreg(spark, sf_dir):
-    """Fit on the whole feature table; the coefficient table (rows-only
-    check; coefficients are compared with a Newton solve in the tests)."""
-    lm, _ = mdl.fit(features_df(spark, sf_dir))
-    return mdl.top_weights(spark, lm)
-
-
-@register("calibrated_score")
+    """Fit on the whole feature table; the coefficients."""
+    lm, _ = mdl.fit(features_df(spark, sf_dir), with_thresholds=False, tol=1e-13)
+    return rounded(mdl.top_weights(spark, lm).select("feature", "weight"), 3)
+
+
+@register("calibrated_score", "WITH " + O.FEATURE_ROWS_CTE + f""",
+lg AS (SELECT award_id, supplier_id, {logit_sql(FIXED_MODEL)} AS x1, {PROXY_SQL} AS label FROM features_x),
+design AS MATERIALIZED (SELECT x1, CASE WHEN label = 1 THEN (pos + 1.0) / (pos + 2.0) ELSE 1.0 / (n - pos + 2.0) END AS y
+           FROM lg, (SELECT SUM(label) AS pos, COUNT(*) AS n FROM lg)),
+""" + O.newton_sql("design", 2, 25) + f"""
+SELECT award_id, supplier_id, ROUND(1.0 / (1.0 + exp(-(w1 * x1 + w0))), 6) AS risk_score,
+       {O.band_sql("(1.0 / (1.0 + exp(-(w1 * x1 + w0))))", 0.2, 0.5)} AS risk_band FROM lg, fit""")
 def q_calibrated_score(spark, sf_dir):
-    f = features_df(spark, sf_dir).cache()
-    lm, _ = mdl.fit(f)
-    cal = mdl.calibrate(f, lm)
-    return scoring.linear_score(f, cal, top_k=3).select(
-        "award_id", "supplier_id", "risk_score", "risk_band", "top_factors")
+    """The fixed model's scores after Platt scaling on the proxy labels."""
+    f = features_df(spark, sf_dir)
+    return rounded(scoring.linear_score(f, mdl.calibrate(f, FIXED_MODEL), explain=False).select(
+        "award_id", "supplier_id", "risk_score", "risk_band"))
 
 
 # --------------------------------------------------------------- sanctions + graph
@@ -418,14 +430,19 @@ def q_ego_edges(spark, sf_dir):
     return rounded(gr.ego_edges(e, EGO_NODE, 2))
 
 
-@register("betweenness")
+BETWEENNESS_LEVELS = 8  # of the SQL; the test graphs are at most five wide
+
+
+@register("betweenness", GRAPH_CTE + ",\n" + O.betweenness_sql(BETWEENNESS_LEVELS) + """,
+gn AS (SELECT CAST(COUNT(DISTINCT node) AS DOUBLE) AS n FROM gadj)
+SELECT s.id AS supplier_id, ROUND(COALESCE(b.delta, 0.0) / ((n - 1) * (n - 2)), 6) AS betweenness
+FROM gsup s LEFT JOIN gbet b ON s.id = b.node, gn""")
 def q_betweenness(spark, sf_dir):
-    """Exact normalised betweenness of every supplier (rows-only check;
-    path/star/known-value cases are unit tests)."""
+    """Exact normalised betweenness of every supplier."""
     v, e = graph_parts(spark, sf_dir, materialize=True)
     bt = gr.betweenness(v, e)
     sup = v.filter(F.col("bipartite") == "supplier").select(F.col("id").alias("node"), "supplier_id")
-    return sup.join(bt, "node", "left").select("supplier_id", "betweenness")
+    return rounded(sup.join(bt, "node", "left").select("supplier_id", "betweenness"))
 
 
 # --------------------------------------------------------------- OCDS ingestion
