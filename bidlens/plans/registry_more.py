@@ -117,18 +117,26 @@ def q_score_batch_graph(spark, sf_dir):
     return rounded(out.select("input_row_id", "supplier_id", "risk_score", "error", "degree", "risk_band_graph"))
 
 
-@register("factor_preview", "WITH " + O.FEATURE_ROWS_CTE + "," + R.REQUESTS_CTE + "," + R.FACTOR_ROWS_CTE + """,
-p AS (SELECT input_row_id, string_agg(name || '=' || CAST(CASE WHEN ROUND(value, 2) = 0 THEN 0.0 ELSE ROUND(value, 2) END AS VARCHAR)
-             || printf(' (%+.1f)', CASE WHEN ROUND(contribution, 1) = 0 THEN 0.0 ELSE ROUND(contribution, 1) END), '; ' ORDER BY rk) AS preview FROM fr WHERE rk <= 2 GROUP BY 1)
+def _short_sql(x: str, scale: float) -> str:
+    """Fewer digits by floor: the engines round decimal ties differently."""
+    return f"(floor({x} * {scale} + 0.500001) / {scale} + 0.0)"
+
+
+@register("factor_preview", "WITH " + O.FEATURE_ROWS_CTE + "," + R.REQUESTS_CTE + "," + R.FACTOR_ROWS_CTE + f""",
+p AS (SELECT input_row_id, string_agg(name || '=' || CAST({_short_sql('value', 100.0)} AS VARCHAR)
+             || printf(' (%+.3f)', {_short_sql('contribution', 10.0)}), '; ' ORDER BY rk) AS preview
+      FROM fr WHERE rk <= 2 GROUP BY 1)
 SELECT b.input_row_id, COALESCE(p.preview, '') AS preview FROM breq_x b LEFT JOIN p ON b.input_row_id = p.input_row_id""")
 def q_factor_preview(spark, sf_dir):
     out = scoring.score_batch(R.requests_df(spark, sf_dir), R.features_df(spark, sf_dir), model=FIXED_MODEL, top_k=3,
                               dedupe_features=False)
-    short = F.transform("top_factors", lambda f: F.struct(
-        f["name"].alias("name"), F.round(f["value"], 2).alias("value"), F.round(f["contribution"], 1).alias("contribution")))
-    # one digit is enough for the check: three would print binary noise differently
-    text = F.regexp_replace(rep.factor_preview(short, 2), r"(\([+-]\d+\.\d)00\)", r"$1)")
-    return out.select("input_row_id", text.alias("preview"))
+
+    def short(x, scale):
+        return F.floor(x * scale + 0.500001).cast("double") / F.lit(scale)
+
+    factors = F.transform("top_factors", lambda f: F.struct(
+        f["name"].alias("name"), short(f["value"], 100.0).alias("value"), short(f["contribution"], 10.0).alias("contribution")))
+    return out.select("input_row_id", rep.factor_preview(factors, 2).alias("preview"))
 
 
 @register("distinct_bands", "WITH " + O.FEATURE_ROWS_CTE + """
