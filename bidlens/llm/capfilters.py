@@ -81,16 +81,19 @@ def link_bucket(unit: np.ndarray, passed: list[np.ndarray], here: int, home: np.
                 copies: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links and forest roots in one cell: pairs (home, other) with the cosine
     reached that share no filter before ``here``."""
-    early = [p[p < here] for p in passed]
-    names, col = np.unique(np.concatenate(early), return_inverse=True)
-    member = np.zeros((len(unit), max(1, len(names))), np.float32)
-    member[np.repeat(np.arange(len(unit)), [len(e) for e in early]), col] = 1
-    links, forest = np.zeros(len(unit), np.int64), Forest(len(unit))
+    links, forest, member = np.zeros(len(unit), np.int64), Forest(len(unit)), None
     same = len(home) and len(other) and home[0] == other[0]  # a chunk with itself: each pair once
     for i in range(0, len(home), 512):
         a = home[i:i + 512]
-        hit = (unit[a] @ unit[other].T >= min_cosine) & (member[a] @ member[other].T == 0)
-        x, y = np.nonzero(hit)
+        hit = unit[a] @ unit[other].T >= min_cosine
+        if hit.sum() <= same * len(a):
+            continue  # nothing but each vector with itself
+        if member is None:
+            early = [p[p < here] for p in passed]
+            names, col = np.unique(np.concatenate(early), return_inverse=True)
+            member = np.zeros((len(unit), max(1, len(names))), np.float32)
+            member[np.repeat(np.arange(len(unit)), [len(e) for e in early]), col] = 1
+        x, y = np.nonzero(hit & (member[a] @ member[other].T == 0))
         p, q = a[x], other[y]
         if same:
             p, q = p[p < q], q[p < q]
@@ -102,7 +105,7 @@ def link_bucket(unit: np.ndarray, passed: list[np.ndarray], here: int, home: np.
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
                  label_col: str = "label", min_cosine: float = 0.93, filters: float = 40.0,
-                 bucket_rows: int = 24, cell_rows: int = 2048) -> DataFrame:
+                 bucket_rows: int = 24, cell_rows: int = 2048, lot_filters: int = 32) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     v = F.col(vec_col)
     good = (F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
@@ -125,17 +128,20 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
         for pdf in frames:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at:at + 512]
-                out = []
                 for dim, same in some.groupby(some["vec"].map(len)):
-                    code = codes.setdefault(dim, ProductCode(dim, k, filters))
+                    if dim not in codes:
+                        codes[dim] = ProductCode(dim, k, filters)
                     x = np.stack(same["vec"].to_list()).astype(kind)
-                    for g, p, c, v_, passed in zip(same["gid"], same["part"], same["copies"], x, code.decode(unit_rows(x))):
-                        seen, vec = passed.astype("<i4").tobytes(), v_.tobytes()
-                        out.extend((p, f, g, c, vec, seen) for f in passed.tolist())
-                yield pd.DataFrame(out, columns=["part", "filter", "gid", "copies", "vec", "passed"])
+                    found = codes[dim].decode(unit_rows(x))
+                    times = [len(f) for f in found]
+                    rows_ = {"vec": np.array([v_.tobytes() for v_ in x], object),
+                             "passed": np.array([f.astype("<i4").tobytes() for f in found], object),
+                             **{c: same[c].to_numpy() for c in ("part", "gid", "copies")}}
+                    yield pd.DataFrame({"filter": np.concatenate(found).astype(np.int32),
+                                        **{c: np.repeat(a, times) for c, a in rows_.items()}})
 
     passed = distinct.select("gid", "part", "copies", "vec").mapInPandas(
-        decode, "part int, filter int, gid long, copies long, vec binary, passed binary")
+        decode, "filter int, vec binary, passed binary, part int, gid long, copies long")
     over = cut_lineage(passed.groupBy("part", "filter").count().where(F.col("count") > cell_rows)
                        .select(F.col("part").alias("p"), F.col("filter").alias("f"),
                                F.ceil(F.col("count") / (cell_rows // 2)).cast("int").alias("cuts")))
@@ -145,22 +151,31 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     cells = F.when(F.col("cuts").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(
             F.least(o, own).alias("i"), F.greatest(o, own).alias("j"))))
-    dealt = placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("cell", F.explode(cells)).select(
-        "part", "filter", "cell.i", "cell.j", "own", "gid", "copies", "vec", "passed")
+    # small buckets go through one task's hands a lot at a time, a cell of a large one alone
+    lots = max(1, k * k // lot_filters)
+    lot = F.when(F.col("cuts").isNull(), F.pmod("filter", F.lit(lots))).otherwise(-1 - F.col("filter"))
+    dealt = (placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("lot", lot)
+             .withColumn("cell", F.explode(cells))
+             .select("part", "lot", "cell.i", "cell.j", "filter", "own", "gid", "copies", "vec", "passed"))
 
     def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, here, i, j = key
-        pdf = pdf.sort_values("gid", ignore_index=True)
-        unit = unit_rows(np.stack([np.frombuffer(x, kind) for x in pdf["vec"]]))
-        seen = [np.frombuffer(p, "<i4") for p in pdf["passed"]]
-        own_ = pdf["own"].to_numpy()
-        home, other = np.flatnonzero(own_ == i), np.flatnonzero(own_ == j)
-        links, up = link_bucket(unit, seen, here, home, other, pdf["copies"].to_numpy(), min_cosine)
+        _, _, i, j = key
+        pdf = pdf.sort_values(["filter", "gid"], ignore_index=True)
+        here, own_, g, copies = (pdf[c].to_numpy() for c in ("filter", "own", "gid", "copies"))
+        links, roots = np.zeros(len(pdf), np.int64), g.copy()
+        cuts = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1], [True]]))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            if e - s < 2:
+                continue
+            unit = unit_rows(np.stack([np.frombuffer(x, kind) for x in pdf["vec"].iloc[s:e]]))
+            seen = [np.frombuffer(p, "<i4") for p in pdf["passed"].iloc[s:e]]
+            home, other = np.flatnonzero(own_[s:e] == i), np.flatnonzero(own_[s:e] == j)
+            links[s:e], up = link_bucket(unit, seen, here[s], home, other, copies[s:e], min_cosine)
+            roots[s:e] = g[s:e][up]
         some = links > 0
-        g = pdf["gid"].to_numpy()
-        return pd.DataFrame({"gid": g[some], "links": links[some], "root": g[up[some]]})
+        return pd.DataFrame({"gid": g[some], "links": links[some], "root": roots[some]})
 
-    found = cut_lineage(dealt.groupBy("part", "filter", "i", "j").applyInPandas(link, "gid long, links long, root long"))
+    found = cut_lineage(dealt.groupBy("part", "lot", "i", "j").applyInPandas(link, "gid long, links long, root long"))
     roots = components(found.select("gid", "root"), "gid", "root")
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
     named = (distinct.select("gid", "copies", "first")
