@@ -18,7 +18,9 @@ cut into a grid of cells that together still compare every pair.
 
 The number of filters grows with the number of distinct vectors, so that
 buckets keep their size; ``filters`` is the expected number that a vector
-passes and sets the recall (see the README for the measured recall).
+passes.  As a cap may be out of a vector's way altogether, one that exceeds
+fewer than ``least`` directions takes its ``least`` nearest: similar vectors
+share many of those too.  Both set the recall (measured in the README).
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, or whose label is null, link with nothing and are their own
@@ -44,9 +46,9 @@ from bidlens.llm.simhash import Forest
 class ProductCode:
     """k * k filter directions in ``dim`` dimensions."""
 
-    def __init__(self, dim: int, k: int, filters: float, seed: int = 7):
+    def __init__(self, dim: int, k: int, filters: float, least: int, seed: int = 7):
         rng = np.random.default_rng([seed, dim, k])
-        self.k, self.half = k, (dim + 1) // 2
+        self.k, self.half, self.least = k, (dim + 1) // 2, min(least, k * k)
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.books = []
         for width in (self.half, dim - self.half):
@@ -56,14 +58,18 @@ class ProductCode:
         self.threshold = NormalDist().inv_cdf(1 - tail) / np.sqrt(dim)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        """Sorted filter numbers that each unit vector exceeds."""
+        """Sorted filter numbers that each unit vector exceeds; at least its
+        ``least`` nearest ones."""
         x = unit @ self.turn
         first = x[:, :self.half] @ self.books[0].T
         second = x[:, self.half:] @ self.books[1][:, :x.shape[1] - self.half].T
         order = np.argsort(-second, axis=1)
+        top = min(self.least, self.k)  # the least-th best sum lies among the best of both lists
         out = []
         for a, b, o in zip(first, second, order):
-            n = np.searchsorted(-b[o], a - self.threshold, side="right")
+            sums = np.add.outer(np.sort(a)[::-1][:top], b[o[:top]]).ravel()
+            least = np.partition(sums, len(sums) - self.least)[len(sums) - self.least]
+            n = np.searchsorted(-b[o], a - min(self.threshold, least - 1e-12), side="right")
             i = np.flatnonzero(n)
             out.append(np.sort(np.concatenate([i_ * self.k + o[:c] for i_, c in zip(i, n[i])])
                                if len(i) else np.zeros(0, np.int64)))
@@ -77,10 +83,11 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link_bucket(unit: np.ndarray, passed: list[np.ndarray], here: int, home: np.ndarray, other: np.ndarray,
+def link_bucket(unit: np.ndarray, code: ProductCode, here: int, home: np.ndarray, other: np.ndarray,
                 copies: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Links and forest roots in one cell: pairs (home, other) with the cosine
-    reached that share no filter before ``here``."""
+    reached that share no filter before ``here``.  The filters of the vectors
+    in such pairs are decoded again, which is cheaper than sending them."""
     links, forest, member = np.zeros(len(unit), np.int64), Forest(len(unit)), None
     same = len(home) and len(other) and home[0] == other[0]  # a chunk with itself: each pair once
     for i in range(0, len(home), 512):
@@ -89,7 +96,7 @@ def link_bucket(unit: np.ndarray, passed: list[np.ndarray], here: int, home: np.
         if hit.sum() <= same * len(a):
             continue  # nothing but each vector with itself
         if member is None:
-            early = [p[p < here] for p in passed]
+            early = [p[p < here] for p in code.decode(unit)]
             names, col = np.unique(np.concatenate(early), return_inverse=True)
             member = np.zeros((len(unit), max(1, len(names))), np.float32)
             member[np.repeat(np.arange(len(unit)), [len(e) for e in early]), col] = 1
@@ -104,8 +111,9 @@ def link_bucket(unit: np.ndarray, passed: list[np.ndarray], here: int, home: np.
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding",
-                 label_col: str = "label", min_cosine: float = 0.93, filters: float = 40.0,
-                 bucket_rows: int = 24, cell_rows: int = 2048, lot_filters: int = 32) -> DataFrame:
+                 label_col: str = "label", min_cosine: float = 0.93, filters: float = 24.0, least: int = 40,
+                 bucket_rows: int = 24, cell_rows: int = 2048, lot_filters: int = 32,
+                 broadcast_rows: int = 100_000) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
     v = F.col(vec_col)
     good = (F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
@@ -130,21 +138,22 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
                 some = pdf.iloc[at:at + 512]
                 for dim, same in some.groupby(some["vec"].map(len)):
                     if dim not in codes:
-                        codes[dim] = ProductCode(dim, k, filters)
+                        codes[dim] = ProductCode(dim, k, filters, least)
                     x = np.stack(same["vec"].to_list()).astype(kind)
                     found = codes[dim].decode(unit_rows(x))
                     times = [len(f) for f in found]
                     rows_ = {"vec": np.array([v_.tobytes() for v_ in x], object),
-                             "passed": np.array([f.astype("<i4").tobytes() for f in found], object),
                              **{c: same[c].to_numpy() for c in ("part", "gid", "copies")}}
                     yield pd.DataFrame({"filter": np.concatenate(found).astype(np.int32),
                                         **{c: np.repeat(a, times) for c, a in rows_.items()}})
 
     passed = distinct.select("gid", "part", "copies", "vec").mapInPandas(
-        decode, "filter int, vec binary, passed binary, part int, gid long, copies long")
+        decode, "filter int, vec binary, part int, gid long, copies long")
     over = cut_lineage(passed.groupBy("part", "filter").count().where(F.col("count") > cell_rows)
                        .select(F.col("part").alias("p"), F.col("filter").alias("f"),
                                F.ceil(F.col("count") / (cell_rows // 2)).cast("int").alias("cuts")))
+    if over.count() <= broadcast_rows:  # 12 bytes a row; more of them meet the vectors in a shuffle
+        over = F.broadcast(over)
     placed = passed.join(over, (passed.part == over.p) & (passed["filter"] == over.f), "left")
     own = F.pmod(F.xxhash64(F.lit("cell"), "gid"), F.col("cuts")).cast("int")
     # cell (i, j) with i <= j: the home rows of chunk i meet the rows of chunk j
@@ -156,10 +165,15 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     lot = F.when(F.col("cuts").isNull(), F.pmod("filter", F.lit(lots))).otherwise(-1 - F.col("filter"))
     dealt = (placed.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("lot", lot)
              .withColumn("cell", F.explode(cells))
-             .select("part", "lot", "cell.i", "cell.j", "filter", "own", "gid", "copies", "vec", "passed"))
+             .select("part", "lot", "cell.i", "cell.j", "filter", "own", "gid", "copies", "vec"))
+
+    codes: dict[int, ProductCode] = {}  # filled in the workers
 
     def link(key, pdf: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
+        dim = len(pdf["vec"].iloc[0]) // int(kind[2])
+        if dim not in codes:
+            codes[dim] = ProductCode(dim, k, filters, least)
         pdf = pdf.sort_values(["filter", "gid"], ignore_index=True)
         here, own_, g, copies = (pdf[c].to_numpy() for c in ("filter", "own", "gid", "copies"))
         links, roots = np.zeros(len(pdf), np.int64), g.copy()
@@ -168,9 +182,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
             if e - s < 2:
                 continue
             unit = unit_rows(np.stack([np.frombuffer(x, kind) for x in pdf["vec"].iloc[s:e]]))
-            seen = [np.frombuffer(p, "<i4") for p in pdf["passed"].iloc[s:e]]
             home, other = np.flatnonzero(own_[s:e] == i), np.flatnonzero(own_[s:e] == j)
-            links[s:e], up = link_bucket(unit, seen, here[s], home, other, copies[s:e], min_cosine)
+            links[s:e], up = link_bucket(unit, codes[dim], here[s], home, other, copies[s:e], min_cosine)
             roots[s:e] = g[s:e][up]
         some = links > 0
         return pd.DataFrame({"gid": g[some], "links": links[some], "root": roots[some]})
