@@ -12,9 +12,12 @@ import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidlens.functions.common import missing_path
+
 RUN_LOG_DDL = (
     "request_id string, endpoint string, timestamp_utc string, duration_ms long, client_host string, "
     "payload_preview string, num_items long, features_path string, graph_metrics_path string, "
@@ -97,20 +100,21 @@ def dataset_status(spark: SparkSession, paths: Mapping[str, str | None]) -> Data
 
     The counts run on the v2 parquet reader with aggregate push-down, so
     ``count()`` is answered from the file footers and no data pages are
-    read; the session's reader setting is restored afterwards."""
-    key = "spark.sql.sources.useV1SourceList"
-    old = spark.conf.get(key)
-    spark.conf.set(key, ",".join(x for x in old.split(",") if x.strip().lower() != "parquet"))
+    read.  The reader setting is made in a session of its own, so that other
+    jobs of the caller's session don't see it.  A missing path is
+    unavailable; other storage errors are raised."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", ",".join(
+        x for x in spark.conf.get("spark.sql.sources.useV1SourceList").split(",") if x.strip().lower() != "parquet"))
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     rows = []
-    try:
-        for name, p in paths.items():
-            n = None
-            if p:
-                try:
-                    n = spark.read.parquet(p).count()
-                except Exception:  # noqa: BLE001 - missing/unreadable → not available
-                    n = None
-            rows.append((name, p, n, n is not None))
-    finally:
-        spark.conf.set(key, old)
+    for name, p in paths.items():
+        n = None
+        if p:
+            try:
+                n = own.read.parquet(p).count()
+            except AnalysisException as e:
+                if not missing_path(e):
+                    raise
+        rows.append((name, p, n, n is not None))
     return spark.createDataFrame(rows, "dataset string, path string, rows long, available boolean")

@@ -14,6 +14,7 @@ from bidlens.operators import features as feat
 from bidlens.operators import scoring
 from bidlens.plans import adapters as ad
 from bidlens.plans import oracle as O
+from bidlens.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,9 +36,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
                       for f in df.schema.fields])
 
 
-def features_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.build_features(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir),
-                               order_key=ad.AWARD_ORDER)
+def features_df(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    """The feature table; ``stored`` for queries that read it several times."""
+    f = feat.build_features(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir),
+                            order_key=ad.AWARD_ORDER)
+    return cut_lineage(f) if stored else f
 
 
 # --------------------------------------------------------------- features
@@ -176,7 +179,7 @@ s AS (SELECT {HEUR_SQL} AS risk_score FROM features_x)
 SELECT ROUND(quantile_cont(risk_score, 0.33), 6) AS low_max,
        ROUND(quantile_cont(risk_score, 0.66), 6) AS medium_max FROM s""")
 def q_band_thresholds(spark, sf_dir):
-    s = scoring.heuristic_score(features_df(spark, sf_dir))
+    s = scoring.heuristic_score(features_df(spark, sf_dir, stored=True))
     th = mdl.band_thresholds(s, "risk_score")
     return rounded(spark.createDataFrame([(th["low_max"], th["medium_max"])],
                                          "low_max double, medium_max double"))
@@ -190,7 +193,7 @@ SELECT award_id, risk_score,
        AS risk_band
 FROM s, q""")
 def q_risk_band(spark, sf_dir):
-    s = scoring.heuristic_score(features_df(spark, sf_dir))
+    s = scoring.heuristic_score(features_df(spark, sf_dir, stored=True))
     th = mdl.band_thresholds(s, "risk_score")
     return scoring.with_band(s, th).select("award_id", "risk_score", "risk_band")
 
@@ -250,7 +253,7 @@ SELECT ROUND(auc_roc, 6) AS auc_roc, ROUND(avg_precision, 6) AS avg_precision,
 
 @register("eval_metrics", EVAL_SQL)
 def q_eval_metrics(spark, sf_dir):
-    s = mdl.proxy_label(fixed_scores(spark, sf_dir, explain=False))
+    s = mdl.proxy_label(scoring.linear_score(features_df(spark, sf_dir, stored=True), FIXED_MODEL, explain=False))
     s = s.withColumn("p", FIXED_MODEL.probability())
     return rounded(ev.metrics(s, "label", "p", order="award_id"))
 
@@ -275,7 +278,7 @@ SELECT award_id, supplier_id, ROUND(1.0 / (1.0 + exp(-(w1 * x1 + w0))), 6) AS ri
        {O.band_sql("(1.0 / (1.0 + exp(-(w1 * x1 + w0))))", 0.2, 0.5)} AS risk_band FROM lg, fit""")
 def q_calibrated_score(spark, sf_dir):
     """The fixed model's scores after Platt scaling on the proxy labels."""
-    f = features_df(spark, sf_dir)
+    f = features_df(spark, sf_dir, stored=True)
     return rounded(scoring.linear_score(f, mdl.calibrate(f, FIXED_MODEL), explain=False).select(
         "award_id", "supplier_id", "risk_score", "risk_band"))
 

@@ -151,7 +151,8 @@ def q_distinct_bands(spark, sf_dir):
           {R.linear_sql(FIXED_MODEL)} AS p FROM features_x)"""))
 def q_eval_degenerate(spark, sf_dir):
     """All labels are 1: one row, the first award, is flipped."""
-    s = R.fixed_scores(spark, sf_dir, explain=False).withColumn("label", F.lit(1))
+    s = scoring.linear_score(R.features_df(spark, sf_dir, stored=True), FIXED_MODEL, explain=False).withColumn(
+        "label", F.lit(1))
     return rounded(ev.metrics(s.withColumn("p", FIXED_MODEL.probability()), "label", "p", order="award_id"))
 
 
