@@ -38,22 +38,21 @@ def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     return id_crc(id_col) % F.lit(modulus) == F.lit(remainder)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (node, root), root
     being the smallest node reachable, one row per node that has an edge.
 
     Each round every node hooks to its smallest neighbour (a partial ``min``
     aggregate, so a hub reaches the shuffle as one row per task), the
     resulting forest is flattened by pointer jumping, and the edges are
-    rewritten between roots.  Components halve at least, so the rounds are
-    logarithmic.  Every round is a reliable checkpoint; nothing is collected
-    but row counts."""
+    rewritten between roots.  A root that has absorbed no neighbour has a
+    smaller one in the next round, so the roots of unfinished components halve
+    every two rounds at least.  Every round is a reliable checkpoint; nothing
+    is collected but whether rows are left."""
     e = cut_lineage(edges.where(F.col(a) != F.col(b))
                     .select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     mapping = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         both = e.select(F.col("a").alias("node"), F.col("b").alias("nbr")).unionAll(
             e.select(F.col("b").alias("node"), F.col("a").alias("nbr")))
         hook = both.groupBy("node").agg(F.min("nbr").alias("m")).select(

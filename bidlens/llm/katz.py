@@ -27,7 +27,9 @@ How it runs, with tokens packed so that no row is a token:
    document.
 5. A document's sums over the buckets add up to its score.
 
-Words are told apart by 64-bit hashes.  Defined cases: a null text is empty
+Words are told apart by 64-bit hashes.  A document isn't split over chunks:
+a task holds the token numbers (8 bytes each, a few copies) of its longest
+document or of a chunk, whichever is longer.  Defined cases: a null text is empty
 and holds the end token alone; without training rows every word is unknown
 and P(unknown) = 1; null ids and repeated rows are scored like any other; an
 empty table gives an empty result.

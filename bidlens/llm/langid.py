@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.llm.common import id_crc
@@ -188,14 +188,13 @@ class Coder:
         return [self.langs[i] for i in best], 1.0 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
 
 
-def prediction(model: dict, text: Column) -> Column:
+def prediction(spark: SparkSession, model: dict, text: Column) -> Column:
     """struct<lang, score> of a text column."""
     letters = F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False))
     und = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
     if not model:
         return und
-    from pyspark.sql import SparkSession
-    frozen = SparkSession.getActiveSession().sparkContext.broadcast(model)
+    frozen = spark.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang string, score double")
     def ppm(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -213,7 +212,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     held-out fold (crc32 of the id modulo ``folds`` equal to ``fold``)."""
     model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, docs_per_lang=docs_per_lang,
                   labelled=id_crc(F.col("id")) % folds != fold)
-    return (docs.withColumn("__p", prediction(model, F.col(text_col)))
+    return (docs.withColumn("__p", prediction(docs.sparkSession, model, F.col(text_col)))
             .withColumn("lang_pred", F.col("__p.lang")).withColumn("score", F.col("__p.score")).drop("__p"))
 
 
@@ -222,6 +221,6 @@ def keep_identified(docs: DataFrame, *, text_col: str = "text", min_score: float
     least ``min_score``), with the input's columns."""
     cols = list(docs.columns)
     model = train(docs, text_col=text_col, labelled=id_crc(F.col("id")) % 5 != 0, **kw)
-    p = docs.withColumn("__p", prediction(model, F.col(text_col)))
+    p = docs.withColumn("__p", prediction(docs.sparkSession, model, F.col(text_col)))
     return (p.where((F.col("__p.lang") != "und") & (F.col("__p.score") >= min_score))
             .select(*[F.col(f"`{c}`") for c in cols]))
