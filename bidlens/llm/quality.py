@@ -3,15 +3,19 @@ a two-layer network with calibrated probabilities.
 
 Words are hashed to ``slots`` ids.  Every id has a fixed sparse ternary index
 vector; the vector of a word is the sum of the index vectors of its
-neighbours (``window`` words to both sides) in the sample, scaled to length
-1, or its own index vector if the sample doesn't have it.  A document is the
+neighbours (``window`` words to both sides) in all documents, scaled to
+length 1, or its own index vector if it never has a neighbour.  A document is the
 mean of its words' vectors, plus a few shares that a bag of words loses
 (repeated neighbours, character classes, length).  A network with one hidden
 layer is trained on the labelled sample in numpy; a fifth of the sample, not
 trained on, sets the temperature that divides the logits.
 
-The labelled sample is bounded: ``sample_docs`` documents (expected) of at
-most ``sample_bytes`` bytes, drawn by a hash of the id.  Scoring is one pass
+The word vectors are one pass over all documents: a task adds up one
+slots x dim array of integers and sends the slots it has seen, so the sums
+don't depend on how the documents are dealt.  What is bounded is the table of
+vectors (slots x dim) and the labelled sample that the network learns from:
+``sample_docs`` documents (expected) of any length, drawn by a hash of the
+id, of which only the pooled features reach the driver.  Scoring is one pass
 over whole texts without a shuffle.
 
 Defined cases: a null text is scored as an empty one, from the length
@@ -22,6 +26,7 @@ are averaged; rows are scored one by one, so repeats agree.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -42,12 +47,17 @@ _CLASS[128:] = 6
 N_SHARES = 11
 
 
-def index_vectors(slots: int, dim: int, seed: int) -> np.ndarray:
-    """A fixed sparse ternary vector per id: two +1 and two -1."""
+def index_places(slots: int, dim: int, seed: int) -> np.ndarray:
+    """Where the fixed sparse ternary vector of each id has its two +1 (the
+    first two columns) and two -1."""
     rng = np.random.default_rng(seed)
-    at = np.argsort(rng.random((slots, dim), dtype=np.float32), axis=1)[:, :4]
+    return np.argsort(rng.random((slots, dim), dtype=np.float32), axis=1)[:, :4]
+
+
+def index_vectors(slots: int, dim: int, seed: int) -> np.ndarray:
+    """These vectors, scaled to length 1."""
     out = np.zeros((slots, dim), np.float32)
-    np.put_along_axis(out, at, np.array([[0.5, 0.5, -0.5, -0.5]], np.float32), axis=1)
+    np.put_along_axis(out, index_places(slots, dim, seed), np.array([[0.5, 0.5, -0.5, -0.5]], np.float32), axis=1)
     return out
 
 
@@ -133,24 +143,83 @@ def _log_loss(p: np.ndarray, y: np.ndarray) -> float:
     return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def context_vectors(texts, slots: int, dim: int, window: int, seed: int) -> np.ndarray:
-    index = index_vectors(slots, dim, seed)
-    total = np.zeros_like(index)
-    for text in texts:
-        ids = word_ids([w for words in word_blocks(text) for w in words], slots)
-        near = np.zeros((len(ids), dim), np.float32)
-        for o in range(1, window + 1):
-            near[o:] += index[ids[:-o]]
-            near[:-o] += index[ids[o:]]
-        np.add.at(total, ids, near)
+class Contexts:
+    """Sums of the neighbours' index vectors per id, times two (integers)."""
+
+    def __init__(self, slots: int, dim: int, window: int, seed: int):
+        self.slots, self.dim, self.window = slots, dim, window
+        # id ``slots`` stands between documents; its vector is +1 +1 -1 -1 in one place
+        self.places = np.vstack([index_places(slots, dim, seed), np.zeros((1, 4), np.int64)])
+        self.total = np.zeros((slots + 1) * dim, np.int64)
+        self.gap = np.full(window, slots, np.int64)
+        self.parts, self.size = [self.gap], 0
+
+    def add(self, text: str | None) -> None:
+        for words in word_blocks(text):
+            self.parts.append(word_ids(words, self.slots))
+            self.size += len(words)
+            if self.size >= 1 << 19:
+                self._flush()
+        self.parts.append(self.gap)
+
+    def _flush(self) -> None:
+        """Pairs whose later word is new; the last words stay for the next."""
+        ids = np.concatenate(self.parts)
+        w = self.window
+        if len(ids) > w:
+            pairs = [(ids[w:], ids[w - o:-o]) for o in range(1, w + 1)]
+            word = np.concatenate([x for late, early in pairs for x in (late, early)]) * self.dim
+            near = np.concatenate([x for late, early in pairs for x in (early, late)])
+            for k, sign in enumerate((1, 1, -1, -1)):
+                self.total += sign * np.bincount(word + self.places[near, k], minlength=len(self.total))
+        self.parts, self.size = [ids[len(ids) - w:]], 0
+
+    def sums(self) -> np.ndarray:
+        self._flush()
+        return self.total.reshape(-1, self.dim)[:self.slots]
+
+
+def _smallest(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(initial=0)
+    return x.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if top <= np.iinfo(k).max))
+
+
+def context_vectors(texts: DataFrame, slots: int, dim: int, window: int, seed: int, piece: int = 32) -> np.ndarray:
+    """The words' vectors from all rows of the one column of ``texts``."""
+
+    def per_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        contexts = Contexts(slots, dim, window, seed)
+        for pdf in frames:
+            for text in pdf.iloc[:, 0]:
+                contexts.add(text)
+        sums = contexts.sums()
+        seen = np.flatnonzero(sums.any(axis=1))
+        for own in np.split(seen, np.flatnonzero(np.diff(seen // piece)) + 1):
+            if len(own):
+                yield pd.DataFrame({"piece": [own[0] // piece], "sums": [pickle.dumps((own, _smallest(sums[own])))]})
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for n, blob in zip(pdf["piece"].tolist(), pdf["sums"]):
+                own, sums = pickle.loads(blob)
+                by.setdefault(n, np.zeros((piece, dim), np.int64))[own - n * piece] += sums
+        yield pd.DataFrame({"piece": list(by), "sums": [x.tobytes() for x in by.values()]})
+
+    total = np.zeros((-(-slots // piece), piece, dim), np.int64)
+    rows = (texts.mapInPandas(per_task, "piece int, sums binary").repartition("piece")
+            .mapInPandas(added, "piece int, sums binary"))
+    for r in rows.collect():  # slots x dim numbers
+        total[r.piece] += np.frombuffer(r.sums, np.int64).reshape(piece, dim)
+    total = total.reshape(-1, dim)[:slots].astype(np.float64)
     norm = np.linalg.norm(total, axis=1, keepdims=True)
-    return np.where(norm > 0, total / np.maximum(norm, 1e-9), index).astype(np.float32)
+    return np.where(norm > 0, total / np.maximum(norm, 1e-9), index_vectors(slots, dim, seed)).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           label_id: str = "doc_id", label_col: str = "quality", labelled: Column | None = None,
-          sample_docs: int = 4000, sample_bytes: int = 1 << 16, slots: int = 1 << 16, dim: int = 48,
-          window: int = 2, seed: int = 11) -> tuple[Pool, Network]:
+          sample_docs: int = 4000, slots: int = 1 << 16, dim: int = 48, window: int = 2,
+          seed: int = 11) -> tuple[Pool, Network]:
     """``labelled`` is a condition on the column "id" of the label rows."""
     known = labels.select(F.col(label_id).alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
     if labelled is not None:
@@ -159,14 +228,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n = known.count()
     draw = F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 30))
     drawn = known.where(draw < F.lit(int(min(1.0, sample_docs / max(1, n)) * (1 << 30))))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = (docs.select(F.col(id_col).alias("id"), text.alias("text"))
-            .where(F.octet_length("text") <= sample_bytes)
-            .join(F.broadcast(drawn), "id")).collect()  # the bounded sample
-    rows.sort(key=lambda r: (r.id, r.text))
-    pool = Pool(context_vectors([r.text for r in rows], slots, dim, window, seed))
-    x = np.array([pool.features(r.text) for r in rows]).reshape(len(rows), dim + N_SHARES)
-    return pool, Network(x, np.array([float(r.y >= 0.5) for r in rows]))
+    vectors = context_vectors(docs.select(text_col), slots, dim, window, seed).astype(np.float16)
+    half = share(docs.sparkSession, vectors)
+
+    @F.pandas_udf("array<double>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        p = Pool(shared(half).astype(np.float32))
+        for s in batches:
+            yield pd.Series([p.features(t) for t in s], dtype=object)
+
+    rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .join(F.broadcast(drawn), "id").select("id", "y", features("text").alias("x"))).collect()  # bounded sample
+    rows.sort(key=lambda r: (r.id, r.x))
+    x = np.array([r.x for r in rows]).reshape(len(rows), dim + N_SHARES)
+    return Pool(vectors.astype(np.float32)), Network(x, np.array([float(r.y >= 0.5) for r in rows]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", folds: int = 5, fold: int = 0,

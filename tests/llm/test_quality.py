@@ -53,3 +53,26 @@ def test_blocks_agree(monkeypatch):
     monkeypatch.setattr(quality, "word_blocks", lambda t: common.word_blocks(t, 1 << 12))
     got = pool.features(text)
     assert np.allclose(got[:16], want[:16]) and np.allclose(got[16:25], want[16:25])
+
+
+def test_word_vectors_of_all_documents(spark):
+    # most words occur in unlabelled texts only, and across blocks of a long one
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.randint(0, 9), 300), "en", "a") for i in range(90)] + [(90, None, "en", "a")]
+    rows.append((91, " ".join(f"u{i % 1009}" for i in range(600_000)), "en", "a"))
+    pool, _ = quality.train(docs(spark, rows).repartition(3), labelled(spark, [(0, 1, 0), (1, 0, 0)]), slots=512, dim=16)
+    index, want = quality.index_vectors(512, 16, 11), np.zeros((512, 16))
+    for _, text, *_ in rows:
+        ids = np.array([zlib.crc32(w.encode()) % 512 for w in (text or "").split()], int)
+        for o in (1, 2):
+            np.add.at(want, ids[o:], index[ids[:-o]])
+            np.add.at(want, ids[:-o], index[ids[o:]])
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(pool.vectors, np.where(norm > 0, want / np.maximum(norm, 1e-9), index), atol=1e-3)
+
+
+def test_long_labelled_texts_count(spark):
+    rng = random.Random(22)
+    rows = [(i, words(rng, 20_000) if i % 2 else "BUY NOW!! " * 8_000, "en", "a") for i in range(60)]
+    got = quality.score_quality(docs(spark, rows), labelled(spark, [(i, i % 2, 0) for i in range(60)])).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got)
