@@ -18,14 +18,17 @@ How it runs, with tokens packed so that no row is a token:
 2. Unigram table: a bucket sums its words' training counts over all chunks
    and answers every chunk with number and count of each of its words;
    frequent words get small numbers, so the rest packs well.
-3. Bigram table: each chunk sends its distinct bigrams, with the documents
-   that hold them, to the bucket of the history.  A history with more than
-   its share of all tokens is dealt over several buckets by the next word.
+3. Bigram table: each chunk sends its distinct bigrams, with their training
+   counts, to the bucket of the history, so that a bigram is one entry per
+   chunk however often it occurs.  A history with more than its share of all
+   tokens is dealt over several buckets by the next word.  Where the history
+   is unknown nothing is sent, as P(w) is all its tokens need.
 4. The buckets are read twice.  First for the counts of counts and the sums
    of the histories that were dealt out (a bounded number); these make the
-   discounts.  Then every bucket evaluates its bigrams and returns a sum per
+   discounts.  Then every bucket answers each chunk with c(h, w) of its
+   bigrams and alpha of their histories.
+5. A chunk turns the answers into log P of its tokens and adds them up per
    document.
-5. A document's sums over the buckets add up to its score.
 
 Words are told apart by 64-bit hashes.  A document isn't split over chunks:
 a task holds the token numbers (8 bytes each, a few copies) of its longest
@@ -197,44 +200,72 @@ def _spread(h: np.ndarray, ch: np.ndarray, w: np.ndarray, buckets: int, hot: int
     return (_mix(h) % buckets + _mix(w) % ways) % buckets
 
 
-def _bigram_requests(key, chunks: pd.DataFrame, answers: pd.DataFrame, buckets: int, hot: int, total: int,
-                     kinds: int, width: int, starts: int) -> pd.DataFrame:
+class Tokens:
+    """The tokens of a chunk with word number ``w``, history ``h`` and their
+    training counts, and the distinct bigrams of known history by bucket:
+    ``one`` is a token of each, ``kind`` the bigram of each token in ``seen``."""
+
+    def __init__(self, row, answers: list, buckets: int, hot: int, width: int, starts: int):
+        got = [pickle.loads(a) for a in answers]
+        number = np.concatenate([unpack(n) for n, _ in got])
+        count = np.concatenate([unpack(c) for _, c in got])
+        self.lens, self.held, tokens = unpack(row["lens"]), np.frombuffer(row["held"], bool), unpack(row["tokens"])
+        self.first = np.cumsum(self.lens) - self.lens
+        self.w, self.c = number[tokens], count[tokens]
+        self.h = np.concatenate([[START], self.w[:-1]])
+        self.h[self.first] = START
+        self.ch = np.concatenate([[0], self.c[:-1]])
+        self.ch[self.first] = starts
+        self.seen = np.flatnonzero(self.ch > 0)
+        _, one, kind = np.unique(self.h[self.seen] * width + self.w[self.seen], return_index=True, return_inverse=True)
+        one = self.seen[one]
+        bucket = _spread(self.h[one], self.ch[one], self.w[one], buckets, hot)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.one, self.kind, self.bucket = one[order], place[kind], bucket[order]
+
+    def runs(self) -> np.ndarray:
+        """Where a history begins, among the distinct bigrams of a bucket."""
+        h, b = self.h[self.one], self.bucket
+        return np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (b[1:] != b[:-1])])) if len(h) else self.one
+
+    def log_probs(self, answers: list, one: Unigrams, d: np.ndarray) -> np.ndarray:
+        """log10 P(w | h) of every token; ``answers`` are the buckets', in order."""
+        p = one.p(self.c)
+        if len(self.one):
+            got = [pickle.loads(a) for a in answers]
+            times = np.diff(self.runs(), append=len(self.one))
+            c = np.concatenate([unpack(x) for x, _, _ in got])
+            alpha = np.ones(len(times))
+            unseen = np.add.reduceat(c == 0, self.runs(), dtype=np.int64) > 0
+            alpha[unseen] = np.concatenate([np.frombuffer(x) for _, x, _ in got])
+            alpha = np.repeat(alpha, times)
+            more = np.repeat(np.concatenate([unpack(x) for _, _, x in got]), times)
+            dc = np.where(c > CUT, 1.0, d[np.minimum(c, CUT)])
+            q = np.where(c > 0, dc * c / (self.ch[self.one] + more), alpha * p[self.one])
+            p[self.seen] = q[self.kind]
+        return np.log10(np.maximum(p, 1e-300))
+
+
+def _bigram_requests(key, chunks: pd.DataFrame, answers: pd.DataFrame, buckets: int, hot: int, width: int,
+                     starts: int) -> pd.DataFrame:
     if not len(chunks):
-        return pd.DataFrame([], columns=["bucket", "chunk", "kind", "blob"])
-    row, chunk = chunks.iloc[0], key[0]
-    got = [pickle.loads(a) for a in answers.sort_values("bucket")["answer"]]
-    number = np.concatenate([unpack(n) for n, _ in got])
-    count = np.concatenate([unpack(c) for _, c in got])
-    lens, held, tokens = unpack(row["lens"]), np.frombuffer(row["held"], bool), unpack(row["tokens"])
-    first = np.cumsum(lens) - lens
-    c = count[tokens]
-    base = np.add.reduceat(np.log10((c + 1) / (total + kinds + 1)), first)
-    known = np.add.reduceat((c > 0).astype(np.int64), first)
-    facts = pickle.dumps((row["ids"], held, lens, known, base))
-    w = number[tokens]
-    h = np.concatenate([[START], w[:-1]])
-    h[first] = START
-    ch = np.concatenate([[0], c[:-1]])
-    ch[first] = starts
-    doc = np.repeat(np.arange(len(lens)), lens)
-    bucket = _spread(h, ch, w, buckets, hot)
-    gram = h * width + w
-    order = np.lexsort((gram, bucket))
-    bucket, gram, doc, c, ch = bucket[order], gram[order], doc[order], c[order], ch[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    flags = np.packbits(held).tobytes()
-    rows = [(int(_mix(np.array([chunk]))[0] % buckets), chunk, 0, facts)]
-    for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if e == s:
-            continue
-        g = gram[s:e]
-        new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        hs, ws = g[new] // width, g[new] % width
-        run = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-        rows.append((b, chunk, 1, pickle.dumps((
-            pack(np.diff(hs[run], prepend=0)), pack(np.diff(run, append=len(hs))), pack(ch[s:e][new][run]),
-            pack(ws), pack(c[s:e][new]), pack(np.diff(new, append=len(g))), pack(doc[s:e]), len(lens), flags))))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "kind", "blob"])
+        return pd.DataFrame([], columns=["bucket", "chunk", "blob"])
+    t = Tokens(chunks.iloc[0], list(answers.sort_values("bucket")["answer"]), buckets, hot, width, starts)
+    learn = ~np.repeat(t.held, t.lens)[t.seen]
+    train = np.bincount(t.kind[learn], minlength=len(t.one))
+    hs, ws, ch, c = t.h[t.one], t.w[t.one], t.ch[t.one], t.c[t.one]
+    runs = t.runs()
+    cuts = np.searchsorted(t.bucket, np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        s, e = cuts[b], cuts[b + 1]
+        run = runs[slice(*np.searchsorted(runs, [s, e]))]
+        rows.append((b, key[0], pickle.dumps((
+            pack(np.diff(hs[run], prepend=0)), pack(np.diff(run, append=e)), pack(ch[run]),
+            pack(ws[s:e]), pack(c[s:e]), pack(train[s:e])))))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "blob"])
 
 
 class Bucket:
@@ -243,15 +274,13 @@ class Bucket:
     def __init__(self, rows: list, width: int):
         self.chunks, keys, train, hc, wc = [], [], [], [], []
         for r in rows:
-            dh, runs, ch, ws, c, times, doc, n, flags = pickle.loads(bytes(r["blob"]))
+            dh, runs, ch, ws, c, times = pickle.loads(bytes(r["blob"]))
             hs, runs = np.cumsum(unpack(dh)), unpack(runs)
-            times, doc = unpack(times), unpack(doc)
-            learn = ~np.unpackbits(np.frombuffer(flags, np.uint8), count=n).view(bool)
             keys.append(np.repeat(hs, runs) * width + unpack(ws))
             hc.append(np.repeat(unpack(ch), runs))
             wc.append(unpack(c))
-            train.append(np.add.reduceat(learn[doc].astype(np.int64), np.cumsum(times) - times))
-            self.chunks.append((r["chunk"], times, doc, n))
+            train.append(unpack(times))
+            self.chunks.append((r["chunk"], runs))
         keys = np.concatenate(keys)
         uniq, first, self.inverse = np.unique(keys, return_index=True, return_inverse=True)
         self.h, self.w = uniq // width, uniq % width
@@ -272,38 +301,37 @@ class Bucket:
         out[:, CUT] = np.bincount(self.run_of, np.where(self.c > 0, one.p(self.wc), 0), len(self.run))
         return out
 
-    def log_probs(self, one: Unigrams, d: np.ndarray, hot: dict[int, np.ndarray]) -> np.ndarray:
-        """log10 P(w | h) of every merged bigram."""
+    def backoff(self, one: Unigrams, d: np.ndarray, hot: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """alpha of every history, and what its size is above c(h)."""
         sums = self.history_sums(one)
         heads = self.h[self.run]
         for i in np.flatnonzero(np.isin(heads, np.array(list(hot), np.int64))).tolist():
             sums[i] = hot[int(heads[i])]
-        ch = self.ch[self.run].astype(float)
         spare = sums[:, :CUT] @ ((1 - d[1:]) * np.arange(1, CUT + 1))
-        size = np.where(spare > 0, ch, ch + 1)         # nothing to discount: one more count
+        more = (spare <= 0).astype(np.int64)           # nothing to discount: one more count
         spare = np.where(spare > 0, spare, 1.0)
-        alpha = np.where(ch > 0, spare / size / np.maximum(1 - sums[:, CUT], 1e-300), 1.0)
-        c, lower = self.c, one.p(self.wc)
-        dc = np.where(c > CUT, 1.0, d[np.minimum(c, CUT)])
-        p = np.where(c > 0, dc * c / size[self.run_of], alpha[self.run_of] * lower)
-        return np.log10(np.maximum(p, 1e-300))
+        return spare / (self.ch[self.run] + more) / np.maximum(1 - sums[:, CUT], 1e-300), more
 
-    def document_sums(self, logs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def answers(self, alpha: np.ndarray, more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Per chunk: c(h, w) of its bigrams, ``more`` of its histories, and
+        alpha of those with an unseen bigram in the chunk."""
         at = 0
-        for chunk, times, doc, n in self.chunks:
-            own = logs[self.inverse[at:at + len(times)]]
-            at += len(times)
-            yield chunk, np.bincount(doc, np.repeat(own, times), n)
+        for chunk, runs in self.chunks:
+            own = self.inverse[at:at + int(runs.sum())]
+            at += len(own)
+            first = np.cumsum(runs) - runs
+            c, of = self.c[own], self.run_of[own[first]]
+            unseen = np.add.reduceat(c == 0, first, dtype=np.int64) > 0
+            yield chunk, pickle.dumps((pack(c), alpha[of[unseen]].tobytes(), pack(more[of])))
 
 
-def _buckets(rows: Iterator, width: int) -> Iterator[Bucket]:
+def _buckets(rows: Iterator, width: int) -> Iterator[tuple[int, Bucket]]:
     """The buckets of a partition, one after the other."""
     by: dict[int, list] = {}
     for r in rows:
-        if r["kind"] == 1:
-            by.setdefault(r["bucket"], []).append(r)
+        by.setdefault(r["bucket"], []).append(r)
     for b in sorted(by):
-        yield Bucket(by.pop(b), width)
+        yield b, Bucket(by.pop(b), width)
 
 
 # -------------------------------------------------------------------- scores
@@ -331,16 +359,16 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hot = max(1000, total // (8 * buckets))
     starts = int(size["train"] or 0)
 
-    sent = (chunks.select("chunk", "ids", "held", "lens", "tokens").groupBy("chunk")
-            .cogroup(answers.where("chunk >= 0").groupBy("chunk"))
-            .applyInPandas(lambda k, a, b: _bigram_requests(k, a, b, buckets, hot, total, kinds, width, starts),
-                           "bucket int, chunk long, kind int, blob binary"))
+    words = answers.where("chunk >= 0")
+    sent = (chunks.select("chunk", "held", "lens", "tokens").groupBy("chunk").cogroup(words.groupBy("chunk"))
+            .applyInPandas(lambda k, a, b: _bigram_requests(k, a, b, buckets, hot, width, starts),
+                           "bucket int, chunk long, blob binary"))
     # one shuffle, read twice: the second pass needs what the first adds up
     table = sent.repartition(buckets, "bucket").rdd
 
     def survey(part):
         few, sums = np.zeros(CUT + 2, np.int64), []
-        for b in _buckets(part, width):
+        for _, b in _buckets(part, width):
             few += b.counts_of_counts()
             s = b.history_sums(one)
             for i in np.flatnonzero(b.ch[b.run] > hot).tolist():
@@ -355,27 +383,25 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = discounts(few.tolist())
 
     def evaluate(part):
-        rows_ = list(part)
-        for r in rows_:
-            if r["kind"] == 0:
-                yield r["chunk"], 0, bytes(r["blob"])
-        sums: dict[int, np.ndarray] = {}
-        for b in _buckets(iter(rows_), width):
-            for chunk, s in b.document_sums(b.log_probs(one, d, dealt)):
-                sums[chunk] = sums[chunk] + s if chunk in sums else s
-        for chunk, s in sums.items():
-            yield chunk, 1, s.tobytes()
-
-    parts = spark.createDataFrame(table.mapPartitions(evaluate), "chunk long, kind int, blob binary")
-    id_type = docs.schema[id_col].dataType.simpleString()
+        for n, b in _buckets(part, width):
+            for chunk, blob in b.answers(*b.backoff(one, d, dealt)):
+                yield n, chunk, blob, True
 
-    def add_up(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, out, lens, known, base = pickle.loads(pdf.loc[pdf["kind"] == 0, "blob"].iloc[0])
-        score = np.sum([np.frombuffer(b) for b in pdf.loc[pdf["kind"] == 1, "blob"]], axis=0)
-        return pd.DataFrame({"doc_id": pd.Series(pickle.loads(ids), dtype=object), "held_out": out,
-                             "n_tokens": lens, "n_known": known, "train_tokens": total,
-                             "base_score": base, "score": score})
+    grams = spark.createDataFrame(table.mapPartitions(evaluate), "bucket int, chunk long, answer binary, gram boolean")
+    id_type = docs.schema[id_col].dataType.simpleString()
 
-    return parts.groupBy("chunk").applyInPandas(
-        add_up, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    def scores(key, chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        row, got = chunk.iloc[0], got.sort_values("bucket")
+        t = Tokens(row, list(got.loc[~got["gram"], "answer"]), buckets, hot, width, starts)
+        logs = t.log_probs(list(got.loc[got["gram"], "answer"]), one, d)
+        return pd.DataFrame({"doc_id": pd.Series(pickle.loads(row["ids"]), dtype=object), "held_out": t.held,
+                             "n_tokens": t.lens, "n_known": np.add.reduceat((t.c > 0).astype(np.int64), t.first),
+                             "train_tokens": total,
+                             "base_score": np.add.reduceat(np.log10((t.c + 1) / (total + kinds + 1)), t.first),
+                             "score": np.add.reduceat(logs, t.first)})
+
+    back = words.withColumn("gram", F.lit(False)).unionByName(grams)
+    own = chunks.select("chunk", "ids", "held", "lens", "tokens").groupBy("chunk")
+    return own.cogroup(back.groupBy("chunk")).applyInPandas(
+        scores, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                 "base_score double, score double")

@@ -75,6 +75,29 @@ def test_dealt_out_histories(spark):
     close(katz.katz_scores(docs(spark, rows), held=held_out("doc_id", 7, 2), least=4).collect(), brute(rows))
 
 
+def test_requests_hold_a_bigram_once():
+    # 3,000 texts "a b" and 3,000 whose first word is unknown: four bigrams go out, however often they occur
+    import pandas as pd
+    lens = np.array([3] * 6000)
+    held = np.arange(6000) % 2 == 1
+    tokens = np.where(held[:, None], [3, 2, 0], [1, 2, 0])  # "? b" or "a b", and the end
+    chunk = pd.DataFrame({"lens": [katz.pack(lens)], "held": [held.tobytes()], "ids": [b""],
+                          "tokens": [katz.pack(tokens.reshape(-1))]})
+    counts, numbers = np.array([3000, 3000, 3000, 0]), np.array([2, 3, 4, katz.UNKNOWN])
+    answers = pd.DataFrame({"bucket": [0], "answer": [katz.pickle.dumps((katz.pack(numbers), katz.pack(counts)))]})
+    rows = katz._bigram_requests((7,), chunk, answers, 4, 1 << 40, 5, 3000)
+    sent = [katz.pickle.loads(b) for b in rows["blob"]]
+    # START a, START ?, a b, b end
+    assert sum(len(katz.unpack(x[3])) for x in sent) == 4 and all(len(katz.unpack(y)) <= 4 for x in sent for y in x)
+    assert sum(int(katz.unpack(x[5]).sum()) for x in sent) == 9000
+
+
+def test_unknown_histories_and_hot_bigrams(spark):
+    rows = [(i, " ".join(["x y"] * 40 + [f"only{i} only{i}b z"] * 5), None, None) for i in range(100)]
+    close(katz.katz_scores(docs(spark, rows).repartition(3), held=held_out("doc_id", 7, 2), chunk_tokens=500,
+                           least=4).collect(), brute(rows))
+
+
 def test_nothing_to_learn_from_and_empty(spark):
     rows = [(i, "a b", None, None) for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
     got = katz.katz_scores(docs(spark, rows), held=held_out("doc_id", 7, 2)).collect()
