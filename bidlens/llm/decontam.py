@@ -7,7 +7,8 @@ benchmark windows form a sorted index; each document's windows are looked up
 in it (the join of test and training hashes), every hit names an alignment of
 the item with the text, and the alignment is verified: the longest stretch
 around the hit in which at least ``min_share`` of the tokens agree must be as
-long as ``min_tokens`` (or as the whole item, if that is shorter).
+long as ``min_tokens``.  An item of ``min_tokens`` words or fewer must lie in
+the text as a whole, with at least ``min_share`` of its words, whichever these are.
 
 The benchmark is dealt into blocks of about ``block_tokens`` tokens (by a
 hash of the item id); one block's index is what a task holds, and the
@@ -15,8 +16,8 @@ documents pass once per block, so neither side's size is limited.  Documents
 are never shuffled.
 
 Defined cases: a null text or an item without words matches nothing; an item
-with fewer words than ``shortest`` (five) matches nothing; an item shorter
-than a mask is looked up whole; repeated documents are judged alike, repeated
+with fewer words than ``shortest`` (five) is not searched; an item of up to
+``min_tokens`` words is looked up by masks of its own (see ``short_masks``); repeated documents are judged alike, repeated
 items are reported once per item id; empty tables give an empty result.
 """
 
@@ -47,7 +48,7 @@ def token_blocks(text: str | None):
 def _window_keys(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose 1-positions all hold known tokens, and their hashes."""
     at = np.flatnonzero(np.frombuffer(mask.encode(), np.uint8) == ord("1"))
-    pos = np.flatnonzero(ids[:max(0, len(ids) - len(mask) + 1)])
+    pos = np.flatnonzero(ids[at[0]:at[0] + max(0, len(ids) - len(mask) + 1)])
     for o in at[1:]:
         pos = pos[ids[pos + o] > 0]
     key = np.zeros(len(pos), np.uint64)
@@ -57,6 +58,19 @@ def _window_keys(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return pos, key
 
 
+def short_masks(n: int, min_share: float) -> list[str]:
+    """Masks of which one survives any allowed number of substitutions in an
+    item of n words: with k of them some of k + 1 parts is untouched; up to
+    one, all but one position."""
+    k = int((1 - min_share) * n + 1e-9)
+    if k == 0:
+        return ["1" * n]
+    if k == 1:
+        return ["1" * i + "0" + "1" * (n - i - 1) for i in range(n)]
+    ends = [n * i // (k + 1) for i in range(k + 2)]
+    return ["0" * a + "1" * (b - a) + "0" * (n - b) for a, b in zip(ends[:-1], ends[1:])]
+
+
 class Index:
     """The benchmark items of one block: vocabulary, token ids, and for each
     mask the sorted window hashes with their item and position."""
@@ -72,7 +86,7 @@ class Index:
             self.items.append(ids)
             if len(ids) < shortest:
                 continue
-            for mask in [m for m in masks if len(m) <= len(ids)] or ["1" * len(ids)]:
+            for mask in short_masks(len(ids), min_share) if len(ids) <= min_tokens else masks:
                 pos, key = _window_keys(ids, mask)
                 found.setdefault(mask, []).append((key, np.full(len(pos), n), pos))
         self.masks = {}
@@ -92,6 +106,14 @@ class Index:
                 out.update(zip(item[a:b].tolist(), (p - at[a:b]).tolist()))
         return out
 
+    def whole(self, ids: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
+        """The same for the whole of a short item."""
+        own = self.items[item]
+        if shift < 0 or shift + len(own) > len(ids):
+            return None
+        agree = int((own == ids[shift:shift + len(own)]).sum())
+        return (shift, len(own), agree) if agree >= self.min_share * len(own) - 1e-9 else None
+
     def verify(self, ids: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:
         """(start, tokens, agreeing tokens) of the longest stretch of this
         alignment that is long and alike enough."""
@@ -123,7 +145,8 @@ class Index:
         ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         best: dict[int, tuple[int, int, int]] = {}
         for item, shift in sorted(self.alignments(ids)):
-            m = self.verify(ids, item, shift)
+            short = len(self.items[item]) <= self.min_tokens
+            m = self.whole(ids, item, shift) if short else self.verify(ids, item, shift)
             if m and (item not in best or m[1] > best[item][1]):
                 best[item] = m
         return [(i, *m) for i, m in sorted(best.items())]

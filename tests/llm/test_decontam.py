@@ -77,3 +77,15 @@ def test_verify_finds_the_longest_stretch():
                 if same[a] and same[b - 1] and same[a:b].sum() >= 0.8 * (b - a):
                     best = max(best, b - a)
         assert (got[1] if got else 0) == (best if best >= 5 else 0)
+
+
+def test_short_items_match_with_any_allowed_substitutions():
+    from itertools import combinations
+    for n in range(5, 14):
+        item = [f"w{i}" for i in range(n)]
+        index = decontam.Index([" ".join(item)])
+        for k in range(n // 4 + 2):
+            for gone in combinations(range(n), k):
+                text = ["x", *("other" if i in gone else w for i, w in enumerate(item)), "y"]
+                want = [(0, 1, n, n - k)] if n - k >= 0.8 * n - 1e-9 else []
+                assert index.matches(" ".join(text)) == want, (n, gone)
