@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import capfilters, decontam, katz, langid, linededup, mixing, pii, quality, sharding, simhash
+from bidlens.llm import (capfilters, decontam, katz, langid, linededup, mixing, piecebpe, pii, quality, sharding,
+                         simhash)
 from bidlens.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +114,13 @@ def op9(spark, sf_dir):
 @register("op10_spaced_seed_decontamination")
 def op10(spark, sf_dir):
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op12_piece_bpe")
+def op12(spark, sf_dir):
+    import public_tokenizers
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
