@@ -94,7 +94,7 @@ class Vocabulary:
             k = next((k for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), 0)
             self.shorter[i] = self.whole[p[:k]] if k else (-1 if len(p) == 1 else self.single(p[0]))
         of_byte = {i: bytes([b]) for b, i in byte_ids.items()}
-        self.surface = [of_byte[i] if i in of_byte else b"" if i in control else
+        self.surface = [of_byte[i] if i in of_byte else None if i in control else
                         unknown_surface.encode() if i == unknown else p.replace(SPACE, " ").encode()
                         for i, p in enumerate(pieces)]
         long = [p for p in self.scores if len(p) > 1]
@@ -411,10 +411,9 @@ def decode_ids(ids, v: Vocabulary) -> str:
     """Text of ids: the pieces' surfaces, without the space that encoding put
     in front; a byte piece that is no part of a whole character is U+FFFD."""
     surface = v.surface
-    data = b"".join(map(surface.__getitem__, ids))
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+        text = b"".join(map(surface.__getitem__, ids)).decode("utf-8")
+    except (UnicodeDecodeError, TypeError):  # broken characters, control ids
         text = _decode_broken(ids, v)
     first = next((i for i in ids if surface[i]), None)
     return text[1:] if first is not None and v.pieces[first].startswith(SPACE) else text
@@ -438,7 +437,7 @@ def _decode_broken(ids, v: Vocabulary) -> str:
                 k = 1
             run = run[k:]
         if i is not None:
-            out.append(v.surface[i].decode("utf-8"))
+            out.append((v.surface[i] or b"").decode("utf-8"))
     return "".join(out)
 
 
