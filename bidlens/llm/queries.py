@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import (capfilters, decontam, katz, langid, linededup, mixing, piecebpe, pii, quality, sharding,
-                         simhash)
-from bidlens.llm.common import held_out, table
+from bidlens.llm import (capfilters, decontam, katz, langid, linededup, merkle, mixing, piecebpe, pii, quality,
+                         sharding, simhash)
+from bidlens.llm.common import held_out, id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,6 +116,69 @@ def op10(spark, sf_dir):
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE framed AS (
+  SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         4294967295 - list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+             string_split(coalesce(doc_id::VARCHAR, ''), ''),
+             lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) AS crc FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             row_number() OVER () AS rid, count(*) OVER (PARTITION BY source) AS n
+      FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS lowered, crc FROM framed)),
+t(source, lvl, pos, h, n) AS (
+  SELECT source, 0, pos, leaf, n FROM d
+  UNION ALL
+  SELECT source, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 15) // 16
+  FROM t WHERE n > 1 GROUP BY source, lvl, pos // 16),
+r AS (SELECT source, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+             count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM r
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (max(n) + 15) // 16
+  FROM u WHERE n > 1 GROUP BY lvl, pos // 16),
+steps AS (
+  SELECT rid, t.lvl AS step,
+         coalesce(string_agg(h, '' ORDER BY t.pos) FILTER (t.pos < d.pos // pow(16, t.lvl)::BIGINT), '') AS lft,
+         coalesce(string_agg(h, '' ORDER BY t.pos) FILTER (t.pos > d.pos // pow(16, t.lvl)::BIGINT), '') AS rgt
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source AND t.n > 1
+               AND t.pos // 16 = d.pos // pow(16, t.lvl + 1)::BIGINT GROUP BY rid, t.lvl
+  UNION ALL
+  SELECT rid, depth + u.lvl,
+         coalesce(string_agg(h, '' ORDER BY u.pos) FILTER (u.pos < r.pos // pow(16, u.lvl)::BIGINT), ''),
+         coalesce(string_agg(h, '' ORDER BY u.pos) FILTER (u.pos > r.pos // pow(16, u.lvl)::BIGINT), '')
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+         JOIN u ON u.n > 1 AND u.pos // 16 = r.pos // pow(16, u.lvl + 1)::BIGINT GROUP BY rid, depth, u.lvl),
+proofs AS (SELECT rid, string_agg(lft || rgt, '' ORDER BY step) AS proof FROM steps GROUP BY rid),
+f(rid, step, h) AS (
+  SELECT rid, 0, CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END FROM d
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(lft || f.h || rgt) FROM f JOIN steps ON f.rid = steps.rid AND f.step = steps.step),
+e AS (SELECT rid, arg_max(h, step) AS folded_root FROM f GROUP BY rid)
+SELECT d.doc_id, d.leaf, r.subroot, u.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = u.h AS verified
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source JOIN u ON u.n = 1 JOIN e ON d.rid = e.rid
+LEFT JOIN proofs ON d.rid = proofs.rid"""
+
+
+@register("op11_merkle_manifest", OP11_SQL)
+def op11(spark, sf_dir):
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = merkle.leaf(*fields, F.translate("text", upper, upper.lower()))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", merkle.leaf(*fields, F.col("text")).alias("leaf"),
+        F.when(id_crc() % F.lit(5) == 0, lowered).alias("claimed"))
+    return merkle.manifest(docs, claimed_col="claimed").select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(F.lower(F.array_join(F.transform("proof", F.hex), "")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", "verified")
+
+
 @register("op12_piece_bpe")
 def op12(spark, sf_dir):
     import public_tokenizers

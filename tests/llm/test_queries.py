@@ -20,6 +20,8 @@ COLUMNS = {
     "op8": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
     "op10": {"doc_id": "bigint", "item_id": "bigint"},
+    "op11": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string",
+             "folded_root": "string", "verified": "boolean"},
     "op12": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
