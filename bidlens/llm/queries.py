@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidlens.llm import (capfilters, decontam, katz, langid, linededup, merkle, mixing, piecebpe, pii, quality,
-                         sharding, simhash)
+from bidlens.llm import (capfilters, decontam, katz, langid, linededup, merkle, mixing, periodic, piecebpe, pii,
+                         quality, sharding, simhash)
 from bidlens.llm.common import held_out, id_crc, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,20 @@ def op12(spark, sf_dir):
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op13_recompression_runs")
+def op13(spark, sf_dir):
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), plant_by=id_crc())
+    runs = F.arrays_zip(F.col("run_start").alias("start"), F.col("run_length").alias("length"),
+                        F.col("run_period").alias("period"))
+    rows = found.select("doc_id", "collapsed", runs.alias("runs"), F.array_max(F.transform(
+        runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                 (-r["period"]).alias("period")))).alias("top"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"),
+        F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
