@@ -47,7 +47,7 @@ from bidlens.llm.common import share, shared
 SPACE = "▁"  # fixed value: the model's mark for a space
 PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
-WORD_CACHE = 300_000  # words of up to 48 characters
+WORD_CACHE = 200_000  # words of up to 48 characters
 PAIR_CACHE = 1_000_000
 
 
@@ -83,12 +83,7 @@ class Vocabulary:
         self.scores = {p: s for p, s, n in zip(pieces, scores, normal) if n}
         self.ids = {p: i for i, p in enumerate(pieces) if normal[i]}
         # pieces that their own characters don't merge to are never in a result
-        self.whole: dict[str, int] = {}
-        self.history: dict[int, list] = {}
-        for p, i in self.ids.items():
-            steps = [(None, p[0], p[-1])]
-            if merge(p, self.scores, steps) == [p]:
-                self.whole[p], self.history[i] = i, steps
+        self.whole = {p: i for p, i in self.ids.items() if merge(p, self.scores) == [p]}
         self.shorter: dict[int, int] = {}
         for p, i in self.whole.items():
             k = next((k for k in range(len(p) - 1, 0, -1) if p[:k] in self.whole), 0)
@@ -142,7 +137,7 @@ class Encoder(dict):
 
     def __init__(self, v: Vocabulary):
         super().__init__()
-        self.v, self.known, self.fitting = v, {}, {}
+        self.v, self.known, self.fitting, self.steps = v, {}, {}, {}
         self.top = len(v.pieces)
         self.size = [len(p) for p in v.pieces]
         automaton = ahocorasick.Automaton()
@@ -154,14 +149,22 @@ class Encoder(dict):
         self.border = re.compile(rf"(?<![ {SPACE}])[ {SPACE}]")
         self.many = ManyWords(self)
 
+    def merges(self, token: int) -> list[tuple]:
+        """(score, first part, last part) at the start and after each merge."""
+        steps = self.steps.get(token)
+        if steps is None:
+            text = self.v.pieces[token] if token < self.top else chr(token - self.top)
+            steps = self.steps[token] = [(None, text[0], text[-1])]
+            merge(text, self.v.scores, steps)
+            if token >= self.top and len(self.steps) > 2 * self.top:  # odd characters
+                self.steps.clear()
+        return steps
+
     def joins(self, a: int, b: int) -> bool:
         """Whether re-merging the characters of ``a`` and ``b`` gives back just
         these two.  Both sides repeat the merges they make alone, best score
         first, as long as no merge over the border is as good."""
-        c = chr(a - self.top) if a >= self.top else None
-        left = self.v.history[a] if c is None else [(None, c, c)]
-        c = chr(b - self.top) if b >= self.top else None
-        right = self.v.history[b] if c is None else [(None, c, c)]
+        left, right = self.merges(a), self.merges(b)
         scores, none, i, j = self.v.scores, float("-inf"), 0, 0
         while True:
             over = scores.get(left[i][2] + right[j][1], none)
@@ -312,7 +315,7 @@ class ManyWords:
                         nodes[p[:k]] = len(nodes)
                         piece.append(v.single(p) if k == len(p) == 1 else v.whole.get(p[:k], -1))
                         edges.append((nodes[p[:k - 1]], column[p[k - 1]], nodes[p[:k]]))
-        self.next = np.zeros((len(nodes), 256), np.int32)
+        self.next = np.zeros((len(nodes), 256), np.uint16 if len(nodes) < 1 << 16 else np.int32)
         parent, col, child = np.array(edges, np.int64).reshape(-1, 3).T
         self.next[parent, col] = child
         self.piece = np.array(piece, np.int32)
@@ -325,7 +328,7 @@ class ManyWords:
 
     def longest(self, c: np.ndarray) -> np.ndarray:
         """Longest piece that starts at every position; column 0 ends a word."""
-        node = self.next[0, c]
+        node = self.next[0, c].astype(np.int32)
         found, at, depth = self.piece[node], np.flatnonzero(node), 1
         node = node[at]
         while len(at):
@@ -450,17 +453,37 @@ def _encoder(vocabulary, key: str) -> Encoder:
     return store.encoder
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Every row of ``docs`` with the ids of its whole text in ``out_col``."""
+def _slices(texts: list, chars: int = 1 << 21) -> Iterator[list]:
+    """A batch in slices of a few million characters, so that a slice's ids and
+    not the batch's are held; output batches need not match input batches."""
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and n < chars:
+            n += len(texts[end] or "")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", out_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
+    """Every row of ``docs`` with the ids of its whole text in ``out_col``, and
+    with the text that ``decode`` makes of them in ``decoded_col`` if named (in
+    the same pass)."""
     vocabulary, key = share(docs.sparkSession, read_model(model_path)), uuid.uuid4().hex
 
-    @F.pandas_udf("array<int>")
-    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, decoded string")
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(vocabulary, key)
         for texts in batches:
-            yield pd.Series(encoder.encode_all(texts.tolist()), dtype=object)
+            for part in _slices(texts.tolist()):
+                ids = encoder.encode_all(part)
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(
+                    [decode_ids(x.tolist(), encoder.v) for x in ids] if decoded_col else None, dtype=object, index=range(len(ids)))})
 
-    return docs.withColumn(out_col, ids_of(F.col(text_col)))
+    out = docs.withColumn("__ids", ids_of(F.col(text_col))).withColumn(out_col, F.col("__ids.ids"))
+    return (out.withColumn(decoded_col, F.col("__ids.decoded")) if decoded_col else out).drop("__ids")
 
 
 def decode(rows: DataFrame, model_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -182,8 +182,8 @@ def op11(spark, sf_dir):
 @register("op12_piece_bpe")
 def op12(spark, sf_dir):
     import public_tokenizers
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piecebpe.decode(piecebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = piecebpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           public_tokenizers.path("piece_bpe_32k.model"), decoded_col="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -79,6 +79,8 @@ def test_rows(spark):
     want = Counter((i, tuple(LIBRARY.encode(t or "")), LIBRARY.decode(LIBRARY.encode(t or ""))) for i, t, *_ in rows)
     assert got == want
     assert df.where("size != 'x'").count() == 0
+    both = piecebpe.encode(docs(spark, rows), MODEL, decoded_col="back").collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.back) for r in both) == want
     assert piecebpe.encode(docs(spark, []), MODEL).count() == 0
     none = spark.createDataFrame([(None,)], "ids array<int>")
     assert piecebpe.decode(none, MODEL).first().decoded is None
