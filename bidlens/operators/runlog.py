@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidlens.functions.common import missing_path
+from bidlens.sources.requests import text_preview
 
 RUN_LOG_DDL = (
     "request_id string, endpoint string, timestamp_utc string, duration_ms long, client_host string, "
@@ -25,41 +26,22 @@ RUN_LOG_DDL = (
     "error string, used_model boolean, join_graph boolean, explain boolean, date string"
 )
 
-PREVIEW_ITEMS = 3
-PREVIEW_CHARS = 4000
-
-
-def payload_preview(payload) -> str:
-    """PRJ-21: first 3 items of a list / an ``items`` envelope, JSON text cut
-    at 4000 characters."""
-    try:
-        if isinstance(payload, dict) and isinstance(payload.get("items"), list):
-            p = dict(payload)
-            p["items"] = payload["items"][:PREVIEW_ITEMS]
-        elif isinstance(payload, list):
-            p = payload[:PREVIEW_ITEMS]
-        else:
-            p = payload
-        text = json.dumps(p, default=str)
-    except (TypeError, ValueError):
-        text = json.dumps({"preview": str(payload)[:PREVIEW_CHARS]})
-    return text if len(text) <= PREVIEW_CHARS else text[:PREVIEW_CHARS] + "...<truncated>"
-
-
 def run_record(spark: SparkSession, endpoint: str, started_at: float, *, status: str = "ok",
                error: str | None = None, num_items: int | None = None, payload=None,
                paths: Mapping[str, str | None] | None = None, client_host: str | None = None,
                used_model: bool | None = None, join_graph: bool | None = None,
                explain: bool | None = None, now: datetime | None = None) -> DataFrame:
-    """PRV-01: one-row DataFrame describing a job run."""
+    """PRV-01: one-row DataFrame describing a job run.  ``payload`` is JSON
+    text, or anything that ``json`` can write; the record shows its start."""
+    text = payload if isinstance(payload, str) or payload is None else json.dumps(payload, default=str)
     ts = now or datetime.now(timezone.utc)
     paths = dict(paths or {})
     row = (uuid.uuid4().hex, endpoint, ts.isoformat(), int((ts.timestamp() - started_at) * 1000),
-           client_host, payload_preview(payload), num_items,
+           client_host, text, num_items,
            paths.get("features_path"), paths.get("graph_metrics_path"), paths.get("wb_ineligible_path"),
            paths.get("ocds_tenders_path"), paths.get("ocds_awards_path"), status, error,
            used_model, join_graph, explain, ts.date().isoformat())
-    return spark.createDataFrame([row], RUN_LOG_DDL)
+    return spark.createDataFrame([row], RUN_LOG_DDL).withColumn("payload_preview", text_preview(F.col("payload_preview")))
 
 
 def append_run_log(records: DataFrame, path: str) -> bool:

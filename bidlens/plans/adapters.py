@@ -65,6 +65,28 @@ def awards(spark: SparkSession, sf_dir: str, keep_order: bool = True) -> DataFra
     return out if keep_order else out.drop(*AWARD_ORDER)
 
 
+def shared_tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tenders with ids that are missing (every 20th order) or listed
+    twice (every 7th, the copy under another buyer and category)."""
+    t = tenders(spark, sf_dir)
+    key = F.col("__tender_pos")
+    t = t.withColumn("tender_id", F.when(key % 20 != 0, F.col("tender_id")))
+    copies = t.where(key % 7 == 0).select(
+        "tender_id", F.concat(F.lit("2-"), F.col("buyer_id")).alias("buyer_id"),
+        F.concat(F.lit("Second "), F.col("buyer_name")).alias("buyer_name"), F.lit("9-COPY").alias("main_category"),
+        "tender_date", "value_amount", "__tender_pos")
+    return t.withColumn("__tender_pos", F.struct(key, F.lit(0))).unionByName(
+        copies.withColumn("__tender_pos", F.struct(key, F.lit(1))))
+
+
+def shared_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The awards of those tenders: ids missing on every 20th order, unknown
+    on every 23rd."""
+    key = F.col("l_orderkey")
+    return awards(spark, sf_dir).withColumn("tender_id", F.when(key % 20 == 0, F.lit(None)).when(
+        key % 23 == 0, F.concat(F.lit("none-"), F.col("tender_id"))).otherwise(F.col("tender_id")))
+
+
 def sanctions_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw, all-string sanctions sheet with the headers a debarment
     export carries.  Dates are written in the layouts such sheets mix."""

@@ -20,6 +20,7 @@ from bidlens.operators import graph as gr
 from bidlens.operators import model as mdl
 from bidlens.operators import runlog as rl
 from bidlens.operators import scoring
+from bidlens.operators.positions import element_positions, file_positions
 from bidlens.sources import ocds
 from bidlens.sources import projects as prj
 from bidlens.sources import requests as rq
@@ -168,24 +169,27 @@ def latest_metrics(spark: SparkSession, metrics_dir: str) -> DataFrame:
     return m.agg(F.max_by(F.struct(*[c for c in m.columns if c != "__f"]), "__f").alias("m")).select("m.*")
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_requests(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
     """SRC-08/19: request files → (input_row_id, award_id, supplier_id).
     CSV tables by suffix; anything else is JSON payloads, one per file (a
-    list or an ``items`` envelope).  Row ids follow the files' order."""
+    list or an ``items`` envelope).  Row ids are dense and follow file path and
+    place in the file, unless a table brings its own; ``max_items`` keeps the
+    first ones (FLT-10)."""
     if path.lower().split("?")[0].endswith((".csv", ".csv.gz", ".tsv")):
         sep = "\t" if path.lower().endswith(".tsv") else ","
-        return rq.coerce_award_rows(spark.read.option("header", True).option("inferSchema", False)
-                                    .option("sep", sep).csv(path))
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    items = rq.parse_request_payloads(text, "value", "file")
-    # one payload keeps its positions; more are told apart by a hash of their path
-    several = len(text.inputFiles()) > 1
-    rid = F.xxhash64("payload_id", "input_row_id") if several else F.col("input_row_id")
-    return items.select(rid.alias("input_row_id"), "award_id", "supplier_id")
+        table = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).csv(path)
+        if any(c.strip().lower().replace(" ", "_") == "input_row_id" for c in table.columns):
+            return rq.first_requests(rq.coerce_award_rows(table), max_items)  # the table brings its ids
+        rows = rq.coerce_award_rows(file_positions(table, "input_row_id"))
+    else:
+        text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        rows = element_positions(text, rq.payload_items(F.col("value")), ["file"], "input_row_id", "item").select(
+            "input_row_id", *rq.item_fields(F.col("item")))
+    return rows if max_items is None else rows.where(F.col("input_row_id") < int(max_items))
 
 
-def _requests(spark: SparkSession, requests: DataFrame | str) -> DataFrame:
-    return read_requests(spark, requests) if isinstance(requests, str) else requests
+def _requests(spark: SparkSession, requests: DataFrame | str, max_items: int | None) -> DataFrame:
+    return read_requests(spark, requests, max_items) if isinstance(requests, str) else rq.first_requests(requests, max_items)
 
 
 @contextmanager
@@ -211,17 +215,18 @@ def _features_or_empty(spark: SparkSession, path: str) -> DataFrame:
 def batch_job(spark: SparkSession, requests: DataFrame | str, features_path: str, out_path: str,
               graph_path: str | None = None, model_dir: str | None = None, explain: bool = True,
               top_k: int = scoring.DEFAULT_TOP_K, run_log_path: str | None = None,
-              unique_features: bool = False) -> DataFrame:
+              unique_features: bool = False, max_items: int | None = None) -> DataFrame:
     """Batch scoring (SCR-08) over a request table or request files →
     parquet, ordered by input row; one run-log record, also of a failure.
-    ``unique_features``: the tables are the feature and graph jobs' own."""
+    ``unique_features``: the tables are the feature and graph jobs' own;
+    ``max_items``: only the first requests (FLT-10)."""
     paths = {"features_path": features_path, "graph_metrics_path": graph_path}
     with _logged(spark, run_log_path, "/v1/score/batch", paths=paths, join_graph=graph_path is not None,
                  explain=explain) as log:
         model = mdl.load_model(spark, model_dir) if model_dir else None
         log["used_model"] = model is not None
         graph = read_parquet_or_empty(spark, graph_path, "supplier_id string") if graph_path else None
-        out = scoring.score_batch(_requests(spark, requests), _features_or_empty(spark, features_path), graph=graph,
+        out = scoring.score_batch(_requests(spark, requests, max_items), _features_or_empty(spark, features_path), graph=graph,
                                   model=model, explain=explain, top_k=top_k, dedupe_features=not unique_features)
         out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
         written = spark.read.parquet(out_path)
@@ -231,11 +236,11 @@ def batch_job(spark: SparkSession, requests: DataFrame | str, features_path: str
 
 
 def validate_job(spark: SparkSession, requests: DataFrame | str, features_path: str, out_path: str,
-                 run_log_path: str | None = None) -> DataFrame:
+                 run_log_path: str | None = None, max_items: int | None = None) -> DataFrame:
     """Validate-only run (FLT-05/09): input_row_id, award_id, supplier_id,
     valid, error → parquet, ordered by input row, with a run-log record."""
     with _logged(spark, run_log_path, "/v1/validate/batch", paths={"features_path": features_path}) as log:
-        out = scoring.validate_batch(_requests(spark, requests), _features_or_empty(spark, features_path))
+        out = scoring.validate_batch(_requests(spark, requests, max_items), _features_or_empty(spark, features_path))
         out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
         written = spark.read.parquet(out_path)
         if run_log_path:

@@ -80,6 +80,22 @@ features_x AS (
 )"""
 
 
+# the same entities with missing, repeated and unknown tender ids
+SHARED_CTE = (TENDERS_CTE.replace("tenders_x", "tenders_0") + "," + AWARDS_CTE.replace("awards_x", "awards_0") + """,
+tenders_x AS (
+  SELECT CASE WHEN tender_pos % 20 <> 0 THEN tender_id END AS tender_id, buyer_id, buyer_name, main_category,
+         tender_date, value_amount, tender_pos * 2 AS tender_pos FROM tenders_0
+  UNION ALL
+  SELECT CASE WHEN tender_pos % 20 <> 0 THEN tender_id END, '2-' || buyer_id, 'Second ' || buyer_name, '9-COPY',
+         tender_date, value_amount, tender_pos * 2 + 1 FROM tenders_0 WHERE tender_pos % 7 = 0
+),
+awards_x AS (
+  SELECT * REPLACE (CASE WHEN l_orderkey % 20 = 0 THEN NULL WHEN l_orderkey % 23 = 0 THEN 'none-' || tender_id
+                    ELSE tender_id END AS tender_id) FROM awards_0
+)""")
+SHARED_ROWS_CTE = SHARED_CTE + FEATURE_ROWS_CTE[len(TENDERS_CTE + "," + AWARDS_CTE):]
+
+
 def heuristic_sql(near: str, repeat: str, z: str, conc: str) -> str:
     c01 = "GREATEST(0.0, LEAST(1.0, {}))"
     s = (f"0.4 * (CASE WHEN COALESCE({near}, 0) = 1 THEN 1.0 ELSE 0.0 END)"

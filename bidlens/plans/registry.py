@@ -65,8 +65,7 @@ SELECT p.buyer_name, p.supplier_id, p.awards_by_pair, b.awards_by_buyer,
        ROUND(COALESCE(CAST(p.awards_by_pair AS DOUBLE) / NULLIF(b.awards_by_buyer, 0), 0.0), 6) AS share
 FROM p LEFT JOIN b ON p.buyer_name IS NOT DISTINCT FROM b.buyer_name""")
 def q_award_concentration(spark, sf_dir):
-    rows = feat.joined_awards(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir))
-    c = feat.concentration(rows)
+    c = feat.concentration_totals(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir))
     return rounded(c.select(F.col("__buyer_name").alias("buyer_name"),
                             F.col("__supplier_id").alias("supplier_id"),
                             "awards_by_pair", "awards_by_buyer", "share"))
@@ -87,8 +86,8 @@ SELECT t.main_category, COUNT(a.amount) AS n_amount, ROUND(AVG(a.amount), 6) AS
 FROM awards_x a LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id
 GROUP BY t.main_category""")
 def q_category_stats(spark, sf_dir):
-    rows = feat.joined_awards(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir))
-    return rounded(feat.category_moments(rows).withColumnRenamed("__category", "main_category"))
+    c = feat.category_totals(ad.tenders(spark, sf_dir), ad.awards(spark, sf_dir))
+    return rounded(c.withColumnRenamed("__category", "main_category"))
 
 
 @register("near_threshold", "WITH " + O.AWARDS_CTE + """

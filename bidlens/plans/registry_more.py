@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidlens.operators import evaluate as ev
+from bidlens.operators import features as feat
 from bidlens.operators import graph as gr
 from bidlens.operators import report as rep
 from bidlens.operators import runlog as rl
@@ -62,6 +63,63 @@ def q_releases_quarantine(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+# --------------------------------------------------------------- shared tender ids
+
+def _shared(spark, sf_dir):
+    return ad.shared_tenders(spark, sf_dir), ad.shared_awards(spark, sf_dir)
+
+
+@register("features_shared_ids", "WITH " + O.SHARED_ROWS_CTE + """
+SELECT award_id, supplier_id, ROUND(award_concentration_by_buyer, 6) AS award_concentration_by_buyer,
+       ROUND(repeat_winner_ratio, 6) AS repeat_winner_ratio,
+       ROUND(amount_zscore_by_category, 6) AS amount_zscore_by_category, near_threshold_flag, time_to_award_days
+FROM features_x""")
+def q_features_shared_ids(spark, sf_dir):
+    """Missing and repeated tender ids on both sides (the SQL multiplies them out)."""
+    return rounded(feat.build_features(*_shared(spark, sf_dir), order_key=ad.AWARD_ORDER))
+
+
+@register("concentration_shared_ids", "WITH " + O.SHARED_CTE + """,
+j AS (SELECT a.supplier_id, t.buyer_name FROM awards_x a
+      LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id),
+p AS (SELECT buyer_name, supplier_id, COUNT(*) AS awards_by_pair FROM j GROUP BY ALL),
+b AS (SELECT buyer_name, COUNT(*) AS awards_by_buyer FROM j GROUP BY ALL)
+SELECT p.buyer_name, p.supplier_id, p.awards_by_pair, b.awards_by_buyer,
+       ROUND(CAST(p.awards_by_pair AS DOUBLE) / b.awards_by_buyer, 6) AS share
+FROM p LEFT JOIN b ON p.buyer_name IS NOT DISTINCT FROM b.buyer_name""")
+def q_concentration_shared_ids(spark, sf_dir):
+    c = feat.concentration_totals(*_shared(spark, sf_dir))
+    return rounded(c.select(F.col("__buyer_name").alias("buyer_name"), F.col("__supplier_id").alias("supplier_id"),
+                            "awards_by_pair", "awards_by_buyer", "share"))
+
+
+@register("category_stats_shared_ids", "WITH " + O.SHARED_CTE + """
+SELECT t.main_category, COUNT(a.amount) AS n_amount, ROUND(AVG(a.amount), 4) AS mean_amount,
+       ROUND(STDDEV_POP(a.amount), 4) AS std_amount
+FROM awards_x a LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id GROUP BY 1""")
+def q_category_stats_shared_ids(spark, sf_dir):
+    return rounded(feat.category_totals(*_shared(spark, sf_dir)).withColumnRenamed("__category", "main_category"), 4)
+
+
+@register("edges_shared_ids", "WITH " + O.SHARED_CTE + """
+SELECT 'buyer:' || COALESCE(buyer_id, 'unknown-buyer') AS src, a.supplier_id AS dst, COUNT(a.award_id) AS awards_count,
+       ROUND(COALESCE(SUM(a.amount), 0.0), 2) AS total_amount
+FROM awards_x a LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id GROUP BY 1, 2""")
+def q_edges_shared_ids(spark, sf_dir):
+    return rounded(gr.bipartite_graph(*_shared(spark, sf_dir))[1], 2)
+
+
+@register("vertices_shared_ids", "WITH " + O.SHARED_CTE + """,
+j AS (SELECT a.supplier_id, a.supplier_name, t.buyer_id, t.buyer_name FROM awards_x a
+      LEFT JOIN tenders_x t ON a.tender_id IS NOT DISTINCT FROM t.tender_id)
+SELECT 'buyer:' || COALESCE(buyer_id, 'unknown-buyer') AS id, 'buyer' AS bipartite, max(buyer_name) AS name, buyer_id,
+       NULL AS supplier_id FROM j GROUP BY buyer_id
+UNION ALL
+SELECT supplier_id, 'supplier', max(supplier_name), NULL, supplier_id FROM j GROUP BY supplier_id""")
+def q_vertices_shared_ids(spark, sf_dir):
+    return gr.bipartite_graph(*_shared(spark, sf_dir))[0]
+
+
 # --------------------------------------------------------------- missing numbers
 
 @register("features_nan", "WITH " + O.FEATURE_ROWS_CTE.replace(
@@ -74,7 +132,6 @@ def q_features_nan(spark, sf_dir):
     """Amounts as text, NaN on line 3."""
     aw = ad.awards(spark, sf_dir).withColumn("amount", F.when(F.col("l_linenumber") == 3, F.lit("NaN"))
                                              .otherwise(F.col("amount").cast("string")))
-    from bidlens.operators import features as feat
     return rounded(feat.build_features(ad.tenders(spark, sf_dir), aw, order_key=ad.AWARD_ORDER))
 
 

@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 ITEM_DDL = "award_id string, supplier_id string"
 
 
+def payload_items(text: Column) -> Column:
+    """The items (JSON texts) of a payload: its list, or the list under ``items``."""
+    return F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>")).otherwise(
+        F.coalesce(F.from_json(text, "items array<string>")["items"], F.array().cast("array<string>")))
+
+
+def item_fields(item: Column) -> list[Column]:
+    """award_id and supplier_id of an item; null where it is no object."""
+    parsed = F.when(F.ltrim(item).startswith("{"), F.from_json(item, ITEM_DDL))
+    return [parsed["award_id"].alias("award_id"), parsed["supplier_id"].alias("supplier_id")]
+
+
 def parse_request_payloads(payloads: DataFrame, text_col: str = "payload", key_col: str = "payload_id",
                            max_items: int | None = None) -> DataFrame:
     """SRC-19 + FLT-10: one row per item of each payload.
@@ -18,17 +30,11 @@ def parse_request_payloads(payloads: DataFrame, text_col: str = "payload", key_c
     rows).  Items that are not objects keep a row with null fields (the
     validator turns that into a per-row error).  ``input_row_id`` is the
     item position; ``max_items`` keeps the first items of each payload."""
-    v = F.col(text_col)
-    is_list = F.ltrim(v).startswith("[")
-    raw = F.when(is_list, F.from_json(v, "array<string>")).otherwise(
-        F.coalesce(F.from_json(v, "items array<string>")["items"], F.array().cast("array<string>")))
-    items = payloads.select(F.col(key_col).alias("payload_id"), F.posexplode(raw).alias("input_row_id", "item"))
+    items = payloads.select(F.col(key_col).alias("payload_id"),
+                            F.posexplode(payload_items(F.col(text_col))).alias("input_row_id", "item"))
     if max_items is not None:
         items = items.filter(F.col("input_row_id") < int(max_items))
-    obj = F.ltrim(F.col("item")).startswith("{")
-    parsed = F.when(obj, F.from_json(F.col("item"), ITEM_DDL))
-    return items.select("payload_id", F.col("input_row_id").cast("long").alias("input_row_id"),
-                        parsed["award_id"].alias("award_id"), parsed["supplier_id"].alias("supplier_id"))
+    return items.select("payload_id", F.col("input_row_id").cast("long").alias("input_row_id"), *item_fields(F.col("item")))
 
 
 def coerce_award_rows(df: DataFrame, row_id: str = "input_row_id") -> DataFrame:
@@ -51,9 +57,25 @@ def coerce_award_rows(df: DataFrame, row_id: str = "input_row_id") -> DataFrame:
                      .alias("supplier_id"))
 
 
+def first_requests(requests: DataFrame, max_items: int | None) -> DataFrame:
+    """FLT-10: the first ``max_items`` requests by ``input_row_id``."""
+    return requests if max_items is None else requests.orderBy("input_row_id").limit(int(max_items))
+
+
 def payload_preview(items: Column, n: int = 3, max_chars: int = 4000) -> Column:
     """PRJ-21 as an expression: JSON of the first ``n`` items, cut at
     ``max_chars`` characters with a marker."""
-    txt = F.to_json(F.slice(items, 1, n))
-    return F.when(F.length(txt) > max_chars,
-                  F.concat(F.substring(txt, 1, max_chars), F.lit("...<truncated>"))).otherwise(txt)
+    return _cut(F.to_json(F.slice(items, 1, n)), max_chars)
+
+
+def text_preview(text: Column, n: int = 3, max_chars: int = 4000) -> Column:
+    """PRJ-21 of a payload's JSON text: an envelope of its first ``n`` items; a
+    payload without items shows its own text."""
+    items = payload_items(text)
+    shown = F.when(F.size(items) > 0, F.concat(F.lit('{"items": ['), F.array_join(F.slice(items, 1, n), ", "), F.lit("]}")))
+    return _cut(F.coalesce(shown, text), max_chars)
+
+
+def _cut(text: Column, max_chars: int) -> Column:
+    return F.when(F.length(text) > max_chars,
+                  F.concat(F.substring(text, 1, max_chars), F.lit("...<truncated>"))).otherwise(text)
