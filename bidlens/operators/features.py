@@ -1,18 +1,18 @@
 """Award-level risk features (one row per award_id).
 
 Awards join tenders on ``tender_id``, null matching null, and duplicate ids
-on both sides multiply.  The joined rows are never made: both sides fold to
-one row per id and group with a multiplicity (``award_groups``,
-``tender_groups``), and counts, sums and sums of squares of the join are
-products of the folded ones.
-
-* Buyer totals and category moments need the awards per id only: as many rows
-  as tender groups.
-* A pair count (buyer, supplier) multiplies award groups with tender groups of
-  an id.  Ids with many groups on both sides (missing ids, mostly) are left
-  out of that join; their share is looked up for the pairs that the feature
-  table asks for, one row per pair and such id.
-* The first tender of an award comes from a partial ``min(struct)`` per id.
+on both sides multiply.  The multiplied rows are never made:
+
+* Each id's tenders fold to one row (the first tender by a partial
+  ``min(struct)``, the number of tenders) that the awards join once.  If an
+  id's tenders agree in buyer and category, as a lone one does, its awards
+  count with that number as weight.
+* Ids whose tenders differ (missing ids, mostly) fold on both sides, awards
+  to (id, supplier) and tenders to (id, buyer, category), each with a
+  multiplicity; counts, sums and sums of squares of the join are products of
+  the folded ones.  Buyer totals and category moments need as many rows as
+  tender groups.  Pair counts of ids with many groups on both sides are
+  looked up for the pairs the feature table asks for, not multiplied out.
 
 Group statistics are *not* windows: a window over ``main_category`` would
 put all rows of a category (there are a handful) into one task.  AQE turns
@@ -35,7 +35,7 @@ from bidlens.session import cut_lineage
 GENERIC_THRESHOLDS = [10_000, 50_000, 250_000, 1_000_000]
 NEAR_PCT = 0.05
 MAX_DAYS = 3650
-SHARED = 64  # groups on both sides from which a tender id is looked up, not multiplied out
+SHARED = 64  # suppliers and tender groups from which a tender id is looked up, not multiplied out
 
 FEATURE_COLS = [
     "award_concentration_by_buyer",
@@ -178,110 +178,120 @@ def award_feature_rows(tenders: DataFrame, awards: DataFrame, thresholds=GENERIC
     )
 
 
-def award_groups(awards: DataFrame) -> DataFrame:
-    """Cleaned awards folded to (tender_id, supplier): rows n, amounts k, their
-    sum s and sum of squares q, least and greatest amount."""
-    x = F.col("__amount")
-    return awards.groupBy("tender_id", "__supplier_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count(x).alias("k"), F.sum(x).alias("s"), F.sum(x * x).alias("q"),
-        F.min(x).alias("lo"), F.max(x).alias("hi"))
-
-
-def tender_groups(tenders: DataFrame) -> DataFrame:
-    """Cleaned tenders folded to (tender_id, buyer, category): rows m, and the
-    group's first tender as (position, date)."""
-    pos = F.col("__tender_pos") if "__tender_pos" in tenders.columns else F.lit(0)
-    return tenders.groupBy(F.col("tender_id").alias("__tid"), "__buyer_name", "__category").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct(pos.alias("pos"), F.col("__tender_ts").alias("ts"))).alias("first"))
-
-
-def first_tenders(groups: DataFrame) -> DataFrame:
-    """Per tender id its first tender and ``width``, the number of its groups."""
-    first = F.min(F.struct("first.pos", "__buyer_name", "__category", "first.ts"))
-    return groups.groupBy("__tid").agg(first.alias("t"), F.count(F.lit(1)).alias("width")).select(
-        "__tid", "width", "t.__buyer_name", "t.__category", F.col("t.ts").alias("__tender_ts"))
-
-
-def _folded(tenders: DataFrame, awards: DataFrame, dedupe_tenders: bool = False,
-            tender_order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    t = clean_tenders(tenders)
-    if dedupe_tenders:
-        t = keep_first(t, "tender_id", tender_order or (
-            ["__tender_pos"] if "__tender_pos" in t.columns else ["__buyer_name", "__category", "__tender_ts"]))
-    return award_groups(clean_awards(awards)), tender_groups(t)
-
-
-def _totals(by_award: DataFrame, by_tender: DataFrame) -> DataFrame:
-    """Awards of each tender id x tender groups: one row per tender group, and
-    one per id without a tender, with the multiplicity ``m``."""
-    a = by_award.groupBy("tender_id").agg(
-        *[F.sum(c).alias(c) for c in ("n", "k", "s", "q")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return a.join(by_tender, a["tender_id"].eqNullSafe(by_tender["__tid"]), "left").withColumn(
-        "m", F.coalesce("m", F.lit(1)))
-
-
-def _buyer_totals(totals: DataFrame) -> DataFrame:
-    return totals.groupBy("__buyer_name").agg(F.sum(F.col("n") * F.col("m")).alias("awards_by_buyer"))
-
-
-def _moments(totals: DataFrame) -> DataFrame:
-    """Mean and population deviation per category from the folded sums; equal
-    amounts deviate by exactly 0."""
-    g = totals.groupBy("__category").agg(
-        F.sum(F.col("k") * F.col("m")).alias("n_amount"), F.sum(F.col("s") * F.col("m")).alias("__s"),
-        F.sum(F.col("q") * F.col("m")).alias("__q"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
-    n = F.when(F.col("n_amount") > 0, F.col("n_amount"))
-    mean = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(F.col("__s") / n)
-    sd = F.when(F.col("__lo") == F.col("__hi"), F.lit(0.0)).otherwise(
-        F.sqrt(F.greatest(F.col("__q") / n - mean * mean, F.lit(0.0))))
-    return g.select("__category", "n_amount", mean.alias("mean_amount"), sd.alias("std_amount"))
-
-
-def category_totals(tenders: DataFrame, awards: DataFrame) -> DataFrame:
-    """``category_moments`` of the join, from folded sides."""
-    return _moments(_totals(*_folded(tenders, awards)))
-
-
-def _pairs(by_award: DataFrame, by_tender: DataFrame) -> DataFrame:
-    """Awards of each (buyer, supplier) over the ids of ``by_award``."""
-    t = by_tender.groupBy("__tid", "__buyer_name").agg(F.sum("m").alias("m"))
-    return (by_award.join(t, by_award["tender_id"].eqNullSafe(t["__tid"]), "left")
-            .groupBy("__buyer_name", "__supplier_id")
-            .agg(F.sum(F.col("n") * F.coalesce("m", F.lit(1))).alias("awards_by_pair")))
-
-
-def concentration_totals(tenders: DataFrame, awards: DataFrame) -> DataFrame:
-    """``concentration`` of the join, from folded sides (every pair is a
-    row of the result, so ids shared by many groups are multiplied out)."""
-    by_award, by_tender = _folded(tenders, awards)
-    pair, buyer = _pairs(by_award, by_tender), _buyer_totals(_totals(by_award, by_tender))
-    return pair.join(buyer.withColumnRenamed("__buyer_name", "__b"), F.col("__buyer_name").eqNullSafe(F.col("__b")), "left") \
-        .drop("__b").withColumn("share", F.coalesce(F.try_divide("awards_by_pair", "awards_by_buyer"), F.lit(0.0)))
-
-
-def _wanted_pairs(rows: DataFrame, by_award: DataFrame, by_tender: DataFrame, firsts: DataFrame,
-                  shared: int) -> DataFrame:
-    """Pair counts for the (buyer, supplier) pairs of ``rows``.  Ids with at
-    least ``shared`` groups on both sides are looked up, not multiplied out."""
-    wide = firsts.where(F.col("width") >= shared).select(F.col("__tid").alias("__wide"))
-    both = by_award.join(wide, F.col("tender_id").eqNullSafe(F.col("__wide")), "left_semi").groupBy("tender_id").agg(
-        F.count(F.lit(1)).alias("__groups")).where(F.col("__groups") >= shared).select(F.col("tender_id").alias("__shared"))
-    is_shared = F.col("tender_id").eqNullSafe(F.col("__shared"))
-    light = _pairs(by_award.join(both, is_shared, "left_anti"), by_tender)
-    heavy_a = by_award.join(both, is_shared, "left_semi").select("tender_id", F.col("__supplier_id").alias("__hs"), "n")
-    heavy_t = (by_tender.join(both, F.col("__tid").eqNullSafe(F.col("__shared")), "left_semi")
-               .groupBy("__tid", F.col("__buyer_name").alias("__hb")).agg(F.sum("m").alias("m")))
-    wanted = rows.select("__buyer_name", "__supplier_id").distinct()
-    heavy = (wanted.join(heavy_a, F.col("__supplier_id").eqNullSafe(F.col("__hs")))
-             .join(heavy_t, F.col("tender_id").eqNullSafe(F.col("__tid")) & F.col("__buyer_name").eqNullSafe(F.col("__hb")))
-             .groupBy("__buyer_name", "__supplier_id").agg(F.sum(F.col("n") * F.col("m")).alias("awards_by_pair")))
-    return light.unionByName(heavy).groupBy("__buyer_name", "__supplier_id").agg(
-        F.sum("awards_by_pair").alias("awards_by_pair"))
+def _sums(x: Column, m: Column) -> list[Column]:
+    """Rows n, amounts k, their sum s, sum of squares q, least and greatest."""
+    return [F.sum(m).alias("n"), F.sum(F.when(x.isNotNull(), m)).alias("k"), F.sum(x * m).alias("s"),
+            F.sum(x * x * m).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")]
+
+
+def _added(m: Column | None = None) -> list[Column]:
+    """The same over rows that hold such sums, each counted ``m`` times."""
+    m = F.lit(1) if m is None else m
+    return [F.sum(F.col(c) * m).alias(c) for c in ("n", "k", "s", "q")] + [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+
+
+class JoinedAwards:
+    """Awards with the first tender of their id, and the folded groups of the
+    ids whose tenders differ.  With ``materialize`` the joined rows are
+    checkpointed once, as several aggregates read them, and groups that turn
+    out to be empty are left out of the plan."""
+
+    def __init__(self, tenders: DataFrame, awards: DataFrame, keep: Sequence[str] = (), dedupe_tenders: bool = False,
+                 tender_order: Sequence[str] | None = None, materialize: bool = True):
+        t, a = clean_tenders(tenders), clean_awards(awards)
+        if dedupe_tenders:
+            t = keep_first(t, "tender_id", tender_order or (
+                ["__tender_pos"] if "__tender_pos" in t.columns else ["__buyer_name", "__category", "__tender_ts"]))
+        pos = F.col("__tender_pos") if "__tender_pos" in t.columns else F.lit(0)
+        group = F.struct("__buyer_name", "__category")
+        first = t.groupBy(F.col("tender_id").alias("__tid")).agg(
+            F.min(F.struct(pos.alias("pos"), "__buyer_name", "__category", "__tender_ts")).alias("f"),
+            F.count(F.lit(1)).alias("__m"), (F.min(group) != F.max(group)).alias("__differ"))
+        self.rows = a.join(first, F.col("tender_id").eqNullSafe(F.col("__tid")), "left").select(
+            *dict.fromkeys(["award_id", *keep]), "tender_id", "__supplier_id", "__amount", "__award_ts",
+            *[F.col(f"f.{c}").alias(c) for c in ("__buyer_name", "__category", "__tender_ts")],
+            F.coalesce("__m", F.lit(1)).alias("__m"), F.coalesce("__differ", F.lit(False)).alias("__differ"))
+        some = True
+        if materialize:
+            self.rows = cut_lineage(self.rows)
+            some = not self.rows.where("__differ").isEmpty()
+        self.plain = self.rows.where(~F.col("__differ"))
+        self.by_award = self.by_tender = None
+        if some:
+            shared = self.rows.where("__differ")
+            self.by_award = shared.groupBy("tender_id", "__supplier_id").agg(*_sums(F.col("__amount"), F.lit(1)))
+            ids = first.where("__differ").select(F.col("__tid").alias("__shared"))
+            self.by_tender = (t.join(ids, F.col("tender_id").eqNullSafe(F.col("__shared")), "left_semi")
+                              .groupBy(F.col("tender_id").alias("__tid"), "__buyer_name", "__category")
+                              .agg(F.count(F.lit(1)).alias("m")))
+
+    def _by_group(self) -> DataFrame:
+        """Awards of each shared id x its tender groups."""
+        a = self.by_award.groupBy("tender_id").agg(*_added())
+        return a.join(self.by_tender, F.col("tender_id").eqNullSafe(F.col("__tid")))
+
+    def buyer_totals(self) -> DataFrame:
+        out = self.plain.groupBy("__buyer_name").agg(F.sum("__m").alias("awards_by_buyer"))
+        if self.by_award is None:
+            return out
+        more = self._by_group().groupBy("__buyer_name").agg(F.sum(F.col("n") * F.col("m")).alias("awards_by_buyer"))
+        return out.unionByName(more).groupBy("__buyer_name").agg(F.sum("awards_by_buyer").alias("awards_by_buyer"))
+
+    def moments(self) -> DataFrame:
+        """Mean and population deviation per category; equal amounts deviate by
+        exactly 0."""
+        out = self.plain.groupBy("__category").agg(*_sums(F.col("__amount"), F.col("__m")))
+        if self.by_award is not None:
+            more = self._by_group().groupBy("__category").agg(*_added(F.col("m")))
+            out = out.unionByName(more).groupBy("__category").agg(*_added())
+        k = F.coalesce("k", F.lit(0))
+        same = F.col("lo") == F.col("hi")
+        mean = F.when(same, F.col("lo")).otherwise(F.try_divide("s", k))
+        sd = F.when(same, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.try_divide("q", k) - mean * mean, F.lit(0.0))))
+        return out.select("__category", k.alias("n_amount"), mean.alias("mean_amount"), sd.alias("std_amount"))
+
+    def pairs(self, wanted: DataFrame | None = None, shared: int = 0) -> DataFrame:
+        """Awards of each (buyer, supplier): all pairs, or at least those in
+        ``wanted``, for which ids with ``shared`` or more suppliers and groups
+        are looked up instead of multiplied out."""
+        out = self.plain.groupBy("__buyer_name", "__supplier_id").agg(F.sum("__m").alias("awards_by_pair"))
+        if self.by_award is None:
+            return out
+        a = self.by_award.select("tender_id", "__supplier_id", "n")
+        t = self.by_tender.groupBy("__tid", "__buyer_name").agg(F.sum("m").alias("m"))
+        n = F.sum(F.col("n") * F.col("m")).alias("awards_by_pair")
+        if wanted is not None:
+            many_t = t.groupBy("__tid").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared)
+            many_a = a.groupBy("tender_id").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared)
+            wide = many_a.join(many_t, F.col("tender_id").eqNullSafe(F.col("__tid"))).select(F.col("tender_id").alias("__w"))
+            is_wide = F.col("tender_id").eqNullSafe(F.col("__w"))
+            heavy_a = a.join(wide, is_wide, "left_semi").withColumnRenamed("__supplier_id", "__hs")
+            heavy_t = t.withColumnRenamed("__buyer_name", "__hb")
+            heavy = (wanted.join(heavy_a, F.col("__supplier_id").eqNullSafe(F.col("__hs")))
+                     .join(heavy_t, F.col("tender_id").eqNullSafe(F.col("__tid")) & F.col("__buyer_name").eqNullSafe(F.col("__hb")))
+                     .groupBy("__buyer_name", "__supplier_id").agg(n))
+            out, a = out.unionByName(heavy), a.join(wide, is_wide, "left_anti")
+        light = a.join(t, F.col("tender_id").eqNullSafe(F.col("__tid"))).groupBy("__buyer_name", "__supplier_id").agg(n)
+        return out.unionByName(light).groupBy("__buyer_name", "__supplier_id").agg(
+            F.sum("awards_by_pair").alias("awards_by_pair"))
+
+
+def category_totals(tenders: DataFrame, awards: DataFrame, materialize: bool = True) -> DataFrame:
+    """``category_moments`` of the join, without making it."""
+    return JoinedAwards(tenders, awards, materialize=materialize).moments()
+
+
+def concentration_totals(tenders: DataFrame, awards: DataFrame, materialize: bool = True) -> DataFrame:
+    """``concentration`` of the join (every pair is a row of the result)."""
+    joined = JoinedAwards(tenders, awards, materialize=materialize)
+    buyer = joined.buyer_totals().withColumnRenamed("__buyer_name", "__b")
+    return (joined.pairs().join(buyer, F.col("__buyer_name").eqNullSafe(F.col("__b")), "left").drop("__b")
+            .withColumn("share", F.coalesce(F.try_divide("awards_by_pair", "awards_by_buyer"), F.lit(0.0))))
 
 
 def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[str],
                    thresholds=GENERIC_THRESHOLDS, pct: float = NEAR_PCT,
-                   dedupe_tenders: bool = False, materialize: bool = False, shared: int = SHARED) -> DataFrame:
+                   dedupe_tenders: bool = False, materialize: bool = True, shared: int = SHARED) -> DataFrame:
     """Feature table keyed by award_id (FEA-01).
 
     ``order_key`` names award columns that give the input order; the first
@@ -289,26 +299,22 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
     the first tender of its id (``__tender_pos`` if present, else by value).
     Shares and z-scores count every joined row, without making them.
 
-    The default is a lazy plan; the feature job writes it once as Parquet and
-    every later job (labels, fit, evaluation, batch scoring) reads that
-    table.  With ``materialize`` the table is checkpointed, for callers that
-    use the frame several times.
+    By default the awards with their first tender are checkpointed, as the
+    table and three aggregates read them; the rest is a lazy plan, which the
+    feature job writes once as Parquet for every later job.
+    ``materialize=False`` keeps all of it lazy.
     """
-    by_award, by_tender = _folded(tenders, awards, dedupe_tenders)
-    firsts = first_tenders(by_tender)
-    a = clean_awards(awards)
     order = [c for c in order_key if c != "award_id"]
-    a = a.select("award_id", *[F.col(c).alias(f"__ord{i}") for i, c in enumerate(order)],
-                 "__supplier_id", "__amount", "__award_ts", F.col("tender_id").alias("__award_tid"))
-    kept = keep_first(a, "award_id", [f"__ord{i}" for i in range(len(order))] or ["award_id"])
-    rows = kept.join(firsts, F.col("__award_tid").eqNullSafe(F.col("__tid")), "left").select(
-        "award_id", "__supplier_id", "__amount", "__award_ts", "__buyer_name", "__category", "__tender_ts")
-    totals = _totals(by_award, by_tender)
-    pair = _wanted_pairs(rows, by_award, by_tender, firsts, shared).select(
+    joined = JoinedAwards(tenders, awards, order, dedupe_tenders, materialize=materialize)
+    rows = joined.rows.select("award_id", *[F.col(c).alias(f"__ord{i}") for i, c in enumerate(order)],
+                              "__supplier_id", "__amount", "__award_ts", "__buyer_name", "__category", "__tender_ts")
+    kept = keep_first(rows, "award_id", [f"__ord{i}" for i in range(len(order))] or ["award_id"])
+    wanted = kept.select("__buyer_name", "__supplier_id").distinct() if joined.by_award is not None else None
+    pair = joined.pairs(wanted, shared).select(
         F.col("__buyer_name").alias("__pb"), F.col("__supplier_id").alias("__ps"), "awards_by_pair")
-    buyer = _buyer_totals(totals).withColumnRenamed("__buyer_name", "__bb")
-    cat = _moments(totals).withColumnRenamed("__category", "__cc")
-    j = (rows.join(pair, F.col("__buyer_name").eqNullSafe(F.col("__pb"))
+    buyer = joined.buyer_totals().withColumnRenamed("__buyer_name", "__bb")
+    cat = joined.moments().withColumnRenamed("__category", "__cc")
+    j = (kept.join(pair, F.col("__buyer_name").eqNullSafe(F.col("__pb"))
                    & F.col("__supplier_id").eqNullSafe(F.col("__ps")), "left")
              .join(buyer, F.col("__buyer_name").eqNullSafe(F.col("__bb")), "left")
              .join(cat, F.col("__category").eqNullSafe(F.col("__cc")), "left"))
@@ -319,5 +325,4 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
         zscore(F.col("__amount"), F.col("mean_amount"), F.col("std_amount")).alias("amount_zscore_by_category"),
         near_threshold(F.col("__amount"), thresholds, pct).alias("near_threshold_flag"),
         time_to_award(F.col("__award_ts"), F.col("__tender_ts")).alias("time_to_award_days"))
-    out = out.select([F.col(n).cast(t).alias(n) for n, t in FEATURES_SCHEMA])
-    return cut_lineage(out) if materialize else out
+    return out.select([F.col(n).cast(t).alias(n) for n, t in FEATURES_SCHEMA])
