@@ -45,17 +45,68 @@ def run_record(spark: SparkSession, endpoint: str, started_at: float, *, status:
 
 
 def append_run_log(records: DataFrame, path: str) -> bool:
-    """SNK-07: append to the JSON log partitioned by date.  Never raises:
-    a logging failure must not fail the job (returns False instead)."""
+    """SNK-07: put the record of one run into the JSON log, by day.  The
+    record's folder is named by its run id and overwritten as a whole, so a
+    retried append leaves one record.  Never raises: a logging failure must
+    not fail the job (returns False instead)."""
     try:
-        records.write.mode("append").partitionBy("date").json(path)
+        run = records.select("date", "request_id").first()
+        records.drop("date").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/date={run['date']}/run={run['request_id']}")
         return True
     except Exception:  # noqa: BLE001 - logging is best-effort by contract
         return False
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG_DDL).json(path)
+    """One row per run id, also while a day is being compacted."""
+    log = spark.read.schema(f"{RUN_LOG_DDL}, run string").json(path).drop("run")
+    return log.dropDuplicates(["request_id"])
+
+
+def compact_run_log(spark: SparkSession, path: str, before: str) -> int:
+    """Rewrites each day earlier than ``before`` that has single-run folders
+    as one folder (one file), then deletes those.  A compaction that stops
+    half-way leaves records twice at most, which readers fold; the next one
+    finishes it.  Returns the number of folders deleted."""
+    base = path.rstrip("/")
+    runs = (spark.read.schema(f"{RUN_LOG_DDL}, run string").json(base).where(F.col("date") < before)
+            .select("date", "run").distinct().groupBy("date").agg(F.collect_set("run").alias("runs"))
+            .where(F.size("runs") > 1).collect())  # folder names of the days to compact
+    gone = 0
+    for day in sorted(runs, key=lambda r: str(r["date"])):
+        folder, whole = f"{base}/date={day['date']}", f"day-{uuid.uuid4().hex}"
+        records = spark.read.schema(RUN_LOG_DDL).json([f"{folder}/run={r}" for r in day["runs"]]).drop("date")
+        records.dropDuplicates(["request_id"]).coalesce(1).write.json(f"{folder}/run={whole}")
+        for r in day["runs"]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/run={r}")
+            gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
+
+
+SKETCH_K = 400  # rank error of a sketch: under 1 %
+
+
+def latency_state(log: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """AGG-16 as mergeable daily state: per day, endpoint and status the
+    counts and a quantile sketch of the durations (a few KB however many
+    runs).  A day is sketched once; ``latency_rollup`` merges any range."""
+    return log.groupBy("date", "endpoint", "status").agg(
+        F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("num_items"), F.lit(0)).cast("long").alias("items"),
+        F.sum("duration_ms").alias("total_ms"), F.count("duration_ms").alias("timed"), F.max("duration_ms").alias("max_ms"),
+        F.kll_sketch_agg_bigint("duration_ms", F.lit(k)).alias("sketch"))
+
+
+def latency_rollup(state: DataFrame, by: tuple[str, ...] = ("endpoint", "status")) -> DataFrame:
+    """Requests, items, mean, maximum and approximate p50, p90, p99 from the
+    daily states of any range of days."""
+    merged = state.groupBy(*by).agg(
+        F.sum("requests").alias("requests"), F.sum("items").cast("long").alias("items"),
+        F.try_divide(F.sum("total_ms"), F.sum("timed")).alias("avg_ms"), F.max("max_ms").alias("max_ms"),
+        F.kll_merge_agg_bigint(F.when(F.col("timed") > 0, F.col("sketch"))).alias("sketch"))
+
+    def quantile(q):
+        return F.when(F.col("max_ms").isNotNull(), F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)))
+    return merged.withColumn("p50_p90_p99_ms", F.array(*map(quantile, (0.5, 0.9, 0.99)))).drop("sketch")
 
 
 def run_rollup(log: DataFrame) -> DataFrame:

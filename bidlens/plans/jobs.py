@@ -21,6 +21,8 @@ from bidlens.operators import model as mdl
 from bidlens.operators import runlog as rl
 from bidlens.operators import scoring
 from bidlens.operators.positions import element_positions, file_positions
+from bidlens.plans.lookups import publish_lookup, requested
+from bidlens.plans.snapshots import high_water, publish, read_published, upsert
 from bidlens.sources import ocds
 from bidlens.sources import projects as prj
 from bidlens.sources import requests as rq
@@ -35,7 +37,7 @@ def read_parquet_or_empty(spark: SparkSession, path: str | None, ddl: str) -> Da
     """SRC-06: a missing path reads as an empty frame of ``ddl``."""
     if path:
         try:
-            return spark.read.parquet(path)
+            return read_published(spark, path)
         except AnalysisException as e:
             if not missing_path(e):
                 raise
@@ -48,7 +50,7 @@ def read_features_any(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".csv"):
         ddl = ", ".join(f"{n} {t}" for n, t in feat.FEATURES_SCHEMA)
         return spark.read.option("header", True).schema(ddl).csv(path)
-    return spark.read.parquet(path)
+    return read_published(spark, path)
 
 
 def with_file_order(df: DataFrame, name: str = "__file_order") -> DataFrame:
@@ -58,20 +60,17 @@ def with_file_order(df: DataFrame, name: str = "__file_order") -> DataFrame:
 
 def ingest_releases(spark: SparkSession, in_path: str, out_dir: str, take: int | None = None,
                     jsonl: bool | None = None) -> dict:
-    """OCDS files → tenders / awards / suppliers parquet + counts snapshot
-    (SNK-01, SNK-06).  Corrupt documents go to ``_quarantine``."""
+    """OCDS files → tenders / awards / suppliers tables + counts snapshot
+    (SNK-01, SNK-06).  Each table is a new version, committed when it is
+    whole.  Corrupt documents go to ``_quarantine``."""
     rel = ocds.read_releases(spark, in_path, jsonl=jsonl, take=take).persist()
     out = out_dir.rstrip("/")
     t, a, s = ocds.tenders(rel), ocds.awards(rel), ocds.suppliers(rel)
-    t.write.mode("overwrite").parquet(f"{out}/tenders.parquet")
-    a.write.mode("overwrite").parquet(f"{out}/awards.parquet")
-    s.write.mode("overwrite").parquet(f"{out}/suppliers.parquet")
+    made = [publish(df, f"{out}/{name}.parquet") for df, name in ((t, "tenders"), (a, "awards"), (s, "suppliers"))]
     rel.filter(F.col("_corrupt_record").isNotNull()).select("release_pos", "_corrupt_record") \
         .write.mode("overwrite").parquet(f"{out}/_quarantine")
     rel.unpersist()
-    counts = ocds.release_counts(spark.read.parquet(f"{out}/tenders.parquet"),
-                                 spark.read.parquet(f"{out}/awards.parquet"),
-                                 spark.read.parquet(f"{out}/suppliers.parquet"), _stamp())
+    counts = ocds.release_counts(*map(spark.read.parquet, made), _stamp())
     counts.coalesce(1).write.mode("overwrite").json(f"{out}/_counts_{_stamp()}")
     return counts.first().asDict()
 
@@ -84,8 +83,7 @@ def ingest_sanctions(spark: SparkSession, sheet_path: str, out_dir: str, source_
     ts = _stamp()
     sheet.drop(sanc.ROW_ORDER).write.mode("overwrite").json(f"{out}/raw/ineligible_{ts}")
     norm = sanc.normalize_sanctions(sheet, source_url)
-    norm.write.mode("overwrite").parquet(f"{out}/ineligible.parquet")
-    return f"{out}/ineligible.parquet"
+    return publish(norm, f"{out}/ineligible.parquet")
 
 
 def ingest_projects(spark: SparkSession, pages_path: str, out_dir: str) -> str:
@@ -93,19 +91,32 @@ def ingest_projects(spark: SparkSession, pages_path: str, out_dir: str) -> str:
     recs = prj.read_project_pages(spark, pages_path)
     out = out_dir.rstrip("/")
     recs.select("record").write.mode("overwrite").text(f"{out}/raw/projects_{_stamp()}")
-    prj.normalize_projects(recs).write.mode("overwrite").parquet(f"{out}/projects.parquet")
-    return f"{out}/projects.parquet"
+    return publish(prj.normalize_projects(recs), f"{out}/projects.parquet")
+
+
+def pull_projects(spark: SparkSession, pages_path: str, table: str, buckets: int = 64) -> dict:
+    """SRC-14 incrementally: the records of a pull that are not older than the
+    table's high-water mark (``p2a_updated_date``; records without a date
+    always count) go into a keyed table, of which only the hash buckets with
+    changes are rewritten.  Pulls in any number give the table of one full
+    pull."""
+    mark = high_water(spark, table)
+    recs = prj.normalize_projects(prj.read_project_pages(spark, pages_path))
+    if mark is not None:
+        recs = recs.where(F.col("p2a_updated_date").isNull() | (F.col("p2a_updated_date") >= mark))
+    return upsert(recs, table, "id", "p2a_updated_date", buckets)
 
 
 def features_job(spark: SparkSession, tenders_path: str, awards_path: str, out_path: str,
-                 dedupe_tenders: bool = False) -> str:
-    """Curated tenders + awards → feature parquet (SNK-02).  The award input
-    order is the file order (path, row index)."""
-    t = with_file_order(spark.read.parquet(tenders_path), "__tender_pos")
-    a = with_file_order(spark.read.parquet(awards_path))
+                 dedupe_tenders: bool = False, buckets: int | None = None) -> str:
+    """Curated tenders + awards → feature table (SNK-02), a new version; its
+    folder.  The award input order is the file order (path, row index).
+    ``buckets`` stores it by hash bucket of the award id, sorted, so that batch
+    scoring reads the buckets of its requests only."""
+    t = with_file_order(read_published(spark, tenders_path), "__tender_pos")
+    a = with_file_order(read_published(spark, awards_path))
     f = feat.build_features(t, a, order_key=["__file_order"], dedupe_tenders=dedupe_tenders)
-    f.write.mode("overwrite").parquet(out_path)
-    return out_path
+    return publish_lookup(f, out_path, "award_id", buckets) if buckets else publish(f, out_path)
 
 
 def graph_job(spark: SparkSession, tenders_path: str, awards_path: str, sanctions_path: str | None,
@@ -114,17 +125,17 @@ def graph_job(spark: SparkSession, tenders_path: str, awards_path: str, sanction
     """Graph metrics parquet without ``node`` (SNK-03); optional ego edges.
     Betweenness is asked for by the caller: exact it costs vertices x edges,
     with ``pivots`` it is an estimate."""
-    t, a = spark.read.parquet(tenders_path), spark.read.parquet(awards_path)
+    t, a = read_published(spark, tenders_path), read_published(spark, awards_path)
     s = read_parquet_or_empty(spark, sanctions_path, "name string, normalized_name string") \
         if sanctions_path else None
     m = gr.graph_metrics(t, a, s, with_betweenness=with_betweenness, pivots=pivots)
     out = out_dir.rstrip("/")
-    m.drop("node").write.mode("overwrite").parquet(f"{out}/graph/metrics.parquet")
+    metrics = publish(m.drop("node"), f"{out}/graph/metrics.parquet")
     if ego_supplier_id:
         _, e = gr.bipartite_graph(t, a)
         gr.ego_edges(e, ego_supplier_id).write.mode("overwrite").parquet(
             f"{out}/graph/ego_{ego_supplier_id}.parquet")
-    return f"{out}/graph/metrics.parquet"
+    return metrics
 
 
 def train_job(spark: SparkSession, features_path: str, model_dir: str,
@@ -132,7 +143,7 @@ def train_job(spark: SparkSession, features_path: str, model_dir: str,
     """Fit → thresholds → (calibrate) → evaluate → save model and meta with
     ``last_evaluation`` (MOD-07, SNK-09)."""
     f = read_features_any(spark, features_path).persist()
-    lm, sm = mdl.fit(f, feature_cols)
+    lm = mdl.fit(f, feature_cols)
     extra = {}
     if calibrate:
         try:
@@ -142,7 +153,7 @@ def train_job(spark: SparkSession, features_path: str, model_dir: str,
     scored = mdl.proxy_label(f).withColumn("p", lm.probability())
     metrics = ev.metrics(scored, "label", "p", order="award_id").first().asDict()
     extra["last_evaluation"] = metrics
-    meta = mdl.save_model(spark, lm, model_dir, sm, extra)
+    meta = mdl.save_model(spark, lm, model_dir, extra)
     f.unpersist()
     return meta
 
@@ -153,7 +164,7 @@ def evaluate_job(spark: SparkSession, features_path: str, model_dir: str, out_di
     f = read_features_any(spark, features_path)
     lm = mdl.load_model(spark, model_dir)
     if lm is None:
-        lm, _ = mdl.fit(f)
+        lm = mdl.fit(f)
     scored = mdl.proxy_label(f).withColumn("p", lm.probability())
     m = ev.metrics(scored, "label", "p", order="award_id")
     m = m.withColumn("feature_cols", F.array(*[F.lit(c) for c in lm.feature_cols]))
@@ -226,7 +237,8 @@ def batch_job(spark: SparkSession, requests: DataFrame | str, features_path: str
         model = mdl.load_model(spark, model_dir) if model_dir else None
         log["used_model"] = model is not None
         graph = read_parquet_or_empty(spark, graph_path, "supplier_id string") if graph_path else None
-        out = scoring.score_batch(_requests(spark, requests, max_items), _features_or_empty(spark, features_path), graph=graph,
+        asked = _requests(spark, requests, max_items)
+        out = scoring.score_batch(asked, requested(_features_or_empty(spark, features_path), asked), graph=graph,
                                   model=model, explain=explain, top_k=top_k, dedupe_features=not unique_features)
         out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
         written = spark.read.parquet(out_path)
@@ -240,7 +252,8 @@ def validate_job(spark: SparkSession, requests: DataFrame | str, features_path:
     """Validate-only run (FLT-05/09): input_row_id, award_id, supplier_id,
     valid, error → parquet, ordered by input row, with a run-log record."""
     with _logged(spark, run_log_path, "/v1/validate/batch", paths={"features_path": features_path}) as log:
-        out = scoring.validate_batch(_requests(spark, requests, max_items), _features_or_empty(spark, features_path))
+        asked = _requests(spark, requests, max_items)
+        out = scoring.validate_batch(asked, requested(_features_or_empty(spark, features_path), asked))
         out.orderBy("input_row_id").write.mode("overwrite").parquet(out_path)
         written = spark.read.parquet(out_path)
         if run_log_path:

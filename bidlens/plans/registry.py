@@ -264,7 +264,7 @@ design AS MATERIALIZED (SELECT {", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0) A
     f"SELECT '{c}' AS feature, ROUND(w{i + 1}, 3) AS weight FROM fit" for i, c in enumerate(feat.FEATURE_COLS)))
 def q_fit_logreg(spark, sf_dir):
     """Fit on the whole feature table; the coefficients."""
-    lm, _ = mdl.fit(features_df(spark, sf_dir), with_thresholds=False, tol=1e-13)
+    lm = mdl.fit(features_df(spark, sf_dir), with_thresholds=False, tol=1e-13)
     return rounded(mdl.top_weights(spark, lm).select("feature", "weight"), 3)
 
 

@@ -27,7 +27,7 @@ def _newton(X, y, C=1.0, iters=100):
 def test_fit_matches_newton_solve(spark):
     rows = F9 * 3 + [(0.5, 0.4, 1.0, 0.0, 30.0), (0.3, 0.9, 0.0, 0.0, 60.0)]
     df = spark.createDataFrame(rows, DDL)
-    lm, _ = mdl.fit(df)
+    lm = mdl.fit(df)
     X = np.array(rows, dtype=float)
     y = np.array([int(r[2] > 1.5 or r[1] > 0.8 or r[3] == 1 or r[0] > 0.7) for r in rows])
     w, b = _newton(X, y)
@@ -37,7 +37,7 @@ def test_fit_matches_newton_solve(spark):
 
 def test_probabilities_and_explanations_f9(spark):
     df = spark.createDataFrame(F9, DDL)
-    lm, _ = mdl.fit(df)
+    lm = mdl.fit(df)
     from bidlens.operators.scoring import linear_score
     rows = linear_score(df, lm, top_k=None).collect()
     for r in rows:
@@ -104,10 +104,10 @@ def test_metrics_f10_and_degenerate(spark):
 
 def test_calibrate_and_persist(spark, tmp_dir):
     df = spark.createDataFrame(F9 * 5, DDL)
-    lm, sm = mdl.fit(df)
+    lm = mdl.fit(df)
     cal = mdl.calibrate(df, lm)
     assert cal.calibration is not None
-    mdl.save_model(spark, cal, tmp_dir + "/m", sm)
+    mdl.save_model(spark, cal, tmp_dir + "/m")
     back = mdl.load_model(spark, tmp_dir + "/m")
     assert back.coef == pytest.approx(cal.coef) and back.calibration == pytest.approx(cal.calibration)
     assert mdl.load_model(spark, tmp_dir + "/missing") is None
