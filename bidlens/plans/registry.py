@@ -452,9 +452,9 @@ def q_betweenness(spark, sf_dir):
 from bidlens.sources import ocds  # noqa: E402
 
 
-def releases_df(spark, sf_dir):
+def releases_df(spark, sf_dir, fields=None):
     txt = ad.releases_json(spark, sf_dir)
-    return ocds.parse_releases(txt, "value", jsonl=True, order=F.col("release_order"))
+    return ocds.parse_releases(txt, "value", jsonl=True, order=F.col("release_order"), fields=fields)
 
 
 RELEASE_ROWS_CTE = """
@@ -488,7 +488,7 @@ SELECT tender_id, ocid, CAST(c_custkey AS VARCHAR) AS buyer_id, c_name AS buyer_
        strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS tender_date
 FROM rel_tid_x""")
 def q_tenders(spark, sf_dir):
-    return rounded(ocds.tenders(releases_df(spark, sf_dir)))
+    return rounded(ocds.tenders(releases_df(spark, sf_dir, ocds.TENDER_FIELDS)))
 
 
 @register("awards", "WITH " + RELEASE_ROWS_CTE + """
@@ -498,7 +498,7 @@ SELECT CASE WHEN l_linenumber <> 1 THEN CAST(l_orderkey AS VARCHAR) || '-' || CA
        'USD' AS currency, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS date, l_linestatus AS status
 FROM rel_tid_x""")
 def q_awards(spark, sf_dir):
-    return rounded(ocds.awards(releases_df(spark, sf_dir)))
+    return rounded(ocds.awards(releases_df(spark, sf_dir, ocds.AWARD_FIELDS)))
 
 
 @register("suppliers", "WITH " + RELEASE_ROWS_CTE + """,
@@ -512,7 +512,7 @@ SELECT supplier_id, name, country FROM (
   SELECT cand.*, ROW_NUMBER() OVER (PARTITION BY supplier_id ORDER BY """ + O.AWARD_ORDER_SQL + """, phase) AS rn
   FROM cand) WHERE rn = 1""")
 def q_suppliers(spark, sf_dir):
-    return ocds.suppliers(releases_df(spark, sf_dir))
+    return ocds.suppliers(releases_df(spark, sf_dir, ocds.SUPPLIER_FIELDS))
 
 
 # --------------------------------------------------------------- batch scoring

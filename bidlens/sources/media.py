@@ -22,10 +22,9 @@ def _type_of(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(v, path, "variant"))
 
 
-def read_item(text: Column) -> tuple[Column, Column]:
-    """(item struct, its type violations) of one item's JSON text.  Text
-    fields must hold text; the confidence a number, or text that is one."""
-    v = F.try_parse_json(text)
+def read_item(v: Column) -> tuple[Column, Column]:
+    """(item struct, its type violations) of one item, a variant.  Text fields
+    must hold text; the confidence a number, or text that is one."""
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     v = F.when(is_object, v)
     item = F.struct(*[F.try_variant_get(v, f"$.{n}", t).alias(n)
@@ -58,18 +57,20 @@ def validate_media(payloads: DataFrame, text_col: str = "payload",
     (null for payload-level problems) and ``errors`` (array of messages).
     A payload that is not JSON, or lacks ``items``, is one reject row."""
     p = payloads.select(F.col(key_col).alias("payload_id"),
-                        F.from_json(F.col(text_col), PAYLOAD_DDL,
-                                    {"mode": "PERMISSIVE",
-                                     "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))
+                        F.explode(F.array(F.from_json(F.col(text_col), PAYLOAD_DDL, {
+                            "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))).alias("p"))
     bad_doc = F.col("p._corrupt_record").isNotNull() | F.col("p").isNull()
     doc_err = (F.when(bad_doc, F.array(F.lit("payload: invalid JSON")))
                 .when(F.col("p.items").isNull(), F.array(F.lit("items: field required"))))
     payload_rejects = p.filter(doc_err.isNotNull()).select(
         "payload_id", F.lit(None).cast("int").alias("item_no"), doc_err.alias("errors"))
     items = p.filter(doc_err.isNull()).select("payload_id", F.posexplode("p.items").alias("item_no", "txt"))
-    item, bad = read_item(F.col("txt"))
-    items = items.select("payload_id", "item_no", item.alias("it"), bad.alias("bad"))
-    items = items.withColumn("errors", F.when(F.size("bad") > 0, F.col("bad")).otherwise(item_violations(F.col("it"))))
+    # each Generate computes its value once, however often the fields above name it
+    items = items.select("payload_id", "item_no", F.explode(F.array(F.try_parse_json("txt"))).alias("v"))
+    item, bad = read_item(F.col("v"))
+    items = items.select("payload_id", "item_no", F.explode(F.array(F.struct(item.alias("it"), bad.alias("bad")))).alias("r"))
+    items = items.select("payload_id", "item_no", "r.it", F.when(F.size("r.bad") > 0, F.col("r.bad")).otherwise(
+        item_violations(F.col("r.it"))).alias("errors"))
     valid = items.filter(F.size("errors") == 0).select(
         "payload_id", "item_no", *[F.col(f"it.{f.split()[0]}").alias(f.split()[0])
                                    for f in ITEM_DDL.split(", ")])
