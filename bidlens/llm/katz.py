@@ -78,21 +78,28 @@ def unpack(b: bytes) -> np.ndarray:
 # -------------------------------------------------------------------- model
 
 def discounts(n: list[int], cut: int = CUT) -> np.ndarray:
-    """d(0..cut) from the counts of counts n[1..cut+1]: Katz's formula where
-    it gives factors in (0, 1], else absolute discounting with
-    n1 / (n1 + 2 n2)."""
+    """d(0..cut), the Good-Turing factors of counts up to ``cut`` from the
+    counts of counts n[1..cut+1].
+
+    n is smoothed first (each n[r] spread over its gap to the neighbouring
+    non-zero ones, then a line through log n over log r with slope b < -1), so
+    that r*/r = (1 + 1/r)^(b+1) falls short of 1 for every r; Katz's
+    formula takes (r*/r - A)/(1 - A) with A = (cut+1)^(b+1), so that larger
+    counts stay.  The amounts taken are then scaled to free n[1] in all, the
+    Good-Turing mass of the unseen; without singletons they stay as the line
+    gives them.  Every factor lies in (0, 1)."""
     d = np.ones(cut + 1)
-    n = [float(x) for x in n]
-    with np.errstate(all="ignore"):
-        rest = (cut + 1) * n[cut + 1] / n[1] if n[1] else 0.0
-        katz = [((r + 1) * n[r + 1] / (n[r] * r) - rest) / (1 - rest) if n[r] and rest < 1 else np.nan
-                for r in range(1, cut + 1)]
-    if all(np.isfinite(katz)) and all(0 < x <= 1 for x in katz) and min(katz) < 1:
-        d[1:] = katz
-    else:
-        take = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        take = min(max(take, 0.05), 0.95)
-        d[1:] = [1 - take / r for r in range(1, cut + 1)]
+    r = np.array([i for i in range(1, cut + 2) if n[i]], float)
+    slope = -2.0  # where one point fits any line
+    if len(r) > 1:
+        gap = (np.append(r[1:], 2 * r[-1] - r[-2]) - np.append(0.0, r[:-1])) / 2
+        slope = float(np.polyfit(np.log(r), np.log([n[int(i)] for i in r] / gap), 1)[0])
+    slope = min(slope, -1.1)
+    at = np.arange(1, cut + 1, dtype=float)
+    keep, rest = (1 + 1 / at) ** (slope + 1), (cut + 1.0) ** (slope + 1)
+    take = 1 - (keep - rest) / (1 - rest)
+    freed = float(take @ (at * np.array(n[1:cut + 1], float)))
+    d[1:] = 1 - take * (min(n[1] / freed, 0.99 / take.max()) if n[1] else 1.0)
     return d
 
 

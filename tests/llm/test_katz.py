@@ -10,6 +10,43 @@ from bidlens.llm.common import held_out
 from util import awkward, docs
 
 
+def good_turing(n, cut=katz.CUT):
+    """The stated formula, written out: averaged n, a log-log line, r*, Katz's
+    cut, freed mass n[1]."""
+    rs = [r for r in range(1, cut + 2) if n[r]]
+    b = -2.0
+    if len(rs) > 1:
+        pts = []
+        for k, r in enumerate(rs):
+            low = rs[k - 1] if k else 0
+            high = rs[k + 1] if k + 1 < len(rs) else 2 * r - rs[k - 1]
+            pts.append((math.log(r), math.log(n[r] / ((high - low) / 2))))
+        mx, my = sum(x for x, _ in pts) / len(pts), sum(y for _, y in pts) / len(pts)
+        b = sum((x - mx) * (y - my) for x, y in pts) / sum((x - mx) ** 2 for x, _ in pts)
+    b = min(b, -1.1)
+    smooth = lambda r: r ** b
+    star = [None] + [(r + 1) * smooth(r + 1) / smooth(r) for r in range(1, cut + 1)]
+    big = (cut + 1) * smooth(cut + 1) / smooth(1)
+    take = [0.0] + [1 - (star[r] / r - big) / (1 - big) for r in range(1, cut + 1)]
+    freed = sum(take[r] * r * n[r] for r in range(1, cut + 1))
+    scale = min(n[1] / freed, 0.99 / max(take)) if n[1] else 1.0
+    return [1 - scale * t for t in take]
+
+
+def test_discounts_are_good_turing():
+    words = [0, 207344, 59772, 25017, 14274, 13493, 7080]  # of the documents at sf0.1
+    rng = np.random.default_rng(2)
+    cases = [words, [0, 5, 0, 0, 0, 0, 0], [0, 3, 9, 2, 8, 1, 4], [0, 0, 5, 3, 1, 1, 1], [0, 1, 0, 0, 7, 0, 2]]
+    cases += [[0, *rng.integers(0, 1000, katz.CUT + 1).tolist()] for _ in range(50)]
+    for n in cases:
+        d = katz.discounts(n)
+        assert d == pytest.approx(good_turing(n), abs=1e-12)
+        assert ((d[1:] > 0) & (d[1:] < 1)).all()
+    d = katz.discounts(words)
+    assert all(a < b for a, b in zip(d[1:], d[2:]))  # small counts lose the larger part
+    assert sum((1 - d[r]) * r * words[r] for r in range(1, katz.CUT + 1)) == pytest.approx(words[1])
+
+
 def brute(rows):
     def lower(t):
         return (t or "").encode().lower().split() + [b""]
@@ -25,7 +62,7 @@ def brute(rows):
                 prev = w
     n, v = sum(c1.values()), len(c1)
     few = lambda c: [sum(x == r for x in c.values()) for r in range(katz.CUT + 2)]
-    one, d = katz.Unigrams(n, few(c1)), katz.discounts(few(c2))
+    one, d = katz.Unigrams(n, few(c1)), good_turing(few(c2))
     p1 = lambda w: float(one.p(np.array([c1[w]]))[0])
     after = {}
     for (h, w), c in c2.items():
