@@ -121,7 +121,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
             & F.exists(v, lambda x: x != 0))
     rows = cut_lineage(vectors.select(
         F.col(id_col).alias("vec_id"), F.when(good, F.xxhash64(F.col(label_col), v)).alias("gid"),
-        F.when(good, F.hash(F.col(label_col).cast("string"), F.size(v))).alias("part"),
+        F.when(good, F.concat(F.size(v).cast("string"), F.lit(":"), F.col(label_col).cast("string"))).alias("part"),
         F.when(good, v).alias("vec")))
     distinct = cut_lineage(rows.where("gid is not null").groupBy("gid").agg(
         F.first("part").alias("part"), F.first("vec").alias("vec"),
@@ -148,7 +148,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
                                         **{c: np.repeat(a, times) for c, a in rows_.items()}})
 
     passed = distinct.select("gid", "part", "copies", "vec").mapInPandas(
-        decode, "filter int, vec binary, part int, gid long, copies long")
+        decode, "filter int, vec binary, part string, gid long, copies long")
     over = cut_lineage(passed.groupBy("part", "filter").count().where(F.col("count") > cell_rows)
                        .select(F.col("part").alias("p"), F.col("filter").alias("f"),
                                F.ceil(F.col("count") / (cell_rows // 2)).cast("int").alias("cuts")))

@@ -73,3 +73,14 @@ def test_list_decoding_is_exact():
     for row, passed in zip(x @ code.turn @ dirs.T, code.decode(x)):
         assert passed.tolist() == np.flatnonzero(row >= min(code.threshold, np.sort(row)[-5] - 1e-12)).tolist()
         assert len(passed) >= 5
+
+
+def test_labels_with_equal_hashes_stay_apart(spark):
+    from pyspark.sql import functions as F
+    names = spark.range(300_000).select(F.concat(F.lit("label"), "id").alias("l"), (F.col("id") * 0 + 4).cast("int").alias("n"))
+    twins = (names.groupBy(F.hash("l", "n").alias("h")).agg(F.collect_list("l").alias("ls"))
+             .where("size(ls) > 1").first().ls[:2])
+    rows = [(i, [1.0, 0.5, 0.0, 0.1], twins[i % 2]) for i in range(6)] + [(9, [1.0, 0.5, 0.0, 0.1, 0.0], twins[0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilters.near_vectors(df).collect()}
+    assert got == {0: (2, 0), 2: (2, 0), 4: (2, 0), 1: (2, 1), 3: (2, 1), 5: (2, 1), 9: (0, 9)}
