@@ -20,6 +20,7 @@ from bidlens.plans.lookups import requested
 from bidlens.plans.registry import SQL, register, rounded
 from bidlens.session import checkpoint_dir
 from bidlens.sources import ocds
+from bidlens.sources import pages as pg
 from bidlens.sources import projects as prj
 from bidlens.sources.requests import text_preview
 
@@ -269,3 +270,31 @@ def q_record_inputs(spark, sf_dir):
                     F.when((F.col("l_linenumber") == 2) & (F.col("l_quantity") >= 10), F.lit(-1)).otherwise(F.lit(3)).alias("past_awards_count"),
                     F.lit(False).alias("is_sanctioned"), F.lit(0).alias("adverse_media_count"))
     return scoring.record_input_errors(rec).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------- nested tables
+
+@register("nested_tables", """
+WITH s AS (SELECT s_nationkey, s_name, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier),
+h AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier))
+SELECT n_nationkey AS page_id, 0 AS table_no, 0 AS row_no, c AS col_no, 'Firms & names of ' || n_name AS text
+FROM h, (SELECT unnest([0, 1, 2]) AS c)
+UNION ALL SELECT s_nationkey, 0, i, 0, s_name FROM s
+UNION ALL SELECT s_nationkey, 0, i, 1, '' FROM s
+UNION ALL SELECT s_nationkey, 0, i, 2, 'all' FROM s
+UNION ALL SELECT s_nationkey, i, 0, 0, CAST(s_suppkey AS VARCHAR) FROM s""")
+def q_nested_tables(spark, sf_dir):
+    """A page per nation: a table of its suppliers with a spanning header, a
+    column that one cell spans, unclosed cells and a nested table per row."""
+    s = ad.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    n = ad.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = s.groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))
+
+    def row(x, i):
+        return F.concat(F.lit("<tr><td> "), x["s_name"], F.lit("<td><TABLE><tr><td>"), x["s_suppkey"].cast("string"), F.lit("</td></TABLE>"),
+                        F.when(i == 0, F.concat(F.lit("<td rowspan='"), F.size("s").cast("string"), F.lit("'>all</td>"))).otherwise(F.lit("")))
+    page = F.concat(F.lit("<p>x</p><table><tr><th colspan=3>Firms &amp; names&nbsp;of "), F.col("n_name"), F.lit("</th></tr>"),
+                    F.array_join(F.transform("s", row), "</tr>\n"), F.lit("</table>"))
+    pages = rows.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_nationkey").alias("page_id"), F.lit("u").alias("url"), page.alias("html"))
+    return pg.table_grid(pages)

@@ -7,10 +7,14 @@ so per-page work is a set of array expressions on that row, and the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from html import entities
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from bidlens.functions.common import spread
 from bidlens.functions.text import keyword_score
@@ -104,10 +108,103 @@ def _strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def decode_entities(text: Column) -> Column:
+    """HTML entities of a text (named, decimal, hexadecimal) as characters, in
+    one pass; what is no known entity stays."""
+    names = F.create_map(*[F.lit(x) for n, c in sorted(entities.name2codepoint.items()) for x in (f"&{n};", chr(c))])
+
+    def code(hexadecimal: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        return (F.when(~p.startswith("&"), p)
+                .when(p.rlike("^&#[xX][0-9a-fA-F]{1,5};$"), code(F.regexp_extract(p, "([0-9a-fA-F]+);", 1)))
+                .when(p.rlike("^&#[0-9]{1,6};$"), code(F.conv(F.regexp_extract(p, "([0-9]+);", 1), 10, 16)))
+                .otherwise(F.coalesce(F.try_element_at(names, p), p)))
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?[0-9A-Za-z]+;|[^&]+|&"), 0)
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, piece), "")).otherwise(text)
+
+
+def table_cells(pages: DataFrame) -> DataFrame:
+    """Cells of all tables, nested ones apart: (page_id, table_no, row_no,
+    cell_no, text, rows, cols), table_no in the order in which tables open.
+
+    The tags of a page are events in order: a running count of opened and
+    closed tables gives every event its depth and the table it belongs to (the
+    last one opened at that depth), and counts inside a table its row and cell.
+    A cell ends with the next cell, its row or its table, closed or not; text
+    outside cells is left out; a nested table's text is its own, not its outer
+    cell's.  Windows are per page, a page being one value anyway."""
+    token = (r"(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>|[^<]+|<")
+    t = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(token), 0)).alias("pos", "tok"))
+    t = t.withColumn("kind", F.lower(F.regexp_extract("tok", r"(?i)^<(/?(?:table|tr|td|th))\b", 1)))
+    page = W.partitionBy("page_id").orderBy("pos")
+    opens = F.col("kind") == "table"
+    t = t.withColumn("sum", F.sum(F.when(opens, 1).when(F.col("kind") == "/table", -1).otherwise(0)).over(page))
+    # a closing tag without its table counts for nothing
+    t = t.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(page)))
+    t = t.withColumn("level", F.col("depth") + (F.col("kind") == "/table").cast("int"))
+    t = t.withColumn("no", F.when(opens, F.sum(opens.cast("int")).over(page) - 1))
+    t = t.withColumn("table_no", F.max("no").over(W.partitionBy("page_id", "level").orderBy("pos"))).where("level > 0")
+    own = W.partitionBy("page_id", "table_no").orderBy("pos")
+    cell = F.col("kind").isin("td", "th")
+    t = t.withColumn("row_no", F.greatest(F.sum((F.col("kind") == "tr").cast("int")).over(own) - 1, F.lit(0)))
+    t = t.withColumn("cell", F.sum(cell.cast("int")).over(own))
+    t = t.withColumn("inside", F.last(F.when(cell, True).when(F.col("kind") != "", False), ignorenulls=True).over(own))
+
+    def span(name: str) -> Column:
+        n = F.regexp_extract("tok", rf"(?i)\b{name}\s*=\s*[\"']?\s*(\d{{1,4}})", 1).try_cast("int")
+        return F.max(F.when(cell, F.greatest(F.coalesce(n, F.lit(1)), F.lit(1))))
+    texts = F.array_sort(F.collect_list(F.when((F.col("kind") == "") & ~F.col("tok").rlike("^<[^<]"), F.struct("pos", "tok"))))
+    c = t.where("inside").groupBy("page_id", "table_no", "row_no", "cell").agg(
+        F.array_join(F.transform(texts, lambda x: x["tok"]), "").alias("raw"), span("rowspan").alias("rows"), span("colspan").alias("cols"))
+    first = W.partitionBy("page_id", "table_no", "row_no").orderBy("cell")
+    plain = F.regexp_replace(F.regexp_replace(decode_entities(F.col("raw")), r"[\s\u00a0]+", " "), r"^ | $", "")
+    return c.select("page_id", "table_no", "row_no", (F.row_number().over(first) - 1).alias("cell_no"), plain.alias("text"), "rows", "cols")
+
+
+def table_grid(pages: DataFrame) -> DataFrame:
+    """Tables as grids: (page_id, table_no, row_no, col_no, text), where a cell
+    stands at every place that its rowspan and colspan cover.  Tables are
+    placed one by one (a page's table is a bounded group); rows below the last
+    one are not made up."""
+    cells = table_cells(pages).groupBy("page_id", "table_no").agg(F.to_json(F.array_sort(F.collect_list(
+        F.struct("row_no", "cell_no", "text", "rows", "cols")))).alias("cells"))
+
+    @F.pandas_udf("string")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for tables in batches:
+            out = []
+            for text in tables:
+                rows: dict[int, list] = {}
+                for c in json.loads(text):
+                    rows.setdefault(c["row_no"], []).append(c)
+                taken, found, last = {}, [], max(rows)
+                for r in range(last + 1):
+                    col = 0
+                    for c in rows.get(r, []):
+                        while (r, col) in taken:
+                            col += 1
+                        for i in range(r, min(r + c["rows"], last + 1)):
+                            for j in range(col, col + c["cols"]):
+                                if (i, j) not in taken:
+                                    taken[i, j] = True
+                                    found.append({"row_no": i, "col_no": j, "text": c["text"]})
+                        col += c["cols"]
+                out.append(json.dumps(found))
+            yield pd.Series(out)
+
+    grid = F.from_json(place("cells"), "array<struct<row_no: int, col_no: int, text: string>>")
+    return cells.select("page_id", "table_no", F.explode(grid).alias("g")).select("page_id", "table_no", "g.*")
+
+
 def html_cells(pages: DataFrame, tags: Sequence[str] = ("table", "tr", "t[hd]")) -> DataFrame:
     """Every table cell: (page_id, table_no, row_no, col_no, text).  ``tags``
-    names the table, row and cell elements, so that other nested lists (ul,
-    li, a) can be read as tables too."""
+    names the table, row and cell elements, so that other lists (ul, li, a)
+    can be read as tables too, up to the first closing tag; real tables are
+    read as grids, nested ones apart."""
+    if tuple(tags) == ("table", "tr", "t[hd]"):
+        return table_grid(pages)
     table, row, cell = tags
     t = pages.select("page_id", F.posexplode(
         F.regexp_extract_all("html", F.lit(rf"(?is)<{table}\b.*?</{table}>"), 0)).alias("table_no", "t"))
