@@ -40,6 +40,16 @@ def ranged_session(spark: SparkSession, split_bytes: str) -> SparkSession:
 
 # --------------------------------------------------------------- request order
 
+FILE_ROWS = 1_000_000  # rows of a written table that one file (and the task that sorts it) gets
+PAYLOADS = 2_000  # payload files, from which a payload gets more than 500 orders
+
+
+def _grown(rows: DataFrame, least: int, per: int) -> int:
+    """``least``, or more where the table has more than ``least * per`` rows
+    (its count is in the Parquet footers)."""
+    return max(least, -(-rows.count() // per))
+
+
 REQUEST_ROWS = """
 SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS award_id, CAST(l_suppkey AS VARCHAR) AS supplier_id,
        ROW_NUMBER() OVER (ORDER BY l_orderkey // 500, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1
@@ -56,16 +66,21 @@ def _request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_requests_csv_order(spark, sf_dir):
     """Uploaded tables in several files and many splits: ids follow file and line."""
     path = scratch(spark, "requests")
-    _request_rows(spark, sf_dir).repartitionByRange(7, *ad.AWARD_ORDER).sortWithinPartitions(*ad.AWARD_ORDER).select(
+    files = _grown(ad.table(spark, sf_dir, "lineitem"), 7, FILE_ROWS)
+    _request_rows(spark, sf_dir).repartitionByRange(files, *ad.AWARD_ORDER).sortWithinPartitions(*ad.AWARD_ORDER).select(
         F.col("award_id").alias("Award ID"), F.col("supplier_id").alias("Supplier ID")).write.option("header", True).csv(path)
-    return jobs.read_requests(ranged_session(spark, "64k"), f"{path}/*.csv")
+    # 64 KiB splits, or 2,000 splits of about 20 bytes a row
+    split = 64 * _grown(ad.table(spark, sf_dir, "lineitem"), 1, 2000 * 3000)
+    return jobs.read_requests(ranged_session(spark, f"{split}k"), f"{path}/*.csv")
 
 
 @register("requests_json_order", REQUEST_ROWS)
 def q_requests_json_order(spark, sf_dir):
-    """One payload per 500 orders, lists and envelopes in turn."""
+    """One payload per 500 orders (10,000 at most, where there are more than
+    ``PAYLOADS`` files), lists and envelopes in turn; file names in order."""
     path = scratch(spark, "payloads")
-    rows = _request_rows(spark, sf_dir).withColumn("bucket", F.floor(F.col("l_orderkey") / 500).cast("int"))
+    orders = 500 * min(20, _grown(ad.table(spark, sf_dir, "orders"), 1, 500 * PAYLOADS))
+    rows = _request_rows(spark, sf_dir).withColumn("bucket", F.floor(F.col("l_orderkey") / orders).cast("int"))
     item = F.struct(F.struct(*ad.AWARD_ORDER).alias("o"), F.to_json(F.struct("award_id", "supplier_id")).alias("j"))
     items = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"]), ", "), F.lit("]"))
     text = rows.groupBy("bucket").agg(items.alias("items")).select(
@@ -81,7 +96,8 @@ SELECT input_row_id, award_id, CAST(true AS BOOLEAN) AS valid FROM r WHERE input
 def q_requests_capped(spark, sf_dir):
     """The first 1,000 requests of a folder of tables, through the validate job."""
     path = scratch(spark, "requests")
-    _request_rows(spark, sf_dir).repartitionByRange(7, *ad.AWARD_ORDER).sortWithinPartitions(*ad.AWARD_ORDER).select(
+    files = _grown(ad.table(spark, sf_dir, "lineitem"), 7, FILE_ROWS)
+    _request_rows(spark, sf_dir).repartitionByRange(files, *ad.AWARD_ORDER).sortWithinPartitions(*ad.AWARD_ORDER).select(
         "award_id", "supplier_id").write.option("header", True).csv(f"{path}/in")
     R.features_df(spark, sf_dir).write.parquet(f"{path}/features")
     out = jobs.validate_job(spark, f"{path}/in/*.csv", f"{path}/features", f"{path}/out", max_items=1000)
