@@ -83,25 +83,23 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def contributions(cols: Sequence[str], coef: Sequence[float]) -> Column:
-    """array<struct<name, value, contribution, pos>> of wᵢ·xᵢ, unsorted."""
+def sorted_contributions(cols: Sequence[str], coef: Sequence[float]) -> Column:
+    """array<struct<size, before, name, value, contribution>> of wᵢ·xᵢ by
+    |contribution| desc, ties by feature position: structs sort by their
+    fields in turn, as a comparing function would run interpreted."""
     _same_length(cols, coef)
-    return F.array(*[
-        F.struct(F.lit(c).alias("name"), num(c).alias("value"),
-                 (F.lit(float(w)) * num(c)).alias("contribution"), F.lit(i).alias("pos"))
-        for i, (c, w) in enumerate(zip(cols, coef))])
-
-
-def sort_factors(arr: Column, top_k: int | None = None) -> Column:
-    """Sort by |contribution| desc, ties by feature position (stable); keep
-    the first ``top_k``; drop the position field."""
-    ordered = F.array_sort(arr, lambda l, r: F.when(F.abs(l.contribution) > F.abs(r.contribution), -1)
-                           .when(F.abs(l.contribution) < F.abs(r.contribution), 1)
-                           .when(l.pos < r.pos, -1).when(l.pos > r.pos, 1).otherwise(0))
-    if top_k is not None:
-        ordered = F.slice(ordered, 1, int(top_k)) if top_k > 0 else F.slice(ordered, 1, 0)
-    return F.transform(ordered, lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"),
-                                                   f["contribution"].alias("contribution")))
+    return F.sort_array(F.array(*[
+        F.struct(F.abs(F.lit(float(w)) * num(c)).alias("size"), F.lit(-i).alias("before"), F.lit(c).alias("name"),
+                 num(c).alias("value"), (F.lit(float(w)) * num(c)).alias("contribution"))
+        for i, (c, w) in enumerate(zip(cols, coef))]), asc=False)
+
+
+def first_factors(ordered: str, n: int) -> Column:
+    """array<struct<name, value, contribution>> of the first ``n`` places of a
+    column of ``sorted_contributions`` (a column, as it is named many times)."""
+    if n <= 0:
+        return F.array().cast("array<struct<name:string,value:double,contribution:double>>")
+    return F.array(*[F.struct(*[F.get(ordered, i)[x].alias(x) for x in ("name", "value", "contribution")]) for i in range(n)])
 
 
 def heuristic_factors(top_k: int) -> Column:

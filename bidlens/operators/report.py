@@ -39,7 +39,7 @@ def factor_preview(col: str | Column = "top_factors", n: int = 3) -> Column:
         base = F.concat(f["name"], F.lit("="), F.coalesce(f["value"].cast("string"), F.lit("")))
         return F.when(f["contribution"].isNull(), base).otherwise(
             F.concat(base, F.format_string(" (%+.3f)", f["contribution"])))
-    return F.array_join(F.transform(F.slice(F.coalesce(c, F.array()), 1, n), one), "; ")
+    return F.concat_ws("; ", *[one(F.get(c, i)) for i in range(n)])  # a place that is missing is null and left out
 
 
 def split_errors(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,10 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidlens.functions.common import ensure_columns, first_non_null
-from bidlens.functions.scoring import (DEFAULT_BANDS, contributions, heuristic,
-                                       heuristic_factors, linear_logit, num, record_score,
-                                       risk_band, sigmoid, sort_factors)
+from bidlens.functions.common import ensure_columns, first_non_null, first_non_null_repeated
+from bidlens.functions.scoring import (DEFAULT_BANDS, first_factors, heuristic, heuristic_factors,
+                                       linear_logit, num, record_score, risk_band, sigmoid, sorted_contributions)
 from bidlens.operators.features import FEATURE_COLS
 
 DEFAULT_TOP_K = 5
@@ -94,8 +93,9 @@ def linear_score(df: DataFrame, model: LinearModel, top_k: int | None = None,
     out = d.withColumn("risk_score", p).withColumn("risk_band", risk_band(F.col("risk_score"),
                                                                           model.thresholds))
     if explain:
-        out = out.withColumn("top_factors", sort_factors(
-            contributions(model.feature_cols, model.coef), top_k))
+        n = len(model.feature_cols) if top_k is None else min(int(top_k), len(model.feature_cols))
+        out = out.withColumn("__sorted", sorted_contributions(model.feature_cols, model.coef)) if n > 0 else out
+        out = out.withColumn("top_factors", first_factors("__sorted", n)).drop("__sorted")
     return out
 
 
@@ -138,7 +138,7 @@ def _lookup(features: DataFrame, feature_cols: Sequence[str], dedupe: bool, orde
                  *[F.col(c) for c in feature_cols], F.lit(True).alias("__found"),
                  *([F.col(order).alias("__f_order")] if order else []))
     if dedupe:
-        f = first_non_null(f, "__f_award_id", "__f_order" if order else None)
+        f = first_non_null_repeated(f, "__f_award_id", "__f_order" if order else None)
     return f.drop("__f_order")
 
 
@@ -169,7 +169,9 @@ def score_batch(requests: DataFrame, features: DataFrame, graph: DataFrame | Non
     award ids (and the graph's supplier ids) are unique, as the feature and
     graph jobs write them: both sides of the join are then plain shuffles,
     whose skewed partitions AQE splits.  Otherwise the first non-null value
-    per id and column counts, in the order of ``feature_order``.
+    per id and column counts, in the order of ``feature_order``; a job looks
+    for the ids that repeat.  ``features`` should be a stored table, as it is
+    read again for its emptiness.
     ``unmatched='score'`` scores awards missing from the features with null
     features (reference behaviour).  ``thresholds`` (the saved model's band
     cut points) also band heuristic scores; the model's own thresholds win
