@@ -199,7 +199,7 @@ def q_features_bucketed(spark, sf_dir):
     """The feature job into 32 buckets, asked for by all award ids (SNK-02, JOIN-05)."""
     path = scratch(spark, "features")
     sn.publish(ad.tenders(spark, sf_dir).sort("__tender_pos").drop("__tender_pos"), f"{path}/t")
-    sn.publish(ad.awards(spark, sf_dir).sort(*ad.AWARD_ORDER).drop(*ad.AWARD_ORDER), f"{path}/a")
+    sn.publish(ad.awards(spark, sf_dir, keep_order=False, sort=True), f"{path}/a")
     jobs.features_job(spark, f"{path}/t", f"{path}/a", f"{path}/f", buckets=32)
     table = sn.read_published(spark, f"{path}/f")
     return rounded(requested(table, ad.awards(spark, sf_dir).select("award_id")))
