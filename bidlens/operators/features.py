@@ -311,12 +311,11 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
     joined = JoinedAwards(tenders, awards, order, dedupe_tenders, materialize=materialize)
     rows = joined.rows.select("award_id", *[F.col(c).alias(f"__ord{i}") for i, c in enumerate(order)],
                               "__supplier_id", "__amount", "__award_ts", "__buyer_name", "__category", "__tender_ts")
-    kept = keep_first(rows, "award_id", [f"__ord{i}" for i in range(len(order))] or ["award_id"])
-    wanted = kept.select("__buyer_name", "__supplier_id").distinct() if joined.by_award is not None else None
-    pair = joined.pairs(wanted, shared).select(
-        F.col("__buyer_name").alias("__pb"), F.col("__supplier_id").alias("__ps"), "awards_by_pair")
-    buyer = joined.buyer_totals().withColumnRenamed("__buyer_name", "__bb")
     cat = joined.moments().withColumnRenamed("__category", "__cc")
+    at = [f"__ord{i}" for i in range(len(order))]
+
+    def first_rows(df: DataFrame) -> DataFrame:
+        return keep_first(df, "award_id", at or ["award_id"])
 
     def with_own_values(df: DataFrame, *more: str) -> DataFrame:
         return df.join(cat, F.col("__category").eqNullSafe(F.col("__cc")), "left").select(
@@ -325,16 +324,22 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
             near_threshold(F.col("__amount"), thresholds, pct).alias("near_threshold_flag"),
             time_to_award(F.col("__award_ts"), F.col("__tender_ts")).alias("time_to_award_days"))
 
+    if materialize:  # few categories, known before the rows are shuffled, which then carry three numbers
+        cat = broadcast_if_few(cut_lineage(cat))
+        kept = first_rows(with_own_values(rows, *at))
+    else:
+        kept = first_rows(rows)
+    wanted = kept.select("__buyer_name", "__supplier_id").distinct() if joined.by_award is not None else None
+    pair = joined.pairs(wanted, shared).select(
+        F.col("__buyer_name").alias("__pb"), F.col("__supplier_id").alias("__ps"), "awards_by_pair")
+    buyer = joined.buyer_totals().withColumnRenamed("__buyer_name", "__bb")
+
     def with_counts(df: DataFrame) -> DataFrame:
         return (df.join(pair, F.col("__buyer_name").eqNullSafe(F.col("__pb"))
                         & F.col("__supplier_id").eqNullSafe(F.col("__ps")), "left")
                   .join(buyer, F.col("__buyer_name").eqNullSafe(F.col("__bb")), "left"))
 
-    if materialize:  # few categories, known before the rows are shuffled, which then carry three numbers
-        cat = broadcast_if_few(cut_lineage(cat))
-        j = with_counts(with_own_values(kept))
-    else:
-        j = with_own_values(with_counts(kept), "awards_by_pair", "awards_by_buyer")
+    j = with_counts(kept) if materialize else with_own_values(with_counts(kept), "awards_by_pair", "awards_by_buyer")
     share = F.coalesce(F.try_divide("awards_by_pair", "awards_by_buyer"), F.lit(0.0))
     out = j.select("award_id", F.col("__supplier_id").alias("supplier_id"),
                    share.alias("award_concentration_by_buyer"), share.alias("repeat_winner_ratio"),

@@ -126,19 +126,19 @@ def calibrate(df: DataFrame, model: LinearModel) -> LinearModel:
     targets ((N₊+1)/(N₊+2) for positives, 1/(N₋+2) for negatives), no
     regularisation.  Two parameters need six sums per Newton step, so each
     step is one aggregation; a step that doesn't lower the loss is halved."""
-    d = (df.select(model.logit().alias("f"), proxy_label_col(df).alias("y"))
-         .groupBy("f", "y").agg(F.count(F.lit(1)).alias("n")).persist())
-    pos = d.agg(F.sum(F.when(F.col("y") == 1, F.col("n")))).first()[0] or 0
-    neg = (d.agg(F.sum("n")).first()[0] or 0) - pos
+    d = df.select(model.logit().alias("f"), proxy_label_col(df).alias("y")).persist()  # scores hardly repeat: not grouped
+    n, pos = d.agg(F.count(F.lit(1)), F.sum("y")).first()
+    pos = pos or 0
+    neg = n - pos
     hi, lo = (pos + 1.0) / (pos + 2.0), 1.0 / (neg + 2.0)
     t = F.when(F.col("y") == 1, F.lit(hi)).otherwise(F.lit(lo))
 
     def sums(a: float, b: float):
         z = F.lit(a) * F.col("f") + F.lit(b)
-        p, n, f = sigmoid(z), F.col("n"), F.col("f")
-        w = n * p * (1 - p)
-        loss = n * (F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z))))
-        return d.select(*[F.sum(x) for x in (loss, n * (p - t) * f, n * (p - t), w * f * f, w * f, w)]).first()
+        p, f = sigmoid(z), F.col("f")
+        w = p * (1 - p)
+        loss = F.greatest(z, F.lit(0.0)) - z * t + F.log1p(F.exp(-F.abs(z)))
+        return d.select(*[F.sum(x) for x in (loss, (p - t) * f, p - t, w * f * f, w * f, w)]).first()
 
     a = b = 0.0
     now = sums(a, b)

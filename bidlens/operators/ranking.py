@@ -66,17 +66,48 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     return out, run
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+SKETCH_ERROR = 0.002  # of the ranks between which a quantile is looked for
+
+
+def _between(v: DataFrame, n: int, ranks: Sequence[int]) -> tuple[DataFrame, int] | None:
+    """The rows of ``v`` whose values may have a rank from the first to the last
+    of ``ranks`` and the number of smaller ones, or None if the sketch that says
+    so was wrong."""
+    lo, hi = v.approxQuantile("__x", [max(0.0, ranks[0] / n - 2 * SKETCH_ERROR), min(1.0, (ranks[-1] + 1) / n + 2 * SKETCH_ERROR)],
+                              SKETCH_ERROR)
+    x = F.col("__x")
+    below, upto = v.agg(F.count(F.when(x < lo, 1)), F.count(F.when(x <= hi, 1))).first()
+    return (v.where(x.between(lo, hi)), below) if below <= ranks[0] and ranks[-1] < upto else None
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], few: int = ROWS_PER_BUCKET) -> list[float | None]:
     """``numpy.quantile`` (linear interpolation) of a numeric column, exact,
-    computed by distributed ranks.  Nulls and NaN are ignored."""
+    computed by distributed ranks.  Nulls and NaN are ignored.  Of more than
+    ``few`` values only those near a quantile by a sketch are ranked, above the
+    counted rest; the others aren't shuffled."""
     v = df.select(F.col(col).cast("double").alias("__x")).filter(
-        F.col("__x").isNotNull() & ~F.isnan("__x"))
-    counts = v.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).persist()
-    pref, tot = prefix_sums(counts, "__x", ["__n"])
-    n = tot["__n"]
+        F.col("__x").isNotNull() & ~F.isnan("__x")).persist()
+    n = v.count()
     if n == 0:
-        counts.unpersist()
+        v.unpersist()
         return [None for _ in probs]
+    if n > few:
+        out = []
+        for q in probs:
+            ranks = [math.floor(q * (n - 1)), math.ceil(q * (n - 1))]
+            near = _between(v, n, ranks)
+            out += _ranked(*(near or (v, 0)), n, [q])
+    else:
+        out = _ranked(v, 0, n, probs)
+    v.unpersist()
+    return out
+
+
+def _ranked(v: DataFrame, below: int, n: int, probs: Sequence[float]) -> list[float]:
+    """Quantiles of ``n`` values, of which ``below`` are smaller than those in ``v``."""
+    counts = v.groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).persist()
+    pref, _ = prefix_sums(counts, "__x", ["__n"])
+    pref = pref.withColumn("__n_below", F.col("__n_below") + F.lit(below))
     wanted = {}
     for q in probs:
         pos = q * (n - 1)

@@ -144,8 +144,9 @@ def graph_job(spark: SparkSession, tenders_path: str, awards_path: str, sanction
 def train_job(spark: SparkSession, features_path: str, model_dir: str,
               feature_cols: Sequence[str] | None = None, calibrate: bool = False) -> dict:
     """Fit → thresholds → (calibrate) → evaluate → save model and meta with
-    ``last_evaluation`` (MOD-07, SNK-09)."""
-    f = read_features_any(spark, features_path).persist()
+    ``last_evaluation`` (MOD-07, SNK-09).  The table is read by column for each
+    of these; what a fit passes over many times it holds itself."""
+    f = read_features_any(spark, features_path)
     lm = mdl.fit(f, feature_cols)
     extra = {}
     if calibrate:
@@ -156,9 +157,7 @@ def train_job(spark: SparkSession, features_path: str, model_dir: str,
     scored = mdl.proxy_label(f).withColumn("p", lm.probability())
     metrics = ev.metrics(scored, "label", "p", order="award_id").first().asDict()
     extra["last_evaluation"] = metrics
-    meta = mdl.save_model(spark, lm, model_dir, extra)
-    f.unpersist()
-    return meta
+    return mdl.save_model(spark, lm, model_dir, extra)
 
 
 def evaluate_job(spark: SparkSession, features_path: str, model_dir: str, out_dir: str) -> str:

@@ -1,9 +1,13 @@
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from bidlens.functions.common import first_non_null, first_non_null_repeated, keep_first
 from bidlens.operators import features as feat
+from bidlens.operators import model as mdl
+from bidlens.operators import ranking
 from bidlens.operators import report as rep
 from bidlens.operators import scoring
 
@@ -55,3 +59,38 @@ def test_rows_are_narrow_before_they_are_shuffled_for_counts(spark):
     assert text.index("__pb") < text.index("__cc")  # categories are joined below the pair counts
     assert "rightHint=(strategy=broadcast)" in text or "broadcast" in text.lower()
     assert {(r.award_id, r.time_to_award_days) for r in f.select(F.col("award_id"), "time_to_award_days").collect()} == {("a1", 2), ("a2", 0)}
+
+
+def test_rows_are_narrow_before_the_first_of_an_award_is_kept(spark):
+    t = spark.createDataFrame([("t1", "B", "c1", "2020-01-01")], "tender_id string, buyer_name string, main_category string, tender_date string")
+    a = spark.createDataFrame([("a1", "t1", "s", 10.0, "2020-01-03", 0), ("a1", "t1", "r", 20.0, "2020-01-04", 1)],
+                              "award_id string, tender_id string, supplier_id string, amount double, date string, pos int")
+    f = feat.build_features(t, a, ["pos"])
+    packed = plan(f).split("min(struct(")[1].split(")")[0]
+    assert "__category" not in packed and "__award_ts" not in packed and "amount_zscore_by_category" in packed
+    assert [(r.award_id, r.supplier_id, r.amount_zscore_by_category, r.time_to_award_days) for r in f.collect()] == [("a1", "s", -1.0, 2)]
+
+
+def test_quantiles_of_many_values_rank_only_those_near(spark, monkeypatch):
+    x = [((i * 7919) % 1000) ** 1.5 for i in range(3000)] + [5.0] * 900 + [math.nan, None]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    probs = [0.0, 0.1, 0.33, 0.66, 1.0]
+    want = np.quantile([v for v in x if v is not None and not math.isnan(v)], probs)
+    assert ranking.exact_quantiles(df, "x", probs, few=100) == pytest.approx(list(want), rel=1e-12)
+    seen, ranked = [], ranking._ranked
+    monkeypatch.setattr(ranking, "_ranked", lambda v, *rest: seen.append(v.count()) or ranked(v, *rest))
+    ranking.exact_quantiles(df, "x", [0.66], few=100)
+    assert seen[0] < 200
+    monkeypatch.setattr(ranking, "_between", lambda *args: None)
+    assert ranking.exact_quantiles(df, "x", probs, few=100) == pytest.approx(list(want), rel=1e-12)
+
+
+def test_calibration_passes_over_rows_as_they_are(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 5 / 4, i % 3 / 2, (i % 7) - 3.0, i % 4 // 3, i) for i in range(60)],
+                               "award_concentration_by_buyer double, repeat_winner_ratio double, amount_zscore_by_category double, "
+                               "near_threshold_flag int, time_to_award_days int")
+    m = scoring.LinearModel(["amount_zscore_by_category"], [1.0], 0.0)
+    group = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda d, *by: pytest.fail("rows are grouped by score") if by else group(d))
+    a, b = mdl.calibrate(df, m).calibration
+    assert math.isfinite(a) and math.isfinite(b) and a > 0
