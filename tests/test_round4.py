@@ -35,3 +35,44 @@ def test_graph_metrics_query_has_betweenness(spark, tmp_dir):
     want = _brute_betweenness(sorted({x for e in edges for x in e}), edges)
     assert {s: r.betweenness for s, r in m.items()} == {s: pytest.approx(want[s], abs=1e-6) for s in "1234"}
     assert m["2"].betweenness > 0 and m["2"].degree == 2 and m["2"].distance_to_sanctioned == 2
+
+def random_classes(seed, n=120, p=0.05):
+    rng = np.random.default_rng(seed)
+    m = np.triu(rng.random((n, n)) < p, 1)
+    m[np.arange(n - 1), np.arange(1, n)] = True
+    m |= m.T
+    return bt.ReducedGraph(*np.nonzero(m), rng.integers(1, 4, n), rng.integers(1, 9, n), np.zeros(n))
+
+
+def test_levels_of_few_places_are_not_summed_over_whole_rows(monkeypatch):
+    for seed in range(3):
+        g, sums = random_classes(seed), []
+        pack = np.arange(64)
+        for cost in (0, 16, 10 ** 9):  # place by place, by cost, whole rows
+            monkeypatch.setattr(bt, "FEW", cost)
+            sums.append(g.dependencies(pack, g.weight[pack]))
+        assert np.allclose(sums[0], sums[2], rtol=1e-12) and np.allclose(sums[1], sums[2], rtol=1e-12)
+    buyers, per = 2000, 3  # buyers of 3 of 100 suppliers: a source's first levels have few places
+    rng = np.random.default_rng(1)
+    a = np.repeat(np.arange(buyers), per)
+    b = buyers + np.concatenate([rng.choice(100, per, replace=False) for _ in range(buyers)])
+    ones = np.ones(buyers + 100)
+    g = bt.ReducedGraph(np.concatenate([a, b]), np.concatenate([b, a]), ones, ones, ones)
+    gather, summed = g.gather, {}
+    for cost in (16, 10 ** 9):
+        seen = []
+        g.gather = lambda matrix, r, seen=seen: seen.append(len(r)) or gather(matrix, r)
+        monkeypatch.setattr(bt, "FEW", cost)
+        g.dependencies(np.arange(64), g.weight[:64])
+        summed[cost] = len(seen)
+    assert summed[16] <= summed[10 ** 9] - 3
+
+
+def test_sources_of_a_component_are_packed_together():
+    a = np.concatenate([np.arange(0, 200, 2), np.arange(1, 200, 2)])  # two rings of 100, numbered in turn
+    b = np.concatenate([np.roll(np.arange(0, 200, 2), 1), np.roll(np.arange(1, 200, 2), 1)])
+    ones = np.ones(200)
+    g = bt.ReducedGraph(np.concatenate([a, b]), np.concatenate([b, a]), ones, ones, ones)
+    order = g.near(np.arange(200), rounds=60)
+    assert sorted(order) == list(range(200)) and len(set(order[:100] % 2)) == 1
+    assert sorted(g.near(np.arange(200), rounds=1)) == list(range(200))
