@@ -1,7 +1,9 @@
 import datetime
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from bidlens.operators import betweenness as bt
@@ -76,3 +78,19 @@ def test_sources_of_a_component_are_packed_together():
     order = g.near(np.arange(200), rounds=60)
     assert sorted(order) == list(range(200)) and len(set(order[:100] % 2)) == 1
     assert sorted(g.near(np.arange(200), rounds=1)) == list(range(200))
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_job(spark, tmp_dir):
+    before = shuffle_files(spark)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    df.write.parquet(f"{tmp_dir}/t")
+    assert {r["count"] for r in df.collect()} == {r["count"] for r in df.collect()} == {142, 143}  # and run again
+    end = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
