@@ -1,4 +1,5 @@
 import datetime
+import os
 import time
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from bidlens.operators import betweenness as bt
+from bidlens.plans import registry_jobs as jobs
 from test_graph import _brute_betweenness
 
 DAY = datetime.datetime(2020, 1, 1)
@@ -18,7 +20,7 @@ def tables(spark, folder, lines):
         spark.createDataFrame(rows, ddl).write.parquet(f"{folder}/{name}.parquet")
     orders = dict((o, b) for o, b, _ in lines)
     write("customer", [(b, f"Buyer {b}") for b in set(orders.values())], "c_custkey long, c_name string")
-    write("orders", [(o, b, "O", 10.0 * o, DAY, "1-URGENT") for o, b in orders.items()],
+    write("orders", [(o, b, "O", 10.0 * (o or 0), DAY, "1-URGENT") for o, b in orders.items()],
           "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
     write("supplier", [(s, f"Firm {s}", 0, -1.0 if s == 1 else 1.0) for s in {s for *_, s in lines}],
           "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
@@ -94,3 +96,21 @@ def test_shuffle_files_go_with_their_job(spark, tmp_dir):
     while shuffle_files(spark) - before and time.time() < end:
         time.sleep(0.2)
     assert not shuffle_files(spark) - before
+
+
+def test_ranged_packages_are_on_disk_a_few_at_a_time(spark, tmp_dir, monkeypatch):
+    lines = [(o, o % 3, o % 4) for o in range(10, 35)] + [(None, 1, 2)]
+    sf, seen = tables(spark, tmp_dir, lines), []
+    remove = jobs.sn.remove
+
+    def counted(session, path):
+        seen.append(sorted(f for f in os.listdir(path) if f.startswith("package=")))
+        return remove(session, path)
+    monkeypatch.setattr(jobs.sn, "remove", counted)
+    monkeypatch.setattr(jobs, "scratch", lambda _, name: f"{tmp_dir}/{name}-{len(seen)}")
+    whole = sorted(map(str, jobs.q_releases_ranged(spark, sf).collect()))
+    monkeypatch.setattr(jobs, "PACKAGES_AT_ONCE", 3)
+    parts = sorted(map(str, jobs.q_releases_ranged(spark, sf).collect()))
+    assert parts == whole and len(parts) == len(lines)
+    assert [len(p) for p in seen] == [9, 4, 3, 2]  # 8 packages and that of the missing key
+    assert not any(f.startswith("in-") for d in os.listdir(tmp_dir) if d.startswith("packages") for f in os.listdir(f"{tmp_dir}/{d}"))
