@@ -302,8 +302,8 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
     Shares and z-scores count every joined row, without making them.
 
     By default the awards with their first tender are stored as Parquet, as the
-    table and three aggregates read them, and the category moments are
-    checkpointed; the rest is a lazy plan, which the
+    table and three aggregates read them, and so are the pair counts; the
+    category moments are checkpointed; the rest is a lazy plan, which the
     feature job writes once as Parquet for every later job.
     ``materialize=False`` keeps all of it lazy.
     """
@@ -329,17 +329,21 @@ def build_features(tenders: DataFrame, awards: DataFrame, order_key: Sequence[st
         kept = first_rows(with_own_values(rows, *at))
     else:
         kept = first_rows(rows)
-    wanted = kept.select("__buyer_name", "__supplier_id").distinct() if joined.by_award is not None else None
+    asking = rows if materialize else kept  # stored rows ask for no fewer pairs, without the shuffle for the first ones
+    wanted = asking.select("__buyer_name", "__supplier_id").distinct() if joined.by_award is not None else None
     pair = joined.pairs(wanted, shared).select(
         F.col("__buyer_name").alias("__pb"), F.col("__supplier_id").alias("__ps"), "awards_by_pair")
     buyer = joined.buyer_totals().withColumnRenamed("__buyer_name", "__bb")
 
-    def with_counts(df: DataFrame) -> DataFrame:
-        return (df.join(pair, F.col("__buyer_name").eqNullSafe(F.col("__pb"))
-                        & F.col("__supplier_id").eqNullSafe(F.col("__ps")), "left")
-                  .join(buyer, F.col("__buyer_name").eqNullSafe(F.col("__bb")), "left"))
+    def with_buyers(df: DataFrame, name: str) -> DataFrame:
+        return df.join(buyer, F.col(name).eqNullSafe(F.col("__bb")), "left").drop("__bb")
 
-    j = with_counts(kept) if materialize else with_own_values(with_counts(kept), "awards_by_pair", "awards_by_buyer")
+    if materialize:  # counts of a job of its own: its shuffle files are gone when the rows are shuffled, and once for both counts
+        pair = stored(with_buyers(pair, "__pb"))
+    j = kept.join(pair, F.col("__buyer_name").eqNullSafe(F.col("__pb"))
+                  & F.col("__supplier_id").eqNullSafe(F.col("__ps")), "left")
+    if not materialize:
+        j = with_own_values(with_buyers(j, "__buyer_name"), "awards_by_pair", "awards_by_buyer")
     share = F.coalesce(F.try_divide("awards_by_pair", "awards_by_buyer"), F.lit(0.0))
     out = j.select("award_id", F.col("__supplier_id").alias("supplier_id"),
                    share.alias("award_concentration_by_buyer"), share.alias("repeat_winner_ratio"),

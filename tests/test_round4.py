@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from bidlens.operators import betweenness as bt
+from bidlens.operators import features as feat
 from bidlens.plans import registry_jobs as jobs
 from test_graph import _brute_betweenness
 
@@ -114,3 +115,16 @@ def test_ranged_packages_are_on_disk_a_few_at_a_time(spark, tmp_dir, monkeypatch
     assert parts == whole and len(parts) == len(lines)
     assert [len(p) for p in seen] == [9, 4, 3, 2]  # 8 packages and that of the missing key
     assert not any(f.startswith("in-") for d in os.listdir(tmp_dir) if d.startswith("packages") for f in os.listdir(f"{tmp_dir}/{d}"))
+
+
+def test_feature_counts_are_made_before_the_rows_are_shuffled(spark):
+    t = spark.createDataFrame([("t1", "B", "c1", "2020-01-01"), (None, "B", "c2", "2020-01-01"), (None, "C", "c2", "2020-01-02")],
+                              "tender_id string, buyer_name string, main_category string, tender_date string")
+    a = spark.createDataFrame([("a1", "t1", "s", 10.0, "2020-01-03", 0), ("a1", "t1", "r", 20.0, "2020-01-03", 1),
+                               ("a2", None, "s", 30.0, None, 2), (None, None, None, None, None, 3), ("a3", "t9", "s", 5.0, None, 4)],
+                              "award_id string, tender_id string, supplier_id string, amount double, date string, pos int")
+    f = feat.build_features(t, a, ["pos"])
+    lazy = feat.build_features(t, a, ["pos"], materialize=False)
+    assert sorted(map(str, f.collect())) == sorted(map(str, lazy.collect()))
+    text = f._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate [") == 1 and text.count("Join LeftOuter") == 2  # the first rows, their category and their counts
